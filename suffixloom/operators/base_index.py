@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.nearest import nearest_smaller
 from ..functions.symbols import BASE_END, LEGAL_HIGH, LEGAL_LOW, codes_of
@@ -129,7 +129,7 @@ def smaller_values(index: DataFrame, probes: DataFrame) -> DataFrame:
     j >= at with lcp[j] < bound, or -1."""
     lcp = _lcp_array(index)
     names = probes.columns
-    schema = probes.schema.add("psv", "long").add("nsv", "long")
+    schema = T.StructType(list(probes.schema.fields)).add("psv", "long").add("nsv", "long")
 
     def run(frames):
         for pdf in frames:
@@ -146,7 +146,7 @@ def lcp_intervals(index: DataFrame, probes: DataFrame) -> DataFrame:
     ``[lo, hi]`` whose suffixes share ``len`` symbols."""
     lcp = _lcp_array(index)
     names = probes.columns
-    schema = probes.schema.add("left", "long").add("right", "long")
+    schema = T.StructType(list(probes.schema.fields)).add("left", "long").add("right", "long")
 
     def run(frames):
         for pdf in frames:

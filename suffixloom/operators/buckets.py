@@ -92,7 +92,7 @@ def gap_before_head(heads: DataFrame, nonheads: DataFrame, scratch: Scratch, row
 
 
 def interleaved(heads: DataFrame, nonheads: DataFrame, buckets: DataFrame, index: DataFrame, rows: int) -> DataFrame:
-    """``part, sym, weight`` in BWT order: the heads, the non-heads around them, and
+    """``rank, sym, weight`` in BWT order: the heads, the non-heads around them, and
     whole buckets without heads, whose symbol is the one before the base suffix."""
     base_sym = index.select("pos", F.col("prev").alias("sym"))
     order = [*KEY, "head", "sym"]
@@ -105,5 +105,5 @@ def interleaved(heads: DataFrame, nonheads: DataFrame, buckets: DataFrame, index
     spark = heads.sparkSession
     return (head_rows.unionByName(mixed).unionByName(plain)
             .repartitionByRange(partitions_for(spark, rows), *order).sortWithinPartitions(*order)
-            .select(F.spark_partition_id().alias("part"), "sym", "weight"))
+            .select(F.monotonically_increasing_id().alias("rank"), "sym", "weight"))
 

@@ -6,120 +6,129 @@ elements ``depth``, ``2*depth`` and ``3*depth`` later) and so covers four times
 many symbols.  Elements whose rank is unique are closed and leave the rounds as
 soon as no open element can still ask for their rank.
 
-The sort is a range exchange over a key that is unique per row, so no partition
-depends on the size of a group of equal keys.  Ranks that cross a partition
-border are put right from one summary row per partition.
+A rank is the number of smaller elements, so equal slices of the ranks make
+partitions of bounded size without sampling.  Where a group of equal keys is
+larger than a slice, and for the first sort, a range exchange over a key that is
+unique per row splits it.  Ranks that cross a partition border are put right from
+one summary row per partition.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import Scratch, partitions_for
 
 STEPS = 3  # looks ahead depth, 2*depth and 3*depth
-FIRST_SUB, FIRST_GROUP, TAIL = 1, 2, 4
+NEXTS = [f"n{j}" for j in range(1, STEPS + 1)]
+FIRST_SUB, FIRST_GROUP, TAIL, ALONE, WAS_OPEN = 1, 2, 4, 8, 16
+SUMMARY_HEAD = 7
 
 
-def _mark(keys: list[str], fields: list[str]):
-    """Mark the runs of equal keys inside one sorted partition (keys[0] is the
-    group, all keys together the sub-group) and add one summary row."""
+def _mark(keys: list[str], carry: list[str], first: bool):
+    """Sort one partition by its keys, refine the ranks (``rk``, which is the first
+    key after the first round) by runs of equal keys, and add one summary row."""
 
     def run(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
+        part = TaskContext.get().partitionId()
         table = pa.Table.from_batches(batches)
         n = table.num_rows
         cols = [table.column(k).to_numpy() for k in keys]
-        part = table.column("part")[0].as_py()
-        new_group = np.ones(n, dtype=bool)
-        new_group[1:] = cols[0][1:] != cols[0][:-1]
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        new_group = np.zeros(n, dtype=bool)
+        if not first:
+            new_group[1:] = cols[0][1:] != cols[0][:-1]
+        new_group[0] = True
         new_sub = new_group.copy()
-        for c in cols[1:]:
+        for c in cols:
             new_sub[1:] |= c[1:] != c[:-1]
         at = np.arange(n)
         group_at = np.maximum.accumulate(np.where(new_group, at, 0))
         sub_at = np.maximum.accumulate(np.where(new_sub, at, 0))
         alone = new_sub & np.append(new_sub[1:], True)
-        edge = np.where(sub_at == 0, FIRST_SUB, 0) | np.where(group_at == 0, FIRST_GROUP, 0)
-        edge[-1] |= TAIL
-        summary = ([n, int(alone.sum()), int(group_at[-1]), int(sub_at[-1]), int(alone[0]), int(alone[-1])]
+        marks = (np.where(sub_at == 0, FIRST_SUB, 0) | np.where(group_at == 0, FIRST_GROUP, 0)
+                 | np.where(alone, ALONE, 0))
+        marks[-1] |= TAIL
+        marks |= WAS_OPEN if first else np.where(table.column("was_open").to_numpy()[order], WAS_OPEN, 0)
+        largest = int(np.diff(np.append(np.flatnonzero(new_sub), n)).max())
+        summary = ([n, int(alone.sum()), int(group_at[-1]), int(sub_at[-1]), int(alone[0]), int(alone[-1]), largest]
                    + [int(c[0]) for c in cols] + [int(c[-1]) for c in cols])
-        kept = table.select(fields)
-        marks = {"part": pa.array(np.full(n, part, dtype=np.int32)), "shift": pa.array(sub_at - group_at),
-                 "edge": pa.array(edge.astype(np.int32)), "alone": pa.array(alone),
-                 "summary": pa.nulls(n, pa.list_(pa.int64()))}
-        for name, values in marks.items():
-            kept = kept.append_column(name, values)
-        yield from kept.to_batches(max_chunksize=1 << 16)
-        last = {f: pa.nulls(1, kept.schema.field(f).type) for f in kept.schema.names}
+        out = {c: table.column(c).take(pa.array(order)) for c in ("doc", "off", *carry)}
+        out["rk"] = pa.array((sub_at - group_at) + (0 if first else cols[0]))
+        out["marks"] = pa.array(marks.astype(np.int32))
+        out["part"] = pa.array(np.full(n, part, dtype=np.int32))
+        out["summary"] = pa.nulls(n, pa.list_(pa.int64()))
+        table = pa.Table.from_pydict(out)
+        yield from table.to_batches(max_chunksize=1 << 16)
+        last = {f.name: pa.nulls(1, f.type) for f in table.schema}
         last["part"] = pa.array([part], pa.int32())
         last["summary"] = pa.array([summary], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([last[f] for f in kept.schema.names], schema=kept.schema)
+        yield pa.RecordBatch.from_arrays(list(last.values()), schema=table.schema)
 
     return run
 
 
-def _stitch(summaries: list[tuple[int, list[int]]], width: int) -> tuple[list[tuple], int]:
+def _stitch(summaries: list[tuple[int, list[int]]], width: int, first: bool) -> tuple[list[tuple], int, int]:
     """Per partition: rows of its first group and shift of its first sub-group
     that lie in earlier partitions, and whether its ends continue elsewhere.
-    Also returns the number of rows that are not unique."""
-    rows, total, unique = [], 0, 0
-    last_key, group_rows, sub_shift, last_alone = None, 0, 0, False
+    Also the number of rows that are not unique, and the largest sub-group."""
+    rows, total, unique, largest = [], 0, 0, 0
+    last_key, group_rows, sub_shift, sub_rows, last_alone = None, 0, 0, 0, False
     for part, s in sorted(summaries):
-        n, alone, group_at, sub_at, alone_first, alone_last = s[:6]
-        first, last = s[6:6 + width], s[6 + width:]
-        same_group = last_key is not None and last_key[0] == first[0]
-        same_sub = last_key == first
+        n, alone, group_at, sub_at, alone_first, alone_last, longest = s[:SUMMARY_HEAD]
+        head, tail = s[SUMMARY_HEAD:SUMMARY_HEAD + width], s[SUMMARY_HEAD + width:]
+        same_group = last_key is not None and (first or last_key[0] == head[0])
+        same_sub = last_key == head
         before = group_rows if same_group else 0
         shift = sub_shift if same_sub else before
         if same_sub:
             unique -= int(last_alone) + alone_first
-            if rows:
-                rows[-1][4] = True
+            rows[-1][4] = True
             alone_last = alone_last and n > 1
         rows.append([part, before, shift, same_sub, False])
         total, unique = total + n, unique + alone
         group_rows = before + n if group_at == 0 else n - group_at
         sub_shift = shift if sub_at == 0 else (before + sub_at if group_at == 0 else sub_at - group_at)
-        last_key, last_alone = last, bool(alone_last)
-    return [tuple(r) for r in rows], total - unique
+        sub_rows = n - sub_at + (sub_rows if same_sub and sub_at == 0 else 0)
+        largest = max(largest, longest, sub_rows)
+        last_key, last_alone = tail, bool(alone_last)
+    return [tuple(r) for r in rows], total - unique, largest
 
 
 FIX_SCHEMA = "part int, before long, first_shift long, joins_prev boolean, joins_next boolean"
 
 
-def _ranked(df: DataFrame, keys: list[str], carry: list[str], scratch: Scratch, rows: int) -> tuple[DataFrame, int]:
-    """Sort by ``keys`` (keys[0] = rank so far) and return the refined ranks as a
-    table, with the number of elements that still share theirs."""
-    spark = df.sparkSession
-    fields = ["doc", "off", *carry, "rk", "was_open"]
-    order = [*keys, "doc", "off"]
-    ordered = (df.repartitionByRange(partitions_for(spark, rows), *order)
-               .sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+def _ranked(placed: DataFrame, keys: list[str], carry: list[str], scratch: Scratch,
+            first: bool = False) -> tuple[DataFrame, int, int]:
+    """Refine the ranks of partitions that follow each other in key order.  Returns
+    the elements with their ranks, how many share theirs, and the largest group."""
+    spark = placed.sparkSession
     schema = T.StructType(
-        [T.StructField(f, ordered.schema[f].dataType) for f in fields]
-        + T.StructType.fromDDL("part int, shift long, edge int, alone boolean, summary array<long>").fields)
-    marked = scratch.save(ordered.mapInArrow(_mark(keys, fields), schema), "ranks")
+        [T.StructField(c, placed.schema[c].dataType) for c in ("doc", "off", *carry)]
+        + T.StructType.fromDDL("rk long, marks int, part int, summary array<long>").fields)
+    marked = scratch.save(placed.mapInArrow(_mark(keys, carry, first), schema), "ranks")
     summaries = [(r.part, r.summary) for r in
                  marked.filter(F.col("summary").isNotNull()).select("part", "summary").collect()]
-    fixes, left = _stitch(summaries, len(keys))
+    fixes, left, largest = _stitch(summaries, len(keys), first)
     fix = spark.createDataFrame(fixes, FIX_SCHEMA)  # one row per partition
 
     def has(flag):
-        return F.col("edge").bitwiseAND(flag) != 0
+        return F.col("marks").bitwiseAND(flag) != 0
 
-    shift = (F.when(has(FIRST_SUB), F.col("first_shift"))
-             .when(has(FIRST_GROUP), F.col("before") + F.col("shift")).otherwise(F.col("shift")))
+    carried = F.when(has(FIRST_SUB), F.col("first_shift")).when(has(FIRST_GROUP), F.col("before")).otherwise(0)
     # a row that stands alone in its partition shares its key only across the border
-    unique = (F.col("alone") & ~(has(FIRST_SUB) & F.col("joins_prev")) & ~(has(TAIL) & F.col("joins_next")))
+    unique = has(ALONE) & ~(has(FIRST_SUB) & F.col("joins_prev")) & ~(has(TAIL) & F.col("joins_next"))
     ranked = (marked.filter(F.col("summary").isNull()).join(F.broadcast(fix), "part")
-              .select("doc", "off", *carry, (F.col("rk") + shift).alias("rk"),
-                      (~unique).alias("open"), "was_open"))
-    return ranked, left
+              .select("doc", "off", *carry, (F.col("rk") + carried).alias("rk"),
+                      (~unique).alias("open"), has(WAS_OPEN).alias("was_open")))
+    return ranked, left, largest
 
 
 def _look_ahead(ranks: DataFrame, depth: int) -> DataFrame:
@@ -141,17 +150,24 @@ def rank_sequences(elements: DataFrame, keys: list[str], depth: int, scratch: Sc
                    rows: int, carry: list[str]) -> DataFrame:
     """Rank of every element among all elements by the sequence that starts there.
 
-    ``elements``: ``doc, off``, BIGINT ``keys`` covering ``depth`` elements, ``carry``.
-    The keys must tell apart equal sequences of different documents, which a
-    closing element of its own per document does.  Returns ``doc, off, *carry, rank``.
+    ``elements``: ``doc, off``, BIGINT ``keys`` covering ``depth`` elements, ``carry``;
+    ``rows`` of them.  The keys must tell apart equal sequences of different documents,
+    which a closing element of its own per document does.  Returns
+    ``doc, off, *carry, rank``.
     """
-    ranks, left = _ranked(
-        elements.select("doc", "off", *carry, F.lit(0).cast("long").alias("rk"), F.lit(True).alias("was_open"), *keys),
-        ["rk", *keys], carry, scratch, rows)
+    spark = elements.sparkSession
+    parts = partitions_for(spark, rows)
+    slice_rows = -(-max(rows, 1) // parts)
+    placed = elements.select("doc", "off", *carry, *keys).repartitionByRange(parts, *keys, "doc", "off")
+    ranks, left, largest = _ranked(placed, keys, carry, scratch, first=True)
     done = [ranks.filter(~F.col("open"))]
     while left:
-        nexts = [f"n{j}" for j in range(1, STEPS + 1)]
-        ranks, left = _ranked(_look_ahead(ranks, depth), ["rk", *nexts], carry, scratch, 2 * left)
+        ahead = _look_ahead(ranks, depth)
+        if largest <= slice_rows:
+            placed = ahead.repartitionById(parts, F.expr(f"cast(rk div {slice_rows} as int)"))
+        else:
+            placed = ahead.repartitionByRange(partitions_for(spark, 2 * left), "rk", *NEXTS, "doc", "off")
+        ranks, left, largest = _ranked(placed, ["rk", *NEXTS], carry, scratch)
         done.append(ranks.filter(F.col("was_open") & ~F.col("open")))
         depth *= STEPS + 1
     out = done[0]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.symbols import symbol_column
@@ -17,27 +18,23 @@ FRAGMENT_SCHEMA = "part int, seq long, at long, sym int, len long, last boolean,
 
 
 def _merge(batches):
-    """Merge equal neighbours of the sorted (part, sym, weight) rows of a partition."""
-    part, syms, lens = None, [], []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = batch.column("part")[0].as_py()
-        sym = batch.column("sym").to_numpy()
-        weight = batch.column("weight").to_numpy()
-        at = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))
-        syms.append(sym[at])
-        lens.append(np.add.reduceat(weight, at))
-    if part is None:
+    """Merge equal neighbours of the (rank, sym, weight) rows of one partition."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
-    sym, run = np.concatenate(syms), np.concatenate(lens)
+    table = pa.Table.from_batches(batches)
+    order = np.argsort(table.column("rank").to_numpy())
+    sym = table.column("sym").to_numpy()[order]
     at = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))
-    sym, run = sym[at], np.add.reduceat(run, at)
-    n = len(sym)
+    if "weight" in table.column_names:
+        run = np.add.reduceat(table.column("weight").to_numpy()[order], at)
+    else:
+        run = np.diff(np.append(at, len(sym)))
+    n = len(at)
     last = np.arange(n) == n - 1
     yield from pa.Table.from_pydict({
-        "part": pa.array(np.full(n, part, dtype=np.int32)), "seq": np.arange(n), "at": np.cumsum(run) - run,
-        "sym": sym, "len": run, "last": last,
+        "part": pa.array(np.full(n, TaskContext.get().partitionId(), dtype=np.int32)), "seq": np.arange(n),
+        "at": np.cumsum(run) - run, "sym": sym[at], "len": run, "last": last,
         "total": pa.array(np.full(n, run.sum()), mask=~last)}).to_batches(max_chunksize=1 << 16)
 
 
@@ -61,12 +58,12 @@ def _stitch(ends: list) -> list[tuple]:
 
 
 def runs_of(ordered: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(run_id, bwt_idx, sym, run_len)`` of sorted partitions.
+    """``(run_id, bwt_idx, sym, run_len)`` of partitions that follow each other.
 
-    ``ordered``: ``part INT, sym INT, weight BIGINT``, sorted inside partitions that
-    are themselves in the order of ``part``; ``bwt_idx`` is where the run starts."""
+    ``ordered``: ``rank BIGINT`` (order inside the partition), ``sym INT`` and, if rows
+    stand for several symbols, ``weight BIGINT``; ``bwt_idx`` is where the run starts."""
     spark = ordered.sparkSession
-    frags = scratch.save(ordered.select("part", "sym", "weight").mapInArrow(_merge, FRAGMENT_SCHEMA), "fragments")
+    frags = scratch.save(ordered.mapInArrow(_merge, FRAGMENT_SCHEMA), "fragments")
     firsts = {r.part: r for r in frags.filter("seq = 0").select("part", "sym", "len").collect()}
     ends = [(r.part, firsts[r.part].sym, firsts[r.part].len, r.sym, r.seq + 1, r.total)
             for r in frags.filter("last").select("part", "sym", "seq", "total").collect()]
@@ -83,9 +80,7 @@ def runs_of_ranks(ranked: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
     follows from the rank, so nothing is sampled."""
     parts = partitions_for(ranked.sparkSession, rows)
     per_part = -(-max(rows, 1) // parts)
-    ordered = (ranked.select(F.expr(f"cast(rank div {per_part} as int)").alias("part"), "rank", "sym")
-               .repartitionById(parts, "part").sortWithinPartitions("rank")
-               .select("part", "sym", F.lit(1).cast("long").alias("weight")))
+    ordered = ranked.select("rank", "sym").repartitionById(parts, F.expr(f"cast(rank div {per_part} as int)"))
     return runs_of(ordered, scratch)
 
 

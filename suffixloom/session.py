@@ -42,7 +42,7 @@ class Scratch:
         """Write ``df`` and return the table read back, which has no lineage."""
         self._tables += 1
         path = f"{self.path}/{self._tables:03d}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "lz4_raw").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

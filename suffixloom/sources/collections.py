@@ -22,11 +22,11 @@ END_MARKER = "\\$\\z"
 PATH_SPACE = " \n\r\t"
 
 
-def from_table(df: DataFrame, key: str | Column, text: str | Column) -> DataFrame:
-    """``doc, text`` of a table whose BIGINT ``key`` is unique and gives the order."""
-    key = F.col(key) if isinstance(key, str) else key
-    text = F.col(text) if isinstance(text, str) else text
-    return df.select(key.cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
+def from_table(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc, text`` of a table whose BIGINT ``key`` (an SQL expression) is unique
+    and gives the order; a missing text is an empty document."""
+    docs = df.select(F.expr(key).cast("long").alias("doc"), F.expr(text).alias("text"))
+    return docs.withColumn("text", F.coalesce("text", F.lit("").cast(docs.schema["text"].dataType)))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
