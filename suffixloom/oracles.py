@@ -46,6 +46,25 @@ def rl_bwt_sql(name: str) -> str:
     return f"WITH docs AS ({COLLECTIONS[name]}), sorted AS ({sorted_suffixes()}) {RUNS}"
 
 
+def doubled_suffixes(name: str, first: int = 32, top: int = 1 << 18) -> str:
+    """CTEs ending in ``sorted``, for texts too long to sort whole suffixes: ranks by
+    the first symbols, then by ranks of suffixes that start twice as far away."""
+    sql = f"""WITH docs AS ({COLLECTIONS[name]}),
+    r0 AS MATERIALIZED (SELECT doc, off, rank() OVER (ORDER BY k, tie) AS r FROM (
+      SELECT doc, i AS off, substr(t, i + 1, {first}) AS k, CASE WHEN length(t) - i < {first} THEN doc ELSE -1 END AS tie
+      FROM (SELECT doc, t, unnest(generate_series(0, length(t))) AS i FROM docs)))"""
+    done, n = first, 0
+    while done < top:
+        sql += f""",
+    r{n + 1} AS MATERIALIZED (SELECT doc, off, rank() OVER (ORDER BY r, nx) AS r FROM (
+      SELECT doc, off, r, lead(r, {done}, 0) OVER (PARTITION BY doc ORDER BY off) AS nx FROM r{n}))"""
+        done, n = done * 2, n + 1
+    return sql + f""",
+    sorted AS (SELECT r - 1 AS bwt_idx, CASE WHEN off = 0 THEN chr(2) ELSE c END AS ch
+      FROM r{n} LEFT JOIN (SELECT doc, i AS off, l[i] AS c FROM (SELECT doc, l, unnest(generate_series(1, len(l))) AS i
+        FROM (SELECT doc, string_split(t, '') AS l FROM docs WHERE t <> ''))) USING (doc, off))"""
+
+
 def common_prefix(source: str, a: str, b: str, out: str, top: int = 1 << 20) -> str:
     """Add ``out`` = length of the common prefix of the strings ``a`` and ``b``."""
     sql, step = f"SELECT *, 0::BIGINT AS {out} FROM ({source})", top
@@ -238,7 +257,8 @@ def oracles() -> dict[str, str]:
         "suffix_order": f"WITH docs AS ({COLLECTIONS['benchmark']}), sorted AS ({sorted_suffixes()}) "
                         "SELECT bwt_idx, doc AS doc_ord, off, ch FROM sorted",
         "rl_bwt_conversations": rl_bwt_sql("conversations"),
-        "rl_bwt_pages": rl_bwt_sql("pages"),
+        "rl_bwt_pages": doubled_suffixes("pages") + RUNS,
+        "rl_bwt_documents": doubled_suffixes("documents") + RUNS,
         "bwt_planned": bwt_sql("supplier"),
         "bwt_prefix": limited("events", 50_000) + f", sorted AS ({sorted_suffixes()}) SELECT bwt_idx, ch FROM sorted",
         "bwt_heads_events": bwt_sql("events"),

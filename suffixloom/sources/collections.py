@@ -78,12 +78,18 @@ def lines_to_base(lines: DataFrame) -> DataFrame:
     """One row ``text`` from ``line`` rows in LINE_ORDER.  If the first line is a
     header, headers and empty lines are dropped and the records joined; otherwise
     the text is taken as it is.  One trailing line end and one marker are cut."""
-    whole = lines.agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER, "line"))).alias("l")).select(
-        F.transform("l", lambda r: r["line"]).alias("lines"))
+    whole = lines.agg(
+        F.sort_array(F.collect_list(F.struct(*LINE_ORDER, "line"))).alias("l"),
+        F.sum(F.octet_length("line") + 1).alias("with_ends"),
+        F.collect_set(F.struct("file", "file_bytes")).alias("files")).select(
+        F.transform("l", lambda r: r["line"]).alias("lines"),
+        (F.col("with_ends") == F.aggregate("files", F.lit(0).cast("long"), lambda n, f: n + f["file_bytes"]))
+        .alias("terminated"))
     fasta = F.element_at("lines", 1).startswith(HEADER)
     records = F.filter("lines", lambda x: ~x.startswith(HEADER) & (x != ""))
-    text = F.when(fasta, F.array_join(records, "")).otherwise(F.array_join("lines", "\n"))
-    return whole.select(trim_tail(text).alias("text"))
+    raw = F.concat(F.array_join("lines", "\n"), F.when(F.col("terminated"), "\n").otherwise(""))
+    text = F.when(fasta, F.array_join(records, "")).otherwise(raw)
+    return whole.filter(F.size("lines") > 0).select(trim_tail(text).alias("text"))
 
 
 def trim_tail(text: Column) -> Column:
