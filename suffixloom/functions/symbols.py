@@ -26,7 +26,8 @@ def codes_of(texts: list) -> np.ndarray:
 
 def symbol_column(code: Column) -> Column:
     """The one-character string of a code point (any plane)."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    any_plane = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(code < 128, F.char(code)).otherwise(any_plane)
 
 
 @dataclass(frozen=True)

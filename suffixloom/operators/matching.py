@@ -42,7 +42,9 @@ def base_arrays(index: DataFrame, base: BaseString) -> SimpleNamespace:
     codes = np.append(base.codes, -1)
     ranks = np.flatnonzero(sa > 0)
     steps = np.sort(codes[sa[ranks] - 1] * (n + 1) + ranks)
-    return SimpleNamespace(codes=codes, sa=sa, isa=isa, lcp=lcp, steps=steps)
+    size = np.int32 if n < 1 << 31 else np.int64
+    return SimpleNamespace(codes=codes.astype(np.int32), sa=sa.astype(size), isa=isa.astype(size),
+                           lcp=lcp.astype(size), steps=steps)
 
 
 def _places(text: np.ndarray, ends: np.ndarray, lens: np.ndarray, base: SimpleNamespace) -> np.ndarray:
@@ -87,9 +89,10 @@ def _match(docs: np.ndarray, texts: list, base: SimpleNamespace):
     text[np.arange(len(raw)) + np.repeat(np.arange(len(texts)), lens)] = raw
     n = len(base.sa)
     place = _places(text, ends, lens, base)
-    above, below = base.sa[np.minimum(place, n - 1)], base.sa[place - 1]
+    above = base.sa[np.minimum(place, n - 1)].astype(np.int64)
+    below = base.sa[place - 1].astype(np.int64)
     at = np.arange(len(text))
-    shared = np.maximum(base.lcp[place], 0)  # what both neighbours share with the suffix
+    shared = np.maximum(base.lcp[place], 0).astype(np.int64)  # what both neighbours share with the suffix
     symbol = text[np.minimum(at + shared, len(text) - 1)]
     no_above = place == n
     longer_above = ~no_above & (base.codes[above + shared] == symbol)
@@ -159,7 +162,7 @@ def insert_heads(collection: DataFrame, arrays) -> DataFrame:
                 "pos": pos[heads], "len": length, "smaller": smaller[heads],
                 "run_len": np.where(is_sep[heads], 0, np.append(heads[1:], 0) - heads - 1),
                 "sym": before.astype(np.int32), "next_off": nxt - first[doc],
-                "isa_pos": base.isa[pos[heads]], "isa_next": base.isa[target]})
+                "isa_pos": base.isa[pos[heads]].astype(np.int64), "isa_next": base.isa[target].astype(np.int64)})
 
     return collection.select("doc", "text").mapInArrow(run, HEAD_SCHEMA)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.symbols import SEPARATOR, Alphabet, codes_of, pack_windows
 
-CHUNK_SYMBOLS = 1 << 20
+CHUNK_SYMBOLS = 1 << 20  # texts are taken in pieces of about this size
 PACKED_LONGS = 2
 SUFFIX_SCHEMA = "doc long, off long, sym int, k1 long, k2 long, tie long"
 
@@ -50,7 +50,31 @@ def suffix_rows(collection: DataFrame, alphabet: Alphabet) -> DataFrame:
 
     def explode(batches):
         table, width = alphabet.table(), PACKED_LONGS * alphabet.per_long
+
+        def rows(codes, before, doc, off):
+            """Rows of the positions of ``doc, off``; ``codes`` holds more symbols than positions."""
+            (k1, k2), ended = pack_windows(codes, len(doc), alphabet, PACKED_LONGS)
+            yield from pa.Table.from_pydict({
+                "doc": doc, "off": off, "sym": before, "k1": k1, "k2": k2,
+                "tie": np.where(ended, doc + 1, 0)}).to_batches(max_chunksize=1 << 16)
+
         for docs, texts in chunks(batches):
+            long_docs = [i for i, t in enumerate(texts) if len(t) > CHUNK_SYMBOLS]
+            for i in long_docs:  # a long text goes by slices that overlap by what is packed
+                text = texts[i]
+                for lo in range(0, len(text) + 1, CHUNK_SYMBOLS):
+                    n = min(CHUNK_SYMBOLS, len(text) + 1 - lo)
+                    codes = np.zeros(n + width, dtype=np.int64)
+                    piece = codes_of([text[lo:lo + n + width]])
+                    codes[:len(piece)] = table[piece]
+                    prev = codes_of([text[max(lo - 1, 0):lo + n - 1]]).astype(np.int32)
+                    before = prev if lo else np.append(np.int32(SEPARATOR), prev)
+                    yield from rows(codes, before, np.full(n, docs[i]), np.arange(lo, lo + n))
+            if long_docs:
+                short = [i for i, t in enumerate(texts) if len(t) <= CHUNK_SYMBOLS]
+                docs, texts = docs[short], [texts[i] for i in short]
+            if not texts:
+                continue
             codes = codes_of(texts)
             lens = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
             starts = np.cumsum(lens + 1) - (lens + 1)
@@ -61,13 +85,7 @@ def suffix_rows(collection: DataFrame, alphabet: Alphabet) -> DataFrame:
             dense[at] = table[codes]
             before[at + 1] = codes
             before[starts] = SEPARATOR
-            doc = np.repeat(docs, lens + 1)
-            off = np.arange(total) - np.repeat(starts, lens + 1)
-            for lo in range(0, total, CHUNK_SYMBOLS):
-                hi = min(total, lo + CHUNK_SYMBOLS)
-                (k1, k2), ended = pack_windows(dense[lo:hi + width], hi - lo, alphabet, PACKED_LONGS)
-                yield pa.RecordBatch.from_pydict({
-                    "doc": doc[lo:hi], "off": off[lo:hi], "sym": before[lo:hi], "k1": k1, "k2": k2,
-                    "tie": np.where(ended, doc[lo:hi] + 1, 0)})
+            yield from rows(dense, before[:-1], np.repeat(docs, lens + 1),
+                            np.arange(total) - np.repeat(starts, lens + 1))
 
     return collection.select("doc", "text").mapInArrow(explode, SUFFIX_SCHEMA)

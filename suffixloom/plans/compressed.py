@@ -92,3 +92,7 @@ class CompressedBwt:
 
     def bwt(self) -> DataFrame:
         return expand_runs(self._runs)
+
+    def close(self) -> None:
+        """Drop the tables behind the relations."""
+        self.scratch.delete()

@@ -20,10 +20,9 @@ def choose(collection: DataFrame, base: DataFrame | None) -> str:
     size = base.select(F.length("text").alias("n")).first()
     if size is None or not 0 < size.n <= max_index_symbols(collection.sparkSession):
         return "suffixes"
-    some = collection.orderBy(F.xxhash64("doc")).limit(SAMPLE_DOCS)
-    plan = CompressedBwt(some, base)
-    positions = some.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    return "heads" if positions and plan.n_heads <= WORTH_IT * positions else "suffixes"
+    plan = CompressedBwt(collection.limit(SAMPLE_DOCS), base)
+    seen = plan.heads.agg(F.count("*").alias("heads"), F.sum(F.col("run_len") + 1).alias("positions")).first()
+    return "heads" if seen.heads and seen.heads <= WORTH_IT * seen.positions else "suffixes"
 
 
 def bwt(collection: DataFrame, base: DataFrame | None = None, prefix: int | None = None, strategy: str | None = None):

@@ -30,6 +30,10 @@ class RankedSuffixes:
     def rl_bwt(self) -> DataFrame:
         return rl_bwt_columns(self.runs())
 
+    def close(self) -> None:
+        """Drop the tables behind the ranks."""
+        self.scratch.delete()
+
 
 def rank_suffixes(collection: DataFrame, scratch: Scratch | None = None) -> RankedSuffixes:
     """Rank every suffix of ``collection (doc BIGINT, text)``; ``doc`` is unique and

@@ -45,6 +45,11 @@ class Scratch:
         df.write.option("compression", "lz4_raw").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def delete(self) -> None:
+        """Drop the tables, once nothing that reads them is needed any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def partitions_for(spark: SparkSession, rows: int) -> int:
     """How many partitions hold ``rows`` rows; bounded, as one summary row per

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.base_index import BaseTooLong
 from ..operators.heads import ordered_index
-from ..session import Scratch
+from ..session import Scratch, max_index_symbols
 
 LINE_ORDER = ["file", "split", "line_no"]
 # The byte that opens a header line, the bytes trimmed once from the
@@ -78,6 +79,9 @@ def lines_to_base(lines: DataFrame) -> DataFrame:
     """One row ``text`` from ``line`` rows in LINE_ORDER.  If the first line is a
     header, headers and empty lines are dropped and the records joined; otherwise
     the text is taken as it is.  One trailing line end and one marker are cut."""
+    size = lines.agg(F.sum(F.length("line"))).first()[0] or 0
+    if size > max_index_symbols(lines.sparkSession):
+        raise BaseTooLong(f"base string of {size} symbols")
     whole = lines.agg(
         F.sort_array(F.collect_list(F.struct(*LINE_ORDER, "line"))).alias("l"),
         F.sum(F.octet_length("line") + 1).alias("with_ends"),

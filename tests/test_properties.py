@@ -135,3 +135,19 @@ def test_too_long_a_base_falls_back(spark, collection, base):
             bi.augment(base(text), collection(docs))
     finally:
         spark.conf.unset("spark.suffixloom.maxIndexSymbols")
+
+
+def test_long_texts_go_by_slices(collection, monkeypatch):
+    from suffixloom.operators import suffixes
+    monkeypatch.setattr(suffixes, "CHUNK_SYMBOLS", 16)
+    _, docs = near_copies(11, "ACGT", 70, 6, 0.1)
+    docs += ["", "ACGT", "A" * 16, "A" * 15, "A" * 17, "A" * 32]
+    assert symbols(rank_suffixes(collection(docs)).bwt()) == brute.bwt(docs)
+
+
+def test_scratch_tables_can_be_dropped(collection):
+    import os
+    ranked = rank_suffixes(collection(["ab", "abc"]))
+    assert os.path.exists(ranked.scratch.path)
+    ranked.close()
+    assert not os.path.exists(ranked.scratch.path)
