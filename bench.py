@@ -4,7 +4,7 @@ import json
 import os
 import time
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 from suffixloom.plans.compressed import CompressedBwt
 from suffixloom.plans.suffix_sort import rank_suffixes
@@ -20,20 +20,19 @@ def consume(df):
 
 
 def by_suffixes(name, out):
-    return lambda spark: consume(getattr(rank_suffixes(collection(spark, SF_DIR, name)), out)())
-
-
-def by_heads(name, out):
     def run(spark):
-        docs = collection(spark, SF_DIR, name)
-        consume(getattr(CompressedBwt(docs, first_text(docs)), out)())
+        plan = rank_suffixes(collection(spark, SF_DIR, name))
+        consume(getattr(plan, out)())
+        plan.close()
     return run
 
 
-def matches(name):
+def by_heads(name, out):
     def run(spark):
         docs = collection(spark, SF_DIR, name)
-        consume(CompressedBwt(docs, first_text(docs)).matches)
+        plan = CompressedBwt(docs, first_text(docs))
+        consume(getattr(plan, out)() if out != "matches" else plan.matches)
+        plan.close()
     return run
 
 
@@ -44,7 +43,7 @@ QUERIES = {
     "bwt_events": by_suffixes("events", "bwt"),
     "rl_bwt_heads_customer": by_heads("customer", "rl_bwt"),
     "rl_bwt_heads_events": by_heads("events", "rl_bwt"),
-    "matching_statistics_documents": matches("documents"),
+    "matching_statistics_documents": by_heads("documents", "matches"),
 }
 
 

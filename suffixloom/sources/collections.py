@@ -7,7 +7,7 @@ read in parallel and no file passes through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.base_index import BaseTooLong
 from ..operators.heads import ordered_index
@@ -52,10 +52,15 @@ def lines_to_documents(lines: DataFrame, scratch: Scratch, keep_leading_empty: b
     """``doc, text``: a header line or an empty line closes the document before it,
     other lines are joined.  What follows the last break is a document only if it
     has content; an empty document before a leading header is kept by default."""
-    rows = lines.count()
     broken = lines.withColumn("is_break", (F.col("line").startswith(HEADER) | (F.col("line") == "")).cast("long"))
-    # breaks before a line = the document it belongs to; a break closes that document
-    placed = ordered_index(broken, LINE_ORDER, "doc", scratch, rows, weight="is_break")
+    # breaks before a line = the document it belongs to; a break closes that document.
+    # Lines are counted inside their split, which is bounded, and splits among each other.
+    splits = broken.groupBy("file", "split").agg(F.sum("is_break").alias("breaks"))
+    starts = ordered_index(splits, ["file", "split"], "first_doc", scratch, splits.count(), weight="breaks")
+    before = Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (broken.withColumn("breaks_before", F.coalesce(F.sum("is_break").over(before), F.lit(0)))
+              .join(starts.select("file", "split", "first_doc"), ["file", "split"])
+              .withColumn("doc", F.col("first_doc") + F.col("breaks_before")))
     docs = placed.groupBy("doc").agg(
         F.max("is_break").alias("closed"),
         F.array_join(F.transform(
@@ -120,8 +125,14 @@ def prefix_limit(collection: DataFrame, prefix: int, scratch: Scratch | None = N
     """The first ``prefix`` symbols of the collection, one separator per document
     counted; the document at the cut is shortened so that its separator fits."""
     scratch = scratch or Scratch(collection.sparkSession)
-    sized = collection.select("doc", "text", (F.length("text") + 1).cast("long").alias("size"))
-    placed = ordered_index(sized, ["doc"], "start", scratch, collection.count(), weight="size")
-    room = F.lit(prefix - 1) - F.col("start")
-    return placed.filter(F.col("start") < prefix).select(
-        "doc", F.substring("text", F.lit(1), F.least(F.length("text").cast("long"), room).cast("int")).alias("text"))
+    sizes = collection.select("doc", (F.length("text") + 1).cast("long").alias("size"))
+    starts = ordered_index(sizes, ["doc"], "start", scratch, collection.count(), weight="size")
+    cut = starts.filter(F.col("start") < prefix).agg(
+        F.max("doc").alias("doc"), F.max_by("start", "doc").alias("start")).first()
+    if cut.doc is None:
+        return collection.select("doc", "text").filter(F.lit(False))
+    # only the last kept document is shortened, and no text is shuffled
+    room = max(prefix - 1 - cut.start, 0)
+    return collection.filter(F.col("doc") <= cut.doc).select(
+        "doc", F.when(F.col("doc") == cut.doc, F.substring("text", 1, min(room, (1 << 31) - 1)))
+        .otherwise(F.col("text")).alias("text"))
