@@ -75,10 +75,10 @@ def _mark(keys: list[str], carry: list[str], first: bool):
     return run
 
 
-def _stitch(summaries: list[tuple[int, list[int]]], width: int, first: bool) -> tuple[list[tuple], int, int]:
+def _stitch(summaries: list[tuple[int, list[int]]], width: int, first: bool) -> tuple[list[tuple], int, int, int]:
     """Per partition: rows of its first group and shift of its first sub-group
     that lie in earlier partitions, and whether its ends continue elsewhere.
-    Also the number of rows that are not unique, and the largest sub-group."""
+    Also the number of rows, of those that are not unique, and of the largest sub-group."""
     rows, total, unique, largest = [], 0, 0, 0
     last_key, group_rows, sub_shift, sub_rows, last_alone = None, 0, 0, 0, False
     for part, s in sorted(summaries):
@@ -99,16 +99,17 @@ def _stitch(summaries: list[tuple[int, list[int]]], width: int, first: bool) ->
         sub_rows = n - sub_at + (sub_rows if same_sub and sub_at == 0 else 0)
         largest = max(largest, longest, sub_rows)
         last_key, last_alone = tail, bool(alone_last)
-    return [tuple(r) for r in rows], total - unique, largest
+    return [tuple(r) for r in rows], total, total - unique, largest
 
 
 FIX_SCHEMA = "part int, before long, first_shift long, joins_prev boolean, joins_next boolean"
 
 
 def _ranked(placed: DataFrame, keys: list[str], carry: list[str], scratch: Scratch,
-            first: bool = False) -> tuple[DataFrame, int, int]:
+            first: bool = False) -> tuple[DataFrame, int, int, int]:
     """Refine the ranks of partitions that follow each other in key order.  Returns
-    the elements with their ranks, how many share theirs, and the largest group."""
+    the elements with their ranks, their number, how many share theirs, and the
+    size of the largest group."""
     spark = placed.sparkSession
     schema = T.StructType(
         [T.StructField(c, placed.schema[c].dataType) for c in ("doc", "off", *carry)]
@@ -116,7 +117,7 @@ def _ranked(placed: DataFrame, keys: list[str], carry: list[str], scratch: Scrat
     marked = scratch.save(placed.mapInArrow(_mark(keys, carry, first), schema), "ranks")
     summaries = [(r.part, r.summary) for r in
                  marked.filter(F.col("summary").isNotNull()).select("part", "summary").collect()]
-    fixes, left, largest = _stitch(summaries, len(keys), first)
+    fixes, total, left, largest = _stitch(summaries, len(keys), first)
     fix = spark.createDataFrame(fixes, FIX_SCHEMA)  # one row per partition
 
     def has(flag):
@@ -128,14 +129,17 @@ def _ranked(placed: DataFrame, keys: list[str], carry: list[str], scratch: Scrat
     ranked = (marked.filter(F.col("summary").isNull()).join(F.broadcast(fix), "part")
               .select("doc", "off", *carry, (F.col("rk") + carried).alias("rk"),
                       (~unique).alias("open"), has(WAS_OPEN).alias("was_open")))
-    return ranked, left, largest
+    return ranked, total, left, largest
 
 
-def _look_ahead(ranks: DataFrame, depth: int) -> DataFrame:
+def _look_ahead(ranks: DataFrame, depth: int, parts: int) -> DataFrame:
     """Add the ranks of the elements 1, 2 and 3 times ``depth`` later; drop the
-    closed elements that no open one will ask for again."""
-    w = Window.partitionBy("doc", F.col("off") % depth).orderBy("off")
-    ahead = ranks.withColumns(
+    closed elements that no open one will ask for again.
+
+    Elements that lie multiples of ``depth`` apart form a class, so even a single
+    long document spreads over ``depth`` classes."""
+    w = Window.partitionBy("doc", "class").orderBy("off")
+    ahead = ranks.withColumn("class", F.col("off") % depth).repartition(parts, "doc", "class").withColumns(
         {f"o{j}": F.lead("off", j).over(w) for j in range(1, STEPS + 1)}
         | {f"r{j}": F.lead("rk", j).over(w) for j in range(1, STEPS + 1)}
         | {"po": F.lag("off").over(w), "asks": F.lag("open").over(w)})
@@ -143,7 +147,7 @@ def _look_ahead(ranks: DataFrame, depth: int) -> DataFrame:
              .otherwise(0).alias(f"n{j}") for j in range(1, STEPS + 1)]
     asked = F.coalesce((F.col("po") == F.col("off") - depth) & F.col("asks"), F.lit(False))
     return ahead.filter(F.col("open") | asked).select(
-        *[c for c in ranks.columns if c not in ("open", "was_open")], F.col("open").alias("was_open"), *nexts)
+        *[c for c in ranks.columns if c not in ("open", "was_open", "class")], F.col("open").alias("was_open"), *nexts)
 
 
 def rank_sequences(elements: DataFrame, keys: list[str], depth: int, scratch: Scratch,
@@ -159,15 +163,15 @@ def rank_sequences(elements: DataFrame, keys: list[str], depth: int, scratch: Sc
     parts = partitions_for(spark, rows)
     slice_rows = -(-max(rows, 1) // parts)
     placed = elements.select("doc", "off", *carry, *keys).repartitionByRange(parts, *keys, "doc", "off")
-    ranks, left, largest = _ranked(placed, keys, carry, scratch, first=True)
+    ranks, total, left, largest = _ranked(placed, keys, carry, scratch, first=True)
     done = [ranks.filter(~F.col("open"))]
     while left:
-        ahead = _look_ahead(ranks, depth)
+        ahead = _look_ahead(ranks, depth, partitions_for(spark, total))
         if largest <= slice_rows:
             placed = ahead.repartitionById(parts, F.expr(f"cast(rk div {slice_rows} as int)"))
         else:
             placed = ahead.repartitionByRange(partitions_for(spark, 2 * left), "rk", *NEXTS, "doc", "off")
-        ranks, left, largest = _ranked(placed, ["rk", *NEXTS], carry, scratch)
+        ranks, total, left, largest = _ranked(placed, ["rk", *NEXTS], carry, scratch)
         done.append(ranks.filter(F.col("was_open") & ~F.col("open")))
         depth *= STEPS + 1
     out = done[0]

@@ -263,6 +263,8 @@ def oracles() -> dict[str, str]:
         "bwt_prefix": limited("events", 50_000) + f", sorted AS ({sorted_suffixes()}) SELECT bwt_idx, ch FROM sorted",
         "bwt_heads_events": bwt_sql("events"),
     }
+    out["matching_statistics_conversations"] = head_queries("conversations")["matching_statistics"]
+    out["rl_bwt_heads_conversations"] = rl_bwt_sql("conversations")
     for name in ("part", "customer", "nation", "events", "conversations"):
         out[f"bwt_{name}"] = bwt_sql(name)
     out |= SOURCE_SQL | INDEX_SQL | head_queries("benchmark")

@@ -241,7 +241,8 @@ def run_stats(spark, sf_dir):
                         F.sum((F.col("len") == 0).cast("long")).alias("n_docs"),
                         F.max("len").alias("max_len"))
     runs = m.runs().agg(F.sum("run_len").alias("n_symbols"), F.count("*").alias("n_runs"))
-    return heads.crossJoin(runs)  # two single rows
+    both = heads.unionByName(runs, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def bucket_counts(spark, sf_dir, name="benchmark"):
@@ -341,4 +342,6 @@ QUERIES = {
     "gap_before_head_customer": lambda s, d: gap_before_head(s, d, "customer"),
     "bwt_heads_customer": heads_bwt("customer"),
     "bwt_heads_events": heads_bwt("events"),
+    "matching_statistics_conversations": lambda s, d: matching_statistics(s, d, "conversations"),
+    "rl_bwt_heads_conversations": heads_rl_bwt("conversations"),
 }
