@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SPACE_RUN, table
+from . import quality as rules
 from .line_dedup import line_dedup
+from .quality import quality
+
+
+def op7_quality_rules(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_line_dedup(spark, sf_dir):
@@ -14,13 +21,46 @@ def op9_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
     "op9_line_dedup": op9_line_dedup,
 }
 
 LINE_KEYS = r"""translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+LINE_FAILS = f"""(NOT regexp_matches(l, {_quoted(rules.SENTENCE_END)}) OR regexp_matches(l, {_quoted(rules.MENU)})
+ OR 10 * (length(l) - length(regexp_replace(l, '{rules.SYMBOLS}', '', 'g'))) > length(l)
+ OR regexp_matches(l, '{rules.SHOUT_MARKS}')
+ OR (NOT regexp_matches(l, '{rules.SMALL_LETTER}') AND regexp_matches(l, '{rules.CAPITAL}')
+     AND length(l) >= {rules.SHOUT_LENGTH}) OR regexp_matches(lower(l), '{rules.BOILERPLATE}'))"""
+
 ORACLES = {
+    "op7_quality_rules": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT r, doc_id, text, regexp_extract_all(text, '{rules.HAS_WORD}+') AS w FROM docs),
+words AS (SELECT r, unnest(w) AS x, unnest(generate_series(1, len(w))) AS i FROM parts),
+wins AS (SELECT r, i, x AS a, lead(x) OVER p AS b, lead(x, 2) OVER p AS c FROM words WINDOW p AS (PARTITION BY r ORDER BY i)),
+twins AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM wins WHERE c IS NOT NULL) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twins) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS l FROM docs),
+judged AS (SELECT r, l, {LINE_FAILS} AS fails,
+  length(regexp_replace(l, '{SPACE_RUN}', '', 'g')) AS chars FROM lines WHERE regexp_matches(l, '{rules.HAS_WORD}')),
+sums AS (SELECT r, count(*) - count(DISTINCT l) AS dups, sum(chars) FILTER (fails) AS lost FROM judged GROUP BY r),
+figures AS (SELECT doc_id, len(w)::BIGINT AS n_words,
+  length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '{rules.SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM parts LEFT JOIN sums USING (r) LEFT JOIN covered USING (r)),
+verdict AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed
+  FROM figures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND 100 * lost <= {rules.MAX_LOSS_PERCENT} * word_chars AS kept FROM verdict""",
     "op9_line_dedup": f"""
 WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT r, doc_id, unnest(ls) AS l, unnest(generate_series(1, len(ls))) AS i FROM split),
