@@ -1,6 +1,6 @@
 """Quality rules, lines first.
 
-Each line with a word is judged by itself: it must end like a sentence, must not be a
+Each line with a word is judged by itself: it must have a sentence end, must not be a
 row of menu entries, a notice that sites repeat everywhere, shouting, or symbol noise.
 Failing lines are removed, and a document that loses too much of its text that way, is
 too short or repeats itself is rejected.
@@ -24,8 +24,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOSS_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
 HAS_WORD = r"[^ \t\n\x0b\x0c\r]"
-#: How a line of prose may end: a sentence mark, then closing quotes or brackets, then white space.
-SENTENCE_END = r"[.!?…:;。！？]['\")\]»”’*_]*[ \t\x0b\x0c\r]*$"
+#: What a line of prose has: a sentence mark, then closing quotes or brackets, then white space or the end.
+SENTENCE_END = r"[.!?…:;。！？]['\")\]»”’]*([ \t\x0b\x0c\r]|$)"
 #: A row of menu entries has three separators, shouting three doubled marks or no small letter.
 MENU = r"(?:[|•·»›>][ \t][^|•·»›>]*){3}"
 SHOUT_MARKS = r"(?:[!?]{2}[^!?]*){3}"
