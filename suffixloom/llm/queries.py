@@ -8,6 +8,11 @@ from .common import SPACE_RUN, table
 from . import quality as rules
 from .line_dedup import line_dedup
 from .quality import quality
+from .url_filter import url_filter
+
+
+def op6_url_filter(spark, sf_dir):
+    return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_quality_rules(spark, sf_dir):
@@ -21,6 +26,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op9_line_dedup": op9_line_dedup,
 }
