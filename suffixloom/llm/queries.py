@@ -6,11 +6,18 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, table
 from . import quality as rules
+from .licence_texts import LICENCES, NOTICES, SPELLINGS
+from .licences import COPYRIGHT_LINE, NOT_WORD, licence_scan
 from .line_dedup import line_dedup
 from .quality import quality
 from .url_filter import url_filter
 
 
+def op5_licence_scan(spark, sf_dir):
+    return licence_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "canonical_sha256", "license", F.array_join("notices", ",").alias("notices"))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -26,6 +33,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_licence_scan": op5_licence_scan,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op9_line_dedup": op9_line_dedup,
@@ -46,7 +54,29 @@ LINE_FAILS = f"""(NOT regexp_matches(l, {_quoted(rules.SENTENCE_END)}) OR regexp
  OR (NOT regexp_matches(l, '{rules.SMALL_LETTER}') AND regexp_matches(l, '{rules.CAPITAL}')
      AND length(l) >= {rules.SHOUT_LENGTH}) OR regexp_matches(lower(l), '{rules.BOILERPLATE}'))"""
 
+
+
+def _canonical(text: str) -> str:
+    out = f"' ' || regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g'), '{NOT_WORD}', ' ', 'g') || ' '"
+    for found, meant in SPELLINGS:
+        out = f"replace({out}, ' {found} ', ' {meant} ')"
+    return f"trim({out})"
+
+
+def _known(texts) -> str:
+    rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in texts)
+    return f"SELECT {_canonical('t')} AS c, min(license) AS license FROM (VALUES {rows}) v(license, t) GROUP BY c"
+
+
 ORACLES = {
+    "op5_licence_scan": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+entire AS ({_known(LICENCES + NOTICES)}), single AS ({_known(NOTICES)}),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS l FROM docs),
+noticed AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM lines JOIN single ON {_canonical('l')} = c GROUP BY r)
+SELECT doc_id, sha256({_canonical('text')}) AS canonical_sha256, license, coalesce(notices, '') AS notices
+FROM docs LEFT JOIN entire ON {_canonical('text')} = c LEFT JOIN noticed USING (r)""",
     "op7_quality_rules": f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 parts AS (SELECT r, doc_id, text, regexp_extract_all(text, '{rules.HAS_WORD}+') AS w FROM docs),
