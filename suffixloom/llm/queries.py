@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, table
@@ -9,9 +10,19 @@ from . import quality as rules
 from .licence_texts import LICENCES, NOTICES, SPELLINGS
 from .licences import COPYRIGHT_LINE, NOT_WORD, licence_scan
 from .line_dedup import line_dedup
+from .pieces import sentencepiece
 from .quality import quality
 from .url_filter import url_filter
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark, sf_dir):
+    encoded = sentencepiece(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL,
+                            ("n_tokens", "ids_text", "decoded"))
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
 def op5_licence_scan(spark, sf_dir):
     return licence_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -33,6 +44,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_licence_scan": op5_licence_scan,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
