@@ -18,13 +18,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 
 def add_columns(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[list], dict]],
-                source: str, rows: int = SLICE_ROWS) -> DataFrame:
+                source: str, keep: list[str] | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """``df`` with the columns of ``schema``, computed from column ``source``.
 
     ``make()`` runs once a task and returns the function from a list of values to the
-    columns; columns of ``df`` that have the name of an added one give way."""
-    names = set(schema.names)
-    own = [c for c in df.columns if c not in names]
+    columns; columns of ``df`` that have the name of an added one give way, and of the
+    others only those in ``keep`` are returned, if it is given."""
+    own = [c for c in df.columns if c not in schema.names and (keep is None or c in keep)]
     carried = list(dict.fromkeys([*own, source]))
 
     def run(batches):

@@ -325,8 +325,8 @@ SCHEMA = T.StructType([
 
 
 def sentencepiece(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "begins", "ends", "decoded"),
-                  cached_units: int = CACHED_UNITS) -> DataFrame:
-    """``docs`` with ``outputs``, out of: ``n_tokens``; ``ids``; ``ids_text`` (decimal ids joined
+                  cached_units: int = CACHED_UNITS, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (of it the columns ``keep``, if given) with ``outputs``, out of: ``n_tokens``; ``ids``; ``ids_text`` (decimal ids joined
     by commas); ``begins`` and ``ends`` (byte spans of the pieces in the text); ``decoded``."""
     schema = T.StructType([SCHEMA[c] for c in outputs])
 
@@ -359,4 +359,4 @@ def sentencepiece(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = (
             return out
         return work
 
-    return add_columns(docs, schema, make, "text")
+    return add_columns(docs, schema, make, "text", keep)

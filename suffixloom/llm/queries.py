@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, table
+from .decontaminate import decontaminate
 from . import quality as rules
 from .licence_texts import LICENCES, NOTICES, SPELLINGS
 from .licences import COPYRIGHT_LINE, NOT_WORD, licence_scan
 from .line_dedup import line_dedup
+from .main_text import main_text
 from .pieces import sentencepiece
 from .quality import quality
 from .url_filter import url_filter
@@ -17,9 +19,13 @@ from .url_filter import url_filter
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op3_main_text(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
+
+
 def op4_sentencepiece(spark, sf_dir):
-    encoded = sentencepiece(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL,
-                            ("n_tokens", "ids_text", "decoded"))
+    encoded = sentencepiece(table(spark, sf_dir, "documents"), PIECE_MODEL, ("n_tokens", "ids_text", "decoded"),
+                            keep=["doc_id"])
     return encoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -38,16 +44,22 @@ def op7_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op3_main_text": op3_main_text,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_licence_scan": op5_licence_scan,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
 }
 
