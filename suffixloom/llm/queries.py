@@ -12,6 +12,7 @@ from .licence_texts import LICENCES, NOTICES, SPELLINGS
 from .licences import COPYRIGHT_LINE, NOT_WORD, licence_scan
 from .line_dedup import line_dedup
 from .main_text import main_text
+from .ngram_join import ngram_join
 from .pieces import sentencepiece
 from .quality import quality
 from .url_filter import url_filter
@@ -19,6 +20,10 @@ from .url_filter import url_filter
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op3_main_text(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
 
@@ -54,6 +59,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_main_text": op3_main_text,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_licence_scan": op5_licence_scan,
