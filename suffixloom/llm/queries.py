@@ -15,6 +15,7 @@ from .main_text import main_text
 from .ngram_join import ngram_join
 from .pieces import sentencepiece
 from .quality import quality
+from .suffix_dedup import suffix_dedup
 from .url_filter import url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,6 +59,11 @@ def op9_line_dedup(spark, sf_dir):
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_main_text": op3_main_text,
@@ -67,6 +73,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 LINE_KEYS = r"""translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
