@@ -16,11 +16,19 @@ from .ngram_join import ngram_join
 from .pieces import sentencepiece
 from .quality import quality
 from .suffix_dedup import suffix_dedup
+from .toxicity import is_held_out, toxicity, train
 from .url_filter import url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return toxicity(docs, model, keep=["doc_id"]).select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_ngram_join(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -65,6 +73,7 @@ def op10_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
     "op3_main_text": op3_main_text,
     "op4_sentencepiece": op4_sentencepiece,
