@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .arrow import add_columns
 
 TRAIN_DOCS, TRAIN_BYTES = 6000, 1 << 15
-WINDOW_WORDS = 8
-SHARED_BYTES, TOXIC_BYTES = 1536, 1 << 16
+WINDOW_WORDS = 5
+SHARED_BYTES, TOXIC_BYTES = 3072, 1 << 16
 #: A toxic segment stands in this share of the toxic texts, and in so many times the share of ordinary ones.
 SUPPORT, CONTRAST = 0.02, 30
 SEGMENT = re.compile(rb"[^ ]{4,24}(?= )")
