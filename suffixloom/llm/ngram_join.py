@@ -248,7 +248,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
             "uid", "t1", "t2", "first_id", "copies", F.col("label").alias("part"),
             F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
         .withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")), "members")
-    matched = members.join(rows, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select(
+    # merged at every size: a text with very many copies is split, and no plan depends on the sample at hand
+    matched = members.hint("merge").join(rows, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select(
         "uid", "copies", "part", "blocks", "block", "text")
     shingled = matched.mapInArrow(
         _with_shingles, "uid long, copies long, part long, blocks int, block int, shingles binary").join(
