@@ -120,7 +120,7 @@ NOTICES = [
 
 #: Spellings that count as one (fixed values), in normalised form: (found, meant).
 SPELLINGS = [
-    ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sub licence", "sublicense"),
+    ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sub licence", "sublicense"), ("sublicence", "sublicense"),
     ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"),
     ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("favour", "favor"),
     ("authorisation", "authorization"), ("authorised", "authorized"), ("organisation", "organization"),

@@ -63,6 +63,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, scratch: Scratch | None = No
     parts = F.split("text", LINE_BREAK, -1)
     left = bound(parts, lambda p: F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(p) - 1), places), lambda i: F.get(p, i)))
-    return rows.join(dropped, ["t1", "t2"], "left").select(
-        "row.*", F.size(parts).cast("long").alias("n_lines"), F.size(places).cast("long").alias("n_dropped"),
+    out = rows.join(dropped, ["t1", "t2"], "left").select(
+        "row", F.size(parts).cast("long").alias("n_lines"), F.size(places).cast("long").alias("n_dropped"),
         F.when(F.size(places) == 0, F.col("text")).otherwise(F.array_join(left, LINE_BREAK)).alias("kept"))
+    return out.select("row.*", *added)

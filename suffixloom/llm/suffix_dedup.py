@@ -334,5 +334,6 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, keep: list[str] | None = Non
 
     own = [c for c in docs.columns if c not in SCHEMA.names and (keep is None or c in keep)]
     joined = (docs.select(F.struct(*own).alias("_own"), text.alias("_text"), *digest_columns(text))
-              .join(spans, ["t1", "t2"], "left").select("_own.*", F.struct(F.col("_text").alias("text"), "found").alias("_pair")))
+              .join(spans, ["t1", "t2"], "left").select("_own", F.struct(F.col("_text").alias("text"), "found").alias("_pair"))
+              .select("_own.*", "_pair"))
     return add_columns(joined, SCHEMA, make, "_pair", own, 64)
