@@ -14,6 +14,7 @@ from pyspark.sql import Column, functions as F
 # for "start of a document" in the output, and the legal single-byte symbols.
 BASE_END = 1
 SEPARATOR = 2
+FIRST_CODE = 3  # where symbols start once ends and separators stand among them
 LEGAL_LOW, LEGAL_HIGH = 3, 127
 
 

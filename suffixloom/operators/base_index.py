@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.nearest import nearest_smaller
-from ..functions.symbols import BASE_END, LEGAL_HIGH, LEGAL_LOW, codes_of
+from ..functions.symbols import BASE_END, FIRST_CODE, LEGAL_HIGH, LEGAL_LOW, codes_of
 from ..session import Scratch, max_index_symbols
 from .suffixes import symbol_counts
 
@@ -28,18 +28,20 @@ class BaseTooLong(ValueError):
 
 @dataclass(frozen=True)
 class BaseString:
-    """``base || symbols it lacks, ascending || BASE_END``; ``n`` counts its suffixes."""
+    """``base || symbols it lacks, ascending``, followed by an end of its own that sorts
+    before every symbol; ``n`` counts its suffixes, with the one of the end and the empty one."""
 
     text: str | bytes
     base_len: int
 
     @property
     def n(self) -> int:
-        return len(self.text) + 1
+        return len(self.text) + 2
 
     @property
     def codes(self) -> np.ndarray:
-        return codes_of([self.text]).astype(np.int64)
+        """Symbols from FIRST_CODE on, then BASE_END."""
+        return np.append(codes_of([self.text]).astype(np.int64) + FIRST_CODE, BASE_END)
 
 
 def concat_base(parts: DataFrame) -> DataFrame:
@@ -68,7 +70,6 @@ def augment(base: DataFrame, collection: DataFrame) -> BaseString:
     if len(text) > max_index_symbols(base.sparkSession):
         raise BaseTooLong(f"base string of {len(text)} symbols")
     codes = sorted(r.code for r in missing_symbols(base, collection).collect())  # at most one per symbol
-    codes.append(BASE_END)
     tail = bytes(codes) if isinstance(text, bytes) else "".join(map(chr, codes))
     return BaseString(text + tail, len(text))
 
@@ -101,8 +102,12 @@ def base_index(spark, base: BaseString, scratch: Scratch) -> DataFrame:
 
     kind = "binary" if isinstance(base.text, (bytes, bytearray)) else "string"
     one = spark.createDataFrame([(0, base.text)], f"doc long, text {kind}")
+    # the end of the text stands for the suffix of the end symbol; the empty suffix comes before it
+    empty = spark.range(1).select(F.lit(base.n - 1).cast("long").alias("pos"), F.lit(0).cast("long").alias("isa"),
+                                  F.lit(BASE_END).alias("prev"))
     ranks = scratch.save(rank_suffixes(one, scratch).suffixes.select(
-        F.col("off").alias("pos"), F.col("rank").alias("isa"), F.col("sym").alias("prev")), "base-ranks")
+        F.col("off").alias("pos"), (F.col("rank") + 1).alias("isa"), F.col("sym").alias("prev")).unionByName(empty),
+        "base-ranks")
     before = ranks.select((F.col("isa") + 1).alias("isa"), F.col("pos").alias("before"))
     codes = spark.sparkContext.broadcast(base.codes.tolist())
     lcp = (ranks.join(before, "isa", "left").select("pos", F.coalesce("before", F.lit(-1)).alias("before"))

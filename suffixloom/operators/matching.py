@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.symbols import SEPARATOR, codes_of
+from ..functions.symbols import FIRST_CODE, SEPARATOR, codes_of
 from .base_index import BaseString
 from .suffixes import chunks
 
@@ -85,7 +85,7 @@ def _match(docs: np.ndarray, texts: list, base: SimpleNamespace):
     ends = np.cumsum(lens + 1) - 1
     starts = ends - lens
     text = np.full(ends[-1] + 1, SEPARATOR, dtype=np.int64)
-    raw = codes_of(texts)
+    raw = codes_of(texts).astype(np.int64) + FIRST_CODE
     text[np.arange(len(raw)) + np.repeat(np.arange(len(texts)), lens)] = raw
     n = len(base.sa)
     place = _places(text, ends, lens, base)
@@ -156,7 +156,7 @@ def insert_heads(collection: DataFrame, arrays) -> DataFrame:
             nxt = np.minimum(np.searchsorted(reach, reach, side="right"), sep_at[doc])
             target = pos[heads[nxt]] + reach - heads[nxt]
             first = np.append(0, sep_at[:-1] + 1)
-            before = np.where(heads == starts[doc], SEPARATOR, text[heads - 1])
+            before = np.where(heads == starts[doc], SEPARATOR, text[heads - 1] - FIRST_CODE)
             yield from _tables({
                 "doc": docs[doc], "off": np.arange(len(heads)) - first[doc], "start": heads - starts[doc],
                 "pos": pos[heads], "len": length, "smaller": smaller[heads],

@@ -88,8 +88,23 @@ def rl_bwt_columns(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", symbol_column(F.col("sym")).alias("ch"), "run_len")
 
 
+PIECE = 1 << 16  # most symbols of a run that one array holds
+PIECES = 1 << 32  # symbols of the pieces that one array holds
+
+
+def _pieces(runs: DataFrame, size: int) -> DataFrame:
+    """The runs cut into pieces of at most ``size`` symbols."""
+    at = F.explode(F.sequence(F.lit(0), F.expr(f"cast((run_len - 1) div {size} as int)")))
+    return runs.select("bwt_idx", "sym", "run_len", at.alias("k")).select(
+        (F.col("bwt_idx") + F.col("k").cast("long") * size).alias("bwt_idx"), "sym",
+        F.least(F.lit(size), F.col("run_len") - F.col("k").cast("long") * size).alias("run_len"))
+
+
 def expand_runs(runs: DataFrame) -> DataFrame:
-    """``(bwt_idx, ch)``: one row per symbol of the runs."""
-    return runs.select(
+    """``(bwt_idx, ch)``: one row per symbol of the runs.  Long runs are cut into
+    pieces, which are dealt to all tasks."""
+    runs = runs.select("bwt_idx", "sym", "run_len")
+    long = _pieces(_pieces(runs.filter(f"run_len > {PIECE}"), PIECES).repartition("bwt_idx"), PIECE).repartition("bwt_idx")
+    return runs.filter(f"run_len <= {PIECE}").unionByName(long).select(
         F.explode(F.sequence("bwt_idx", F.col("bwt_idx") + F.col("run_len") - 1)).alias("bwt_idx"),
         symbol_column(F.col("sym")).alias("ch"))

@@ -30,6 +30,13 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
         yield np.array(docs, dtype=np.int64), texts
 
 
+def require_unique_keys(collection: DataFrame) -> None:
+    """Refuse a collection in which two documents have one key."""
+    twice = collection.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc").head(1)
+    if twice:
+        raise ValueError(f"several documents have the key {twice[0].doc}")
+
+
 def symbol_counts(collection: DataFrame) -> DataFrame:
     """``(code, n)``: how often each symbol occurs; code -1 counts the documents."""
 

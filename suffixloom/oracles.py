@@ -15,7 +15,7 @@ COLLECTIONS = {
     "supplier": "SELECT s_suppkey AS doc, s_name AS t FROM supplier",
     "nation": "SELECT n_nationkey::BIGINT AS doc, n_name AS t FROM nation",
     "events": "SELECT event_id AS doc, props AS t FROM events",
-    "conversations": "SELECT conv_id * 1000000 + turn AS doc, text AS t FROM conversations",
+    "conversations": "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS doc, text AS t FROM conversations",
     "pages": "SELECT page_id AS doc, html AS t FROM pages",
     "documents": "SELECT doc_id AS doc, text AS t FROM documents",
 }
@@ -227,7 +227,8 @@ def scanned(name: str) -> str:
 def limited(name: str, limit: int) -> str:
     return f"""WITH whole AS ({COLLECTIONS[name]}),
     placed AS (SELECT doc, t, CAST(sum(length(t) + 1) OVER (ORDER BY doc) - length(t) - 1 AS BIGINT) AS t_start FROM whole),
-    docs AS (SELECT doc, substr(t, 1, {limit} - 1 - t_start) AS t FROM placed WHERE t_start < {limit})"""
+    docs AS (SELECT doc, substr(t, 1, {limit} - 1 - t_start) AS t FROM placed
+      WHERE t_start < {limit} - 1 OR (t_start = {limit} - 1 AND t = ''))"""
 
 
 SOURCE_SQL = {

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import base_index as bi, buckets as bk, heads as hd, matching as mt
+from ..operators.suffixes import require_unique_keys
 from ..operators.runs import expand_runs, rl_bwt_columns, runs_of
 from ..session import Scratch, spread
 
@@ -25,6 +26,7 @@ class CompressedBwt:
         self.spark = self.collection.sparkSession
         self.scratch = Scratch(self.spark)
         self.collection = spread(self.collection.select("doc", "text"), "doc")
+        require_unique_keys(self.collection)
 
     @cached_property
     def base(self) -> bi.BaseString:
@@ -94,5 +96,7 @@ class CompressedBwt:
         return expand_runs(self._runs)
 
     def close(self) -> None:
-        """Drop the tables behind the relations."""
+        """Drop the tables and the broadcast behind the relations."""
+        if "arrays" in self.__dict__:
+            self.arrays.destroy()
         self.scratch.delete()

@@ -4,25 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.matching import insert_heads
 from ..session import max_index_symbols
 from ..sources.collections import prefix_limit
 from .compressed import CompressedBwt
 from .suffix_sort import rank_suffixes
 
-SAMPLE_DOCS = 64
-WORTH_IT = 0.2  # heads per position up to which ranking heads beats ranking suffixes
+SAMPLE_SHARE = 64  # one document of so many is matched to estimate the heads
+WHOLE_BELOW = 4096  # with fewer documents all of them are
+WORTH_IT = 0.1  # heads per position up to which ranking heads beats ranking suffixes
 
 
-def choose(collection: DataFrame, base: DataFrame | None) -> str:
-    """``heads`` if the base fits a broadcast and a few documents match it well."""
+def choose(collection: DataFrame, base: DataFrame | None) -> CompressedBwt | None:
+    """The heads plan, with its index built, if the base fits a broadcast and the
+    documents match it well: a share of them, picked by a hash of their key, tells."""
     if base is None:
-        return "suffixes"
+        return None
     size = base.select(F.length("text").alias("n")).first()
     if size is None or not 0 < size.n <= max_index_symbols(collection.sparkSession):
-        return "suffixes"
-    plan = CompressedBwt(collection.limit(SAMPLE_DOCS), base)
-    seen = plan.heads.agg(F.count("*").alias("heads"), F.sum(F.col("run_len") + 1).alias("positions")).first()
-    return "heads" if seen.heads and seen.heads <= WORTH_IT * seen.positions else "suffixes"
+        return None
+    plan = CompressedBwt(collection, base)
+    share = SAMPLE_SHARE if collection.count() >= WHOLE_BELOW else 1
+    sample = plan.collection.filter(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0)
+    seen = insert_heads(sample, plan.arrays).agg(
+        F.count("*").alias("heads"), F.sum(F.col("run_len") + 1).alias("positions")).first()
+    if seen.heads and seen.heads <= WORTH_IT * seen.positions:
+        return plan
+    plan.close()
+    return None
 
 
 def bwt(collection: DataFrame, base: DataFrame | None = None, prefix: int | None = None, strategy: str | None = None):
@@ -35,9 +44,8 @@ def bwt(collection: DataFrame, base: DataFrame | None = None, prefix: int | None
     """
     if prefix is not None:
         collection = prefix_limit(collection, prefix)
-    strategy = strategy or choose(collection, base)
     if strategy == "heads":
         return CompressedBwt(collection, base)
-    return rank_suffixes(collection)
-
-
+    if strategy not in (None, "suffixes"):
+        raise ValueError(f"unknown strategy {strategy}")
+    return (choose(collection, base) if strategy is None else None) or rank_suffixes(collection)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.symbols import Alphabet, symbol_column
 from ..operators.ranking import rank_sequences
 from ..operators.runs import rl_bwt_columns, runs_of_ranks
-from ..operators.suffixes import PACKED_LONGS, suffix_rows, symbol_counts
+from ..operators.suffixes import PACKED_LONGS, require_unique_keys, suffix_rows, symbol_counts
 from ..session import Scratch, spread
 
 
@@ -40,6 +40,7 @@ def rank_suffixes(collection: DataFrame, scratch: Scratch | None = None) -> Rank
     gives the document order."""
     scratch = scratch or Scratch(collection.sparkSession)
     collection = spread(collection.select("doc", "text"), "doc")
+    require_unique_keys(collection)
     counts = symbol_counts(collection).collect()  # one row per distinct symbol
     rows = sum(r.n for r in counts)
     alphabet = Alphabet(tuple(sorted(r.code for r in counts if r.code >= 0)))

@@ -15,7 +15,6 @@ from .session import Scratch
 from .sources.collections import from_table, prefix_limit, read_base, read_collection
 
 PREFIX = 1_000_000
-TURN_KEY = "conv_id * 1000000 + turn"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +28,17 @@ COLLECTIONS = {
     "supplier": ("s_suppkey", "s_name"),
     "nation": ("n_nationkey", "n_name"),
     "events": ("event_id", "props"),
-    "conversations": (TURN_KEY, "text"),
     "pages": ("page_id", "html"),
     "documents": ("doc_id", "text"),
 }
 
 
 def collection(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "conversations":  # numbered in the order of conversation and turn
+        turns = table(spark, sf_dir, name).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+        scratch = Scratch(spark)
+        return scratch.save(hd.ordered_index(turns, ["conv_id", "turn"], "doc", scratch, turns.count()).select("doc", "text"),
+                            "turns")
     key, text = COLLECTIONS[name]
     return from_table(table(spark, sf_dir, name), key, text)
 

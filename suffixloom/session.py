@@ -6,7 +6,6 @@ below the folder the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="suffixloom-")
+    root = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     spark.conf.set(CHECKPOINT_CONF, root)
     return root
 

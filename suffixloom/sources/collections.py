@@ -18,8 +18,8 @@ LINE_ORDER = ["file", "split", "line_no"]
 # end of a base string, then once more the marker that may close it, and the
 # whitespace trimmed from the collection path.
 HEADER = ">"
-TRIMMED_TAIL = "[\n\r\x00]\\z"
-END_MARKER = "\\$\\z"
+TRIMMED_TAIL = ("\n", "\r", "\x00")
+END_MARKER = ("$",)
 PATH_SPACE = " \n\r\t"
 
 
@@ -71,16 +71,18 @@ def lines_to_documents(lines: DataFrame, scratch: Scratch, keep_leading_empty: b
 
 
 def read_collection(spark: SparkSession, path: str, drop_unterminated: bool = False,
-                    keep_leading_empty: bool = True) -> DataFrame:
-    """Documents of a FASTA or plain text file."""
+                    keep_leading_empty: bool = True, binary: bool = False) -> DataFrame:
+    """Documents of a FASTA or plain text file; with ``binary`` their symbols are bytes,
+    which need not be UTF-8."""
     scratch = Scratch(spark)
     lines = read_lines(spark, path)
     if drop_unterminated:
         lines = _without_unterminated(lines, scratch)
-    return scratch.save(lines_to_documents(lines, scratch, keep_leading_empty), "documents")
+    docs = lines_to_documents(lines, scratch, keep_leading_empty)
+    return scratch.save(docs.withColumn("text", F.col("text").cast("binary")) if binary else docs, "documents")
 
 
-def lines_to_base(lines: DataFrame) -> DataFrame:
+def lines_to_base(lines: DataFrame, binary: bool = False) -> DataFrame:
     """One row ``text`` from ``line`` rows in LINE_ORDER.  If the first line is a
     header, headers and empty lines are dropped and the records joined; otherwise
     the text is taken as it is.  One trailing line end and one marker are cut."""
@@ -98,16 +100,21 @@ def lines_to_base(lines: DataFrame) -> DataFrame:
     records = F.filter("lines", lambda x: ~x.startswith(HEADER) & (x != ""))
     raw = F.concat(F.array_join("lines", "\n"), F.when(F.col("terminated"), "\n").otherwise(""))
     text = F.when(fasta, F.array_join(records, "")).otherwise(raw)
-    return whole.filter(F.size("lines") > 0).select(trim_tail(text).alias("text"))
+    taken = whole.filter(F.size("lines") > 0).select((text.cast("binary") if binary else text).alias("text"))
+    for ends in (TRIMMED_TAIL, END_MARKER):
+        taken = taken.select(_without_one(F.col("text"), ends).alias("text"))
+    return taken
 
 
-def trim_tail(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, TRIMMED_TAIL, ""), END_MARKER, "")
+def _without_one(text: Column, ends: tuple[str, ...]) -> Column:
+    """The text without its last symbol, if that is one of ``ends``."""
+    last = F.substring(text, -1, 1).cast("string")
+    return F.when(last.isin(*ends), F.substring(text, 1, F.length(text) - 1)).otherwise(text)
 
 
-def read_base(spark: SparkSession, path: str) -> DataFrame:
+def read_base(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
     """The base string of a FASTA or plain text file, as one row."""
-    return lines_to_base(read_lines(spark, path))
+    return lines_to_base(read_lines(spark, path), binary)
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[str, str]:
@@ -123,11 +130,14 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[str, str]:
 
 def prefix_limit(collection: DataFrame, prefix: int, scratch: Scratch | None = None) -> DataFrame:
     """The first ``prefix`` symbols of the collection, one separator per document
-    counted; the document at the cut is shortened so that its separator fits."""
+    counted; the document at the cut is shortened so that its separator fits, and left
+    out if nothing but the separator is left of it."""
     scratch = scratch or Scratch(collection.sparkSession)
     sizes = collection.select("doc", (F.length("text") + 1).cast("long").alias("size"))
     starts = ordered_index(sizes, ["doc"], "start", scratch, collection.count(), weight="size")
-    cut = starts.filter(F.col("start") < prefix).agg(
+    # a document that would be cut to nothing does not count, an empty one does
+    fits = (F.col("start") < prefix - 1) | ((F.col("start") == prefix - 1) & (F.col("size") == 1))
+    cut = starts.filter(fits).agg(
         F.max("doc").alias("doc"), F.max_by("start", "doc").alias("start")).first()
     if cut.doc is None:
         return collection.select("doc", "text").filter(F.lit(False))

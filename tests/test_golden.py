@@ -2,7 +2,9 @@
 
 import pytest
 
+from brute import bwt as brute_bwt
 from suffixloom.plans.compressed import CompressedBwt
+from suffixloom.plans.job import run_job
 from suffixloom.plans.planner import bwt
 from suffixloom.plans.suffix_sort import rank_suffixes
 from suffixloom.sources.collections import prefix_limit, read_base, read_collection, read_manifest
@@ -89,18 +91,42 @@ def test_manifest(spark, tmp_path):
 def test_prefix_at_every_offset(spark, collection, limit):
     docs = ["", "ACGT", "ACGA"]
     got = texts(prefix_limit(collection(docs), limit))
-    flat = ".".join(docs) + "."
-    want = flat[:limit - 1].split(".") if limit <= len(flat) else docs
-    if limit <= len(flat) and flat[limit - 2:limit - 1] == "." and limit > 1:
-        want = want[:-1] + [""] if limit - 1 < len(flat) else docs
+    want, left = [], limit
+    for t in docs:
+        if left < (2 if t else 1):
+            break
+        want.append(t[:left - 1])
+        left -= len(want[-1]) + 1
     assert got == want
-    assert sum(len(t) + 1 for t in got) == min(limit, len(flat))
 
 
 def test_prefix_bwt(collection):
     assert symbols(bwt(collection(["", "ACGT", "ACGA"]), prefix=8).bwt()) == ".TA..ACG"
 
 
+@pytest.mark.parametrize("strategy", [None, "heads", "suffixes"])
+def test_job(spark, tmp_path, strategy):
+    base = write(tmp_path, b">r\nACGT\n", "base.fa")
+    docs = write(tmp_path, b">a\nACGT\n>b\nACGA\n", "docs.fa")
+    manifest = write(tmp_path, f"{base}\n{docs}\n".encode(), "manifest")
+    out = run_job(spark, manifest, strategy=strategy)
+    assert out == manifest + ".bwt" and symbols(spark.read.parquet(out)) == ".TAG..AACCG"
+    runs = run_job(spark, manifest, str(tmp_path / "o"), prefix=8, run_length=True, strategy=strategy)
+    assert runs == str(tmp_path / "o.rl_bwt")
+    got = [(r.ch, r.run_len) for r in spark.read.parquet(runs).orderBy("run_id").collect()]
+    assert "".join(c * n for c, n in got).replace("\x02", ".") == ".TA..ACG"
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    docs = read_collection(spark, write(tmp_path, b">a\nA\xff\xfe\n\xc3C\n>b\nA\xff\n"), binary=True)
+    assert [bytes(t) for t in texts(docs)] == [b"", b"A\xff\xfe\xc3C", b"A\xff"]
+    base = read_base(spark, write(tmp_path, b"A\xff\xfe\n", "b"), binary=True)
+    assert bytes(base.first().text) == b"A\xff\xfe"
+    for plan in (rank_suffixes(docs), CompressedBwt(docs, base)):
+        assert [ord(r.ch) for r in plan.bwt().orderBy("bwt_idx").collect()] == [
+            ord(c) for c in brute_bwt([b"", b"A\xff\xfe\xc3C", b"A\xff"])]
+
+
 COPIES = ["GATTACA", "GATTACA", "GACTACA"]
 
 

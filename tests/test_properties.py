@@ -76,7 +76,7 @@ def test_matching_statistics(collection, base):
     text, docs = near_copies(5, "ACGT", 40, 6, 0.2)
     plan = CompressedBwt(collection(docs), base(text))
     got = {(r.doc, r.off): (r.pos, r.len, r.smaller) for r in plan.matches.collect()}
-    assert got == brute.matching_statistics(plan.base.text, docs)
+    assert got == brute.matching_statistics(plan.base.text + "\x01", docs)
 
 
 def test_matching_steps_together_and_alone(collection, base):
@@ -85,7 +85,7 @@ def test_matching_steps_together_and_alone(collection, base):
     docs = [t[:i] for i, t in enumerate(docs)] + docs[:3]
     plan = CompressedBwt(collection(docs), base(text))
     got = {(r.doc, r.off): (r.pos, r.len, r.smaller) for r in plan.matches.collect()}
-    assert got == brute.matching_statistics(plan.base.text, docs)
+    assert got == brute.matching_statistics(plan.base.text + "\x01", docs)
 
 
 def test_bytes(collection):
@@ -96,6 +96,37 @@ def test_bytes(collection):
     assert got == brute.bwt(docs)
 
 
+@pytest.mark.parametrize("as_bytes", [False, True])
+@pytest.mark.parametrize("docs,text", [
+    (["AC\x02A", "ACA", "\x02AC"], "ACA"), (["\x00", "\x01\x00", "", "\x02\x02"], "\x01"), (["A\x01", "A", "A\x00B"], "A\x01A\x02")])
+def test_low_symbols_in_texts(spark, collection, docs, text, as_bytes):
+    if as_bytes:
+        docs, text = [t.encode() for t in docs], text.encode()
+    want = [s if isinstance(s, bytes) else s.encode() for s in brute.bwt(docs)]
+    one = spark.createDataFrame([(text,)], f"text {'binary' if as_bytes else 'string'}")
+    for plan in (rank_suffixes(collection(docs)), CompressedBwt(collection(docs), one)):
+        assert [s.encode() for s in symbols(plan.bwt())] == want
+
+
+def test_repeated_keys_are_refused(spark, base):
+    twice = spark.createDataFrame([(1, "AC"), (1, "AC"), (2, "A")], "doc long, text string")
+    for make in (rank_suffixes, lambda docs: CompressedBwt(docs, base("A"))):
+        with pytest.raises(ValueError, match="key 1"):
+            make(twice)
+
+
+def test_long_runs_are_expanded_in_pieces(spark, monkeypatch):
+    from suffixloom.operators import runs
+    monkeypatch.setattr(runs, "PIECE", 3)
+    monkeypatch.setattr(runs, "PIECES", 7)
+    want, rows = [], []
+    for i, n in enumerate([1, 3, 4, 7, 8, 22, 100, 2]):
+        rows.append((i, len(want), 65 + i, n))
+        want += [chr(65 + i)] * n
+    df = spark.createDataFrame(rows, "run_id long, bwt_idx long, sym int, run_len long")
+    assert symbols(runs.expand_runs(df)) == want
+
+
 def test_nearest_smaller():
     rng = np.random.default_rng(1)
     for _ in range(500):
@@ -111,10 +142,10 @@ def test_base_index(spark, collection, base):
     text, docs = near_copies(8, "AC", 120, 3, 0.1)
     made = bi.augment(base(text), collection(docs))
     rows = bi.base_index(spark, made, Scratch(spark)).orderBy("isa").collect()
-    x = made.text
+    x = made.text + "\x01"  # any symbol below all others
     order = sorted(range(len(x) + 1), key=lambda p: x[p:])
     assert [r.pos for r in rows] == order
-    assert set("".join(docs)) <= set(x) and x.endswith("\x01")
+    assert set("".join(docs)) <= set(x)
 
     def shared(a, b):
         return next((k for k, (c, d) in enumerate(zip(x[a:], x[b:])) if c != d), len(x) - max(a, b))
@@ -126,10 +157,11 @@ def test_base_index(spark, collection, base):
 
 def test_too_long_a_base_falls_back(spark, collection, base):
     text, docs = near_copies(2, "ACGT", 120, 5, 0.01)
-    assert planner.choose(collection(docs), base(text)) == "heads"
+    plan = planner.choose(collection(docs), base(text))
+    assert isinstance(plan, CompressedBwt) and symbols(plan.bwt()) == brute.bwt(docs)
     spark.conf.set("spark.suffixloom.maxIndexSymbols", "100")
     try:
-        assert planner.choose(collection(docs), base(text)) == "suffixes"
+        assert planner.choose(collection(docs), base(text)) is None
         assert symbols(planner.bwt(collection(docs), base(text)).bwt()) == brute.bwt(docs)
         with pytest.raises(bi.BaseTooLong):
             bi.augment(base(text), collection(docs))

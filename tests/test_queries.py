@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from suffixloom.queries import QUERIES
 from compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     sql = entry.oracle_sql()[name]
     verdict, _, _ = compare(spark, duck, SF_DIR, name, entry.queries()[name], sql)
