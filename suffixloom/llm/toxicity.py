@@ -134,12 +134,15 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
     """A model of the labelled documents that are not held out."""
-    labelled = (docs.select("doc_id", "text").filter(~is_held_out(F.col("doc_id")) & (F.octet_length("text") <= train_bytes))
-                .join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)"), "doc_id")
-                .withColumn("h", F.xxhash64("doc_id", "text")))
-    rows = [(r.h, r.text, r.toxic) for y in (0, 1)
-            for r in labelled.filter(F.col("toxic") == y).orderBy("h", "text").limit(train_docs).collect()]
-    return fit([(t, y) for _, t, y in sorted(rows, key=lambda r: r[0])])
+    picked = None
+    for y in (0, 1):
+        own = (labels.filter((F.col("toxic") == y) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+               .select("doc_id", F.lit(y).alias("label"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(train_docs))
+        picked = own if picked is None else picked.unionByName(own)
+    # at most 2 * train_docs ids are sent, so no text is exchanged
+    rows = (docs.select("doc_id", "text").filter(F.octet_length("text") <= train_bytes).join(F.broadcast(picked), "doc_id")
+            .select("h", "text", "label").orderBy("h", "text", "label").limit(2 * train_docs).collect())
+    return fit([(r.text, r.label) for r in rows])
 
 
 SCHEMA = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
