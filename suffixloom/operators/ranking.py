@@ -26,51 +26,95 @@ STEPS = 3  # looks ahead depth, 2*depth and 3*depth
 NEXTS = [f"n{j}" for j in range(1, STEPS + 1)]
 FIRST_SUB, FIRST_GROUP, TAIL, ALONE, WAS_OPEN = 1, 2, 4, 8, 16
 SUMMARY_HEAD = 7
+BLOCK = 1 << 16  # elements of a class that one window holds
 
 
-def _mark(keys: list[str], carry: list[str], first: bool):
-    """Sort one partition by its keys, refine the ranks (``rk``, which is the first
-    key after the first round) by runs of equal keys, and add one summary row."""
+class _Marker:
+    """Marks the rows of one partition, which come in key order, batch by batch.
 
-    def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        part = TaskContext.get().partitionId()
-        table = pa.Table.from_batches(batches)
+    The ranks (``rk``, which is the first key after the first round) are refined by
+    runs of equal keys.  Whether a row stands alone shows at the next one, so the last
+    row of a batch waits for it; nothing else is held."""
+
+    def __init__(self, keys: list[str], carry: list[str], first: bool):
+        self.keys, self.first = keys, first
+        self.names = ["doc", "off", *carry]
+        self.part = TaskContext.get().partitionId()
+        self.rows = self.alone = self.group_at = self.sub_at = self.largest = 0
+        self.head = self.tail = None
+        self.alone_first = self.alone_last = False
+        self.waiting: pa.Table | None = None
+
+    def take(self, table: pa.Table):
+        if self.waiting is not None:
+            table = pa.concat_tables([self.waiting, table])
         n = table.num_rows
-        cols = [table.column(k).to_numpy() for k in keys]
-        order = np.lexsort(cols[::-1])
-        cols = [c[order] for c in cols]
-        new_group = np.zeros(n, dtype=bool)
-        if not first:
-            new_group[1:] = cols[0][1:] != cols[0][:-1]
-        new_group[0] = True
-        new_sub = new_group.copy()
+        yield from self._emit(table, n - 1, False)
+        self.waiting = table.slice(n - 1)
+
+    def finish(self):
+        yield from self._emit(self.waiting, 1, True)
+
+    def _emit(self, table: pa.Table, n: int, end: bool):
+        """Mark the first ``n`` rows; unless it is the end, one more row follows them."""
+        if not n:
+            return
+        cols = [table.column(k).to_numpy() for k in self.keys]
+        seen = len(cols[0])
+        new_group, new_sub = np.zeros(seen + 1, dtype=bool), np.zeros(seen + 1, dtype=bool)
+        if not self.first:
+            new_group[1:seen] = cols[0][1:] != cols[0][:-1]
+            new_group[0] = self.tail is None or cols[0][0] != self.tail[0]
+        else:
+            new_group[0] = self.tail is None
+        new_sub[0] = self.tail is None or any(c[0] != t for c, t in zip(cols, self.tail))
+        new_sub |= new_group
         for c in cols:
-            new_sub[1:] |= c[1:] != c[:-1]
-        at = np.arange(n)
-        group_at = np.maximum.accumulate(np.where(new_group, at, 0))
-        sub_at = np.maximum.accumulate(np.where(new_sub, at, 0))
-        alone = new_sub & np.append(new_sub[1:], True)
+            new_sub[1:seen] |= c[1:] != c[:-1]
+        new_sub[seen] = True
+        at = self.rows + np.arange(n)
+        group_at = np.maximum.accumulate(np.where(new_group[:n], at, self.group_at))
+        sub_at = np.maximum.accumulate(np.where(new_sub[:n], at, self.sub_at))
+        alone = new_sub[:n] & new_sub[1:n + 1]
         marks = (np.where(sub_at == 0, FIRST_SUB, 0) | np.where(group_at == 0, FIRST_GROUP, 0)
                  | np.where(alone, ALONE, 0))
-        marks[-1] |= TAIL
-        marks |= WAS_OPEN if first else np.where(table.column("was_open").to_numpy()[order], WAS_OPEN, 0)
-        largest = int(np.diff(np.append(np.flatnonzero(new_sub), n)).max())
-        summary = ([n, int(alone.sum()), int(group_at[-1]), int(sub_at[-1]), int(alone[0]), int(alone[-1]), largest]
-                   + [int(c[0]) for c in cols] + [int(c[-1]) for c in cols])
-        out = {c: table.column(c).take(pa.array(order)) for c in ("doc", "off", *carry)}
-        out["rk"] = pa.array((sub_at - group_at) + (0 if first else cols[0]))
+        if end:
+            marks[-1] |= TAIL
+        marks |= WAS_OPEN if self.first else np.where(table.column("was_open").to_numpy()[:n], WAS_OPEN, 0)
+        own = table.slice(0, n)
+        out = {c: own.column(c) for c in self.names}
+        out["rk"] = pa.array((sub_at - group_at) + (0 if self.first else cols[0][:n]))
         out["marks"] = pa.array(marks.astype(np.int32))
-        out["part"] = pa.array(np.full(n, part, dtype=np.int32))
+        out["part"] = pa.array(np.full(n, self.part, dtype=np.int32))
         out["summary"] = pa.nulls(n, pa.list_(pa.int64()))
-        table = pa.Table.from_pydict(out)
-        yield from table.to_batches(max_chunksize=1 << 16)
-        last = {f.name: pa.nulls(1, f.type) for f in table.schema}
-        last["part"] = pa.array([part], pa.int32())
-        last["summary"] = pa.array([summary], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(list(last.values()), schema=table.schema)
+        if self.head is None:
+            self.head, self.alone_first = [int(c[0]) for c in cols], bool(alone[0])
+        self.tail, self.alone_last = [int(c[n - 1]) for c in cols], bool(alone[-1])
+        self.rows += n
+        self.alone += int(alone.sum())
+        self.group_at, self.sub_at = int(group_at[-1]), int(sub_at[-1])
+        self.largest = max(self.largest, int((at - sub_at).max()) + 1)
+        out = pa.Table.from_pydict(out)
+        yield from out.to_batches(max_chunksize=1 << 16)
+        if end:
+            summary = [self.rows, self.alone, self.group_at, self.sub_at, int(self.alone_first), int(self.alone_last),
+                       self.largest, *self.head, *self.tail]
+            last = {f.name: pa.nulls(1, f.type) for f in out.schema}
+            last["part"] = pa.array([self.part], pa.int32())
+            last["summary"] = pa.array([summary], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(last.values()), schema=out.schema)
+
+
+def _mark(keys: list[str], carry: list[str], first: bool):
+    """Refine the ranks of one sorted partition by runs of equal keys, and add one summary row."""
+
+    def run(batches):
+        marker = _Marker(keys, carry, first)
+        for batch in batches:
+            if batch.num_rows:
+                yield from marker.take(pa.Table.from_batches([batch]))
+        if marker.waiting is not None:
+            yield from marker.finish()
 
     return run
 
@@ -114,7 +158,7 @@ def _ranked(placed: DataFrame, keys: list[str], carry: list[str], scratch: Scrat
     schema = T.StructType(
         [T.StructField(c, placed.schema[c].dataType) for c in ("doc", "off", *carry)]
         + T.StructType.fromDDL("rk long, marks int, part int, summary array<long>").fields)
-    marked = scratch.save(placed.mapInArrow(_mark(keys, carry, first), schema), "ranks")
+    marked = scratch.save(placed.sortWithinPartitions(*keys).mapInArrow(_mark(keys, carry, first), schema), "ranks")
     summaries = [(r.part, r.summary) for r in
                  marked.filter(F.col("summary").isNotNull()).select("part", "summary").collect()]
     fixes, total, left, largest = _stitch(summaries, len(keys), first)
@@ -136,18 +180,24 @@ def _look_ahead(ranks: DataFrame, depth: int, parts: int) -> DataFrame:
     """Add the ranks of the elements 1, 2 and 3 times ``depth`` later; drop the
     closed elements that no open one will ask for again.
 
-    Elements that lie multiples of ``depth`` apart form a class, so even a single
-    long document spreads over ``depth`` classes."""
-    w = Window.partitionBy("doc", "class").orderBy("off")
-    ahead = ranks.withColumn("class", F.col("off") % depth).repartition(parts, "doc", "class").withColumns(
+    Elements that lie multiples of ``depth`` apart form a class, and a class is cut into
+    blocks, to which the first elements of the next block and the last one of the block
+    before are added: no window grows with the length of a document."""
+    step = F.expr(f"off div {depth}")
+    within, block = F.pmod(step, F.lit(BLOCK)), F.expr(f"off div {depth} div {BLOCK}")
+    blocks = F.array_compact(F.array(
+        block, F.when((within < STEPS) & (block > 0), block - 1), F.when(within == BLOCK - 1, block + 1)))
+    dealt = ranks.withColumns({"class": F.col("off") % depth, "own": block, "block": F.explode(blocks)})
+    w = Window.partitionBy("doc", "class", "block").orderBy("off")
+    ahead = dealt.repartition(parts, "doc", "class", "block").withColumns(
         {f"o{j}": F.lead("off", j).over(w) for j in range(1, STEPS + 1)}
         | {f"r{j}": F.lead("rk", j).over(w) for j in range(1, STEPS + 1)}
-        | {"po": F.lag("off").over(w), "asks": F.lag("open").over(w)})
+        | {"po": F.lag("off").over(w), "asks": F.lag("open").over(w)}).filter("own = block")
     nexts = [F.when(F.col("open") & (F.col(f"o{j}") == F.col("off") + j * depth), F.col(f"r{j}") + 1)
              .otherwise(0).alias(f"n{j}") for j in range(1, STEPS + 1)]
     asked = F.coalesce((F.col("po") == F.col("off") - depth) & F.col("asks"), F.lit(False))
     return ahead.filter(F.col("open") | asked).select(
-        *[c for c in ranks.columns if c not in ("open", "was_open", "class")], F.col("open").alias("was_open"), *nexts)
+        *[c for c in ranks.columns if c not in ("open", "was_open")], F.col("open").alias("was_open"), *nexts)
 
 
 def rank_sequences(elements: DataFrame, keys: list[str], depth: int, scratch: Scratch,

@@ -18,24 +18,41 @@ FRAGMENT_SCHEMA = "part int, seq long, at long, sym int, len long, last boolean,
 
 
 def _merge(batches):
-    """Merge equal neighbours of the (rank, sym, weight) rows of one partition."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    order = np.argsort(table.column("rank").to_numpy())
-    sym = table.column("sym").to_numpy()[order]
-    at = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))
-    if "weight" in table.column_names:
-        run = np.add.reduceat(table.column("weight").to_numpy()[order], at)
-    else:
-        run = np.diff(np.append(at, len(sym)))
-    n = len(at)
-    last = np.arange(n) == n - 1
-    yield from pa.Table.from_pydict({
-        "part": pa.array(np.full(n, TaskContext.get().partitionId(), dtype=np.int32)), "seq": np.arange(n),
-        "at": np.cumsum(run) - run, "sym": sym[at], "len": run, "last": last,
-        "total": pa.array(np.full(n, run.sum()), mask=~last)}).to_batches(max_chunksize=1 << 16)
+    """Merge equal neighbours of the (rank, sym, weight) rows of one sorted partition,
+    batch by batch; only the run that may go on is held."""
+    part, seq, at, held_sym, held = TaskContext.get().partitionId(), 0, 0, None, 0
+
+    def fragments(syms, lens, last):
+        nonlocal seq, at
+        n = len(syms)
+        starts = at + np.cumsum(lens) - lens
+        ends = np.zeros(n, dtype=bool)
+        ends[-1] = last
+        seqs = seq + np.arange(n)
+        seq, at = seq + n, at + int(lens.sum())
+        return pa.Table.from_pydict({
+            "part": pa.array(np.full(n, part, dtype=np.int32)), "seq": seqs, "at": starts, "sym": syms.astype(np.int32),
+            "len": lens, "last": ends, "total": pa.array(np.full(n, at), mask=~ends)}).to_batches(max_chunksize=1 << 16)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sym = batch.column("sym").to_numpy()
+        first = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))
+        if "weight" in batch.schema.names:
+            run = np.add.reduceat(batch.column("weight").to_numpy(), first)
+        else:
+            run = np.diff(np.append(first, len(sym)))
+        syms, run = sym[first], run.astype(np.int64)
+        if held and syms[0] == held_sym:
+            run[0] += held
+        elif held:
+            syms, run = np.append(held_sym, syms), np.append(held, run)
+        if len(syms) > 1:
+            yield from fragments(syms[:-1], run[:-1], False)
+        held_sym, held = syms[-1], int(run[-1])
+    if held:
+        yield from fragments(np.array([held_sym]), np.array([held], dtype=np.int64), True)
 
 
 FIX_SCHEMA = "part int, runs_before long, symbols_before long, joins_prev boolean, more long"
@@ -60,8 +77,8 @@ def _stitch(ends: list) -> list[tuple]:
 def runs_of(ordered: DataFrame, scratch: Scratch) -> DataFrame:
     """``(run_id, bwt_idx, sym, run_len)`` of partitions that follow each other.
 
-    ``ordered``: ``rank BIGINT`` (order inside the partition), ``sym INT`` and, if rows
-    stand for several symbols, ``weight BIGINT``; ``bwt_idx`` is where the run starts."""
+    ``ordered``: rows sorted inside their partition, with ``sym INT`` and, if they stand
+    for several symbols, ``weight BIGINT``; ``bwt_idx`` is where the run starts."""
     spark = ordered.sparkSession
     frags = scratch.save(ordered.mapInArrow(_merge, FRAGMENT_SCHEMA), "fragments")
     firsts = {r.part: r for r in frags.filter("seq = 0").select("part", "sym", "len").collect()}
@@ -80,7 +97,7 @@ def runs_of_ranks(ranked: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
     follows from the rank, so nothing is sampled."""
     parts = partitions_for(ranked.sparkSession, rows)
     per_part = -(-max(rows, 1) // parts)
-    ordered = ranked.select("rank", "sym").repartitionById(parts, F.expr(f"cast(rank div {per_part} as int)"))
+    ordered = ranked.select("rank", "sym").repartitionById(parts, F.expr(f"cast(rank div {per_part} as int)")).sortWithinPartitions("rank")
     return runs_of(ordered, scratch)
 
 
