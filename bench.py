@@ -4,8 +4,9 @@ import json
 import os
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
+from suffixloom.operators.base_index import concat_base
 from suffixloom.plans.compressed import CompressedBwt
 from suffixloom.plans.suffix_sort import rank_suffixes
 from suffixloom.queries import collection, first_text
@@ -36,6 +37,20 @@ def by_heads(name, out):
     return run
 
 
+def near_copies(strategy):
+    """The texts of one conversation table, joined, with a share of symbols replaced: near copies of a long base."""
+    def run(spark):
+        base = concat_base(collection(spark, SF_DIR, "conversations").filter("doc < 400"))
+        changed = F.transform(F.split("text", ""), lambda c, i: F.when(
+            F.pmod(F.xxhash64(F.col("doc"), i), F.lit(1000)) == 0, F.lit("#")).otherwise(c))
+        docs = base.withColumn("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long")))).select(
+            "doc", F.array_join(changed, "").alias("text"))
+        plan = CompressedBwt(docs, base) if strategy == "heads" else rank_suffixes(docs)
+        consume(plan.rl_bwt())
+        plan.close()
+    return run
+
+
 QUERIES = {
     "rl_bwt_documents": by_suffixes("documents", "rl_bwt"),
     "bwt_conversations": by_suffixes("conversations", "bwt"),
@@ -44,6 +59,8 @@ QUERIES = {
     "rl_bwt_heads_customer": by_heads("customer", "rl_bwt"),
     "rl_bwt_heads_events": by_heads("events", "rl_bwt"),
     "matching_statistics_documents": by_heads("documents", "matches"),
+    "rl_bwt_near_copies_heads": near_copies("heads"),
+    "rl_bwt_near_copies_suffixes": near_copies("suffixes"),
 }
 
 

@@ -261,6 +261,7 @@ def oracles() -> dict[str, str]:
         "rl_bwt_pages": doubled_suffixes("pages") + RUNS,
         "rl_bwt_documents": doubled_suffixes("documents") + RUNS,
         "bwt_planned": bwt_sql("supplier"),
+        "bwt_planned_conversations": bwt_sql("conversations"),
         "bwt_prefix": limited("events", 50_000) + f", sorted AS ({sorted_suffixes()}) SELECT bwt_idx, ch FROM sorted",
         "bwt_heads_events": bwt_sql("events"),
     }
@@ -270,6 +271,8 @@ def oracles() -> dict[str, str]:
         out[f"bwt_{name}"] = bwt_sql(name)
     out |= SOURCE_SQL | INDEX_SQL | head_queries("benchmark")
     customer = head_queries("customer")
-    for q in ("matching_statistics", "insert_heads", "bucket_counts", "expand_nonheads", "gap_before_head", "bwt_heads"):
+    for q in ("matching_statistics", "insert_heads", "bucket_counts", "expand_nonheads", "gap_before_head", "bwt_heads",
+              "next_head", "next_rank", "head_rank", "head_groups", "group_offsets", "head_order", "head_class_rank",
+              "run_stats"):
         out[f"{q}_customer"] = customer[q]
     return out

@@ -195,12 +195,12 @@ def insert_heads(spark, sf_dir, name="benchmark"):
         symbol_column(F.col("sym")).alias("prev_ch"))
 
 
-def next_head(spark, sf_dir):
-    return _ids(spark, sf_dir).select("head_id", "next_head_id", "isa_next")
+def next_head(spark, sf_dir, name="benchmark"):
+    return _ids(spark, sf_dir, name).select("head_id", "next_head_id", "isa_next")
 
 
-def next_rank(spark, sf_dir):
-    return _ids(spark, sf_dir).select("head_id", "next_head_id", "next_rank")
+def next_rank(spark, sf_dir, name="benchmark"):
+    return _ids(spark, sf_dir, name).select("head_id", "next_head_id", "next_rank")
 
 
 def head_rank(spark, sf_dir, name="benchmark"):
@@ -210,12 +210,12 @@ def head_rank(spark, sf_dir, name="benchmark"):
         symbol_column(F.col("sym")).alias("prev_ch"))
 
 
-def head_groups(spark, sf_dir):
-    return hd.head_groups(matched(spark, sf_dir).heads)
+def head_groups(spark, sf_dir, name="benchmark"):
+    return hd.head_groups(matched(spark, sf_dir, name).heads)
 
 
-def group_offsets(spark, sf_dir):
-    m = matched(spark, sf_dir)
+def group_offsets(spark, sf_dir, name="benchmark"):
+    m = matched(spark, sf_dir, name)
     keyed = hd.with_key(m.heads).groupBy("pos", "isa_pos", "above", "reach", "isa_next").agg(
         F.count("*").alias("n_heads"))
     order = ["pos", "above", "reach", "isa_next"]
@@ -223,22 +223,22 @@ def group_offsets(spark, sf_dir):
         *order, "n_heads", "first_slot")
 
 
-def head_order(spark, sf_dir):
+def head_order(spark, sf_dir, name="benchmark"):
     """The distinct class keys of heads in comparator order inside their bucket."""
-    m = matched(spark, sf_dir)
+    m = matched(spark, sf_dir, name)
     order = ["isa_pos", "above", "reach", "isa_next"]
     keys = hd.with_key(m.heads).select(*order).distinct()
     return hd.ordered_index(keys, order, "place", m.scratch, m.n_heads)
 
 
-def head_class_rank(spark, sf_dir):
-    m = matched(spark, sf_dir)
+def head_class_rank(spark, sf_dir, name="benchmark"):
+    m = matched(spark, sf_dir, name)
     return hd.class_ranks(m.heads, m.n_heads, m.scratch).select(
         F.col("doc").alias("doc_ord"), "start", "class_rank")
 
 
-def run_stats(spark, sf_dir):
-    m = matched(spark, sf_dir)
+def run_stats(spark, sf_dir, name="benchmark"):
+    m = matched(spark, sf_dir, name)
     heads = m.heads.agg(F.count("*").alias("n_heads"), F.countDistinct("pos", "len", "isa_next").alias("n_groups"),
                         F.countDistinct("pos").alias("n_head_buckets"),
                         F.sum((F.col("len") == 0).cast("long")).alias("n_docs"),
@@ -291,6 +291,12 @@ def planned_bwt(spark, sf_dir):
     return bwt(docs, base=first_text(docs)).bwt()
 
 
+def planned_by_heads(spark, sf_dir):
+    """All turns against a base that holds them all, so that heads are few."""
+    docs = collection(spark, sf_dir, "conversations")
+    return bwt(docs, base=bi.concat_base(docs)).bwt()
+
+
 def prefix_bwt(spark, sf_dir):
     return bwt(collection(spark, sf_dir, "events"), prefix=50_000).bwt()
 
@@ -347,4 +353,7 @@ QUERIES = {
     "bwt_heads_events": heads_bwt("events"),
     "matching_statistics_conversations": lambda s, d: matching_statistics(s, d, "conversations"),
     "rl_bwt_heads_conversations": heads_rl_bwt("conversations"),
+    "bwt_planned_conversations": planned_by_heads,
 }
+QUERIES |= {f"{q.__name__}_customer": (lambda s, d, q=q: q(s, d, "customer")) for q in (
+    next_head, next_rank, head_rank, head_groups, group_offsets, head_order, head_class_rank, run_stats)}
