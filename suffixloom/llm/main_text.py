@@ -55,6 +55,9 @@ ASIDE_NAMES = frozenset(
     "breadcrumb breadcrumbs sidebar header footer masthead cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe signup login share sharing social comment comments reply replies respond disqus related "
     "recommended pagination pager widget toolbar copyright complementary contentinfo search".split())
+#: Of these names, the ones that wrappers of a whole page bear as well ("has-sidebar").
+WRAPPER_NAMES = frozenset("nav navbar menu sidebar header footer masthead banner widget toolbar search overlay".split())
+NO, BY_TAG, BY_NAME, BY_CLEAR_NAME = range(4)
 #: These may bear such a name and still hold the page.
 NEVER_ASIDE = frozenset(("html", "body", "main", "article"))
 
@@ -63,7 +66,8 @@ class Page:
     """The tree of a page: nodes in page order, each with its parent, and the texts."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.aside = [-1], ["#page"], [False]
+        self.parent, self.tag = [-1], ["#page"]
+        self._out = [NO]  # why a node is no article by itself
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self._open = [0]
         self._block = 0
@@ -84,6 +88,7 @@ class Page:
                 if name in RAW:
                     done = re.compile(f"</{re.escape(name)}[^>]*>", re.IGNORECASE).search(html, at)
                     at = done.end() if done else end if name in ("script", "style") else at
+        self.aside = self._asides()
 
     def _text(self, text: str) -> None:
         if text and not text.isspace():
@@ -111,11 +116,12 @@ class Page:
         elif name in ("br", "td", "th"):
             self.texts.append((self._open[-1], self._block, " "))
         above = self._open[-1]
-        out = self.aside[above] or name in RAW or name in ASIDE_TAGS or (
-            name not in NEVER_ASIDE and bool(attributes) and _names_aside(attributes))
+        out = BY_TAG if name in RAW or name in ASIDE_TAGS else NO
+        if out == NO and attributes and name not in NEVER_ASIDE:
+            out = _by_name(attributes)
         self.parent.append(above)
         self.tag.append(name)
-        self.aside.append(out)
+        self._out.append(out)
         if name not in VOID and name not in RAW:
             self._open.append(len(self.tag) - 1)
 
@@ -125,6 +131,27 @@ class Page:
         if any(self.tag[i] == name for i in reversed(self._open[1:])):
             self._pop_to({name}, ())
 
+    def _asides(self) -> list[bool]:
+        """Whether a node lies in a part that is no article.  A wrapper's name does not count
+        where it would take nearly all of the page's text, or most of it and its title."""
+        n = len(self.tag)
+        if BY_NAME in self._out:
+            gone, chars, title = [False] * n, [0] * n, [t in ("h1", "article", "main") for t in self.tag]
+            for i in range(1, n):
+                gone[i] = gone[self.parent[i]] or self._out[i] in (BY_TAG, BY_CLEAR_NAME)
+            for node, _, text in self.texts:
+                if not gone[node]:
+                    chars[node] += len(text.strip())
+            for i in range(n - 1, 0, -1):
+                chars[self.parent[i]] += chars[i]
+                title[self.parent[i]] |= title[i]
+            self._out = [NO if o == BY_NAME and 10 * c > chars[0] * (5 if t else 9) else o
+                         for o, c, t in zip(self._out, chars, title)]
+        out = [False] * n
+        for i in range(1, n):
+            out[i] = out[self.parent[i]] or self._out[i] != NO
+        return out
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite text density of each node, and the sum over its children."""
         n = len(self.tag)
@@ -183,13 +210,14 @@ class Page:
         return "\n".join(line for line in lines if line)
 
 
-def _names_aside(attributes: str) -> bool:
+def _by_name(attributes: str) -> int:
+    """Whether the attributes name a part that is no article."""
     if HIDDEN.search(attributes):
-        return True
-    for value in NAMES.findall(attributes):
-        if not ASIDE_NAMES.isdisjoint(NAME_PARTS.findall(CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+        return BY_CLEAR_NAME
+    parts = {p for value in NAMES.findall(attributes) for p in NAME_PARTS.findall(CAMEL.sub(" ", value).lower())}
+    if parts & ASIDE_NAMES - WRAPPER_NAMES:
+        return BY_CLEAR_NAME
+    return BY_NAME if parts & WRAPPER_NAMES else NO
 
 
 def extract(html: str | None) -> str:
