@@ -119,6 +119,8 @@ def test_main_text():
     assert extract("<div id=a><p>One two three.</p><p>Four five six.</p></div><footer>f</footer>") == "One two three.\nFour five six."
     assert extract("<div>" * 5000 + "deep") == "deep"
     assert extract("<ul><li>a<li>b</ul>") == "a\nb"
+    assert extract('<div class="has-sidebar"><p>Long enough a text.</p><div class="sidebar">x</div></div>') == "Long enough a text."
+    assert extract('<div><p>Text.</p></div><div class="comments"><p>A much longer comment than the text is.</p></div>') == "Text."
 
 
 def test_main_text_over_a_table(spark):
