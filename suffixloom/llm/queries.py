@@ -115,6 +115,20 @@ def _known(texts) -> str:
 
 
 ORACLES = {
+    "op2_ngram_join": f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(coalesce(text, ''), '{rules.HAS_WORD}+') AS w FROM documents),
+sh AS (SELECT DISTINCT r, g FROM (SELECT r, unnest(CASE
+   WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))
+   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM docs)),
+sizes AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+both_have AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b USING (g) WHERE a.r <> b.r GROUP BY a.r, b.r),
+links AS MATERIALIZED (SELECT x, y FROM both_have JOIN sizes s ON s.r = x JOIN sizes t ON t.r = y
+  WHERE 10 * c >= 8 * (s.n + t.n - c)),
+reach AS (SELECT r, r AS m FROM docs UNION SELECT reach.r, links.y FROM reach JOIN links ON links.x = reach.m),
+classes AS (SELECT reach.r, min(d.doc_id) AS class_id FROM reach JOIN docs d ON d.r = reach.m GROUP BY reach.r),
+degrees AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM docs JOIN classes USING (r) LEFT JOIN degrees USING (r)""",
     "op5_licence_scan": f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 entire AS ({_known(LICENCES + NOTICES)}), single AS ({_known(NOTICES)}),

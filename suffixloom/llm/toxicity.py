@@ -30,8 +30,9 @@ from .arrow import add_columns
 
 TRAIN_DOCS, TRAIN_BYTES = 6000, 1 << 15
 WINDOW_WORDS = 5
-SHARED_BYTES, TOXIC_BYTES = 3072, 1 << 16
-#: A toxic segment stands in this share of the toxic texts, and in so many times the share of ordinary ones.
+SHARED_BYTES, TOXIC_BYTES = 3072, 1 << 18
+#: A toxic segment has, for each toxic text, so many different neighbourhoods (near copies of a text share theirs), and
+#: so many times as many as for each ordinary one.
 SUPPORT, CONTRAST = 0.02, 30
 SEGMENT = re.compile(rb"[^ ]{4,24}(?= )")
 LEVEL, MIN_MATCH = 6, 6
@@ -117,15 +118,17 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     found = sorted(set(SEGMENT.findall(_dictionary([w for t in parts[1] for w in windows(t)][:60_000], TOXIC_BYTES))))
     known, share = set(found), {}
     for y, texts in parts.items():
-        seen: dict[bytes, int] = {}
+        places: dict[bytes, set] = {}
         for t in texts:
-            for s in known.intersection(t.encode().split()):
-                seen[s] = seen.get(s, 0) + 1
-        share[y] = seen
+            words = [b"", *t.encode().split(), b""]
+            for i in range(1, len(words) - 1):
+                if words[i] in known:
+                    places.setdefault(words[i], set()).add((words[i - 1], words[i + 1]))
+        share[y] = {s: len(p) for s, p in places.items()}
     n1, n0 = len(parts[1]), len(parts[0])
     # the most frequent segments come last, where a match costs least
     kept = sorted((c, s) for s, c in share[1].items()
-                  if c >= max(2, SUPPORT * n1) and c / n1 > CONTRAST * share[0].get(s, 0) / n0)
+                  if c >= max(3, SUPPORT * n1) and c / n1 > CONTRAST * share[0].get(s, 0) / n0)
     model.toxic = model.ordinary + b" " + b"".join(s + b" " for _, s in kept)
     held = [r for i, r in enumerate(rows) if not i % 3]
     model.weights = _fit_weights(np.array([model.features(t) for t, _ in held]), np.array([y for _, y in held], dtype=float))
