@@ -237,8 +237,11 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     banded = signed.join(texts.select("uid"), "uid", "left_semi").select("uid", F.explode("bands").alias("band"))
     leaders = scratch.save(banded.groupBy("band").agg(F.min("uid").alias("leader"), F.count("*").alias("size"))
                            .filter("size > 1").select("band", "leader"), "bands")
-    near = scratch.save(banded.join(leaders, "band").filter("uid <> leader")
-                        .select(F.col("uid").alias("a"), F.col("leader").alias("b")).distinct(), "candidates")
+    # of a text's leaders the least stands for it, and the others are tied to that one: members of one
+    # large set repeat the ties among its few leaders, which leaves about one edge a text
+    led = banded.join(leaders, "band").groupBy("uid").agg(F.sort_array(F.collect_set("leader")).alias("by"))
+    ties = F.transform(F.array_append("by", F.col("uid")), lambda x: F.struct(x.alias("a"), F.get("by", F.lit(0)).alias("b")))
+    near = scratch.save(led.select(F.explode(ties).alias("e")).select("e.a", "e.b").filter("a <> b").distinct(), "candidates")
     parts = components(near, scratch)
     sizes = scratch.save(parts.groupBy("label").agg(F.count("*").alias("size")), "sizes")
 
