@@ -30,7 +30,7 @@ from .arrow import add_columns
 
 TRAIN_DOCS, TRAIN_BYTES = 6000, 1 << 15
 WINDOW_WORDS = 5
-SHARED_BYTES, TOXIC_BYTES = 3072, 1 << 18
+SHARED_BYTES, TOXIC_BYTES = 8192, 1 << 18
 #: A toxic segment has, for each toxic text, so many different neighbourhoods (near copies of a text share theirs), and
 #: so many times as many as for each ordinary one.
 SUPPORT, CONTRAST = 0.02, 30
