@@ -22,11 +22,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import Scratch
-from .common import digest_columns
+from .common import bound, digest_columns
 from .licence_texts import LICENCES, NOTICES, SPELLINGS
 
 #: A line that only names the holder of rights.
 COPYRIGHT_LINE = r"(?m)^[ \t\r*#/;-]*(copyright([ :]|$)|\(c\)|©|all rights reserved)[^\n]*$"
+#: In the canonical form of every known notice; what may become it contains the shorter stem.
+NOTICE_STEM, RAW_STEM = "licens", "licen"
+#: Texts without any of the spellings skip their replacement.
+ANY_SPELLING = " (" + "|".join(found for found, _ in SPELLINGS) + ") "
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -34,7 +38,8 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text without nulls."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), NOT_WORD, " ")
     framed = F.concat(F.lit(" "), plain, F.lit(" "))
-    return F.btrim(reduce(lambda t, s: F.replace(t, F.lit(f" {s[0]} "), F.lit(f" {s[1]} ")), SPELLINGS, framed))
+    one = lambda t: reduce(lambda x, s: F.replace(x, F.lit(f" {s[0]} "), F.lit(f" {s[1]} ")), SPELLINGS, t)
+    return F.btrim(bound(framed, lambda t: F.when(t.rlike(ANY_SPELLING), one(t)).otherwise(t)))
 
 
 def known(spark: SparkSession, texts) -> DataFrame:
@@ -52,7 +57,9 @@ def licence_scan(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     added = ("canonical_sha256", "license", "notices")
     own = [c for c in docs.columns if c not in added]
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select(*digest_columns(text), F.explode(F.split(text, "\n", -1)).alias("line"))
+    assert all(NOTICE_STEM in t.lower() for _, t in NOTICES)
+    lines = docs.select(*digest_columns(text), F.explode(F.split(text, "\n", -1)).alias("line")).filter(
+        F.lower("line").contains(RAW_STEM))
     noticed = scratch.save(
         lines.withColumn("digest", F.sha2(canonical(F.col("line")), 256)).join(known(spark, NOTICES), "digest")
         .groupBy("t1", "t2").agg(F.array_sort(F.collect_set("license")).alias("notices")), "notices")
