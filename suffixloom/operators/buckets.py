@@ -67,12 +67,13 @@ def placed_nonheads(heads: DataFrame, expanded: DataFrame) -> DataFrame:
     taken = placed_heads(heads).filter("reach <> 0").select(*four).distinct()
     free = (expanded.join(taken, four, "left_anti").groupBy("pos", *four).agg(F.sum("cnt").alias("weight"))
             .withColumn("next_rank", F.lit(-1).cast("long")))
-    members = heads.select(
+    # equal documents share all of this, so their members are counted before they are joined
+    members = heads.groupBy(
         F.col("pos").alias("r_pos"), F.col("len").alias("r_len"), F.col("smaller").alias("r_smaller"),
-        F.col("run_len").alias("r_run"), "isa_next", "next_rank")
+        F.col("run_len").alias("r_run"), "isa_next", "next_rank").agg(F.count("*").alias("members"))
     tied = (expanded.join(taken, four, "left_semi")
             .join(members, ["r_pos", "r_len", "r_smaller", "r_run", "isa_next"])
-            .groupBy("pos", *KEY).agg(F.count("*").alias("weight")))
+            .groupBy("pos", *KEY).agg(F.sum("members").alias("weight")))
     return free.unionByName(tied)
 
 
@@ -84,7 +85,8 @@ def gap_before_head(heads: DataFrame, nonheads: DataFrame, scratch: Scratch, row
                            "weight", F.lit(0).alias("head"))
     # running count of non-heads over all buckets, then the difference to the previous head or bucket start
     counted = ordered_index(both.unionByName(rest), [*KEY, "head"], "below", scratch, rows, weight="weight")
-    starts = counted.groupBy("isa_pos").agg(F.min("below").alias("bucket_below"))
+    # written, so that adaptive execution can split the rows of a frequent bucket in the join
+    starts = scratch.save(counted.groupBy("isa_pos").agg(F.min("below").alias("bucket_below")), "bucket-starts")
     ranked = ordered_index(counted.filter("head = 1").join(starts, "isa_pos"), KEY, "rank", scratch, rows)
     prev = ranked.select((F.col("rank") + 1).alias("rank"), F.col("isa_pos").alias("p_isa"), F.col("below").alias("p_below"))
     start = F.when(F.col("p_isa") == F.col("isa_pos"), F.col("p_below")).otherwise(F.col("bucket_below"))
