@@ -50,10 +50,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as token ids, with digests of the ids and of the text decoded from them."""
-    encoded = sentencepiece(docs, PIECE_MODEL, ("n_tokens", "ids", "ids_text", "decoded"), keep=["doc_id", "lang", "source"])
-    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids_text", 256).alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    """What is left as token ids with their byte spans, and digests of the ids and of the text decoded from them."""
+    encoded = sentencepiece(docs, PIECE_MODEL, ("n_tokens", "ids", "ids_text", "begins", "ends", "decoded"),
+                            keep=["doc_id", "lang", "source"])
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "begins", "ends",
+                          F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", shared_lines), ("n-gram jaccard join", near_duplicates),

@@ -23,8 +23,9 @@ import re
 import struct
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import accumulate
+from hashlib import sha256
 
+import numpy as np
 from pyspark.sql import DataFrame, types as T
 
 from .arrow import add_columns
@@ -103,11 +104,6 @@ class Normalizer:
     squeeze: bool = True
     escape: bool = True
 
-    @property
-    def plain(self) -> bool:
-        """Only marks spaces."""
-        return self.charmap is None and self.dummy_prefix and not self.squeeze and self.escape
-
     def _steps(self, data: bytes):
         """(replacement, start, end) along the text."""
         at = 0
@@ -122,6 +118,27 @@ class Normalizer:
 
     def align(self, text: str) -> tuple[bytes, list[int], list[int]]:
         """The normalised bytes, and of each the start and end of its source bytes."""
+        normal, starts, ends = self.align_arrays(text)
+        return normal, starts.tolist(), ends.tolist()
+
+    def align_arrays(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """As ``align``.  Without a map each step is one character: they are aligned all at once."""
+        if self.charmap is None and not self.squeeze:
+            return self._align_characters(text.encode())
+        normal, starts, ends = self._align_steps(text.encode())
+        return normal, np.array(starts, np.int64), np.array(ends, np.int64)
+
+    def _align_characters(self, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        mark, raw = MARK.encode() if self.escape else b" ", np.frombuffer(data, np.uint8)
+        first = np.flatnonzero((raw & 0xC0) != 0x80)
+        after = np.append(first[1:], len(raw)) if len(first) else first
+        sizes = np.where(raw[first] == 0x20, len(mark), after - first)
+        lead = mark if data and self.dummy_prefix else b""
+        none = np.zeros(len(lead), np.int64)
+        return (lead + data.replace(b" ", mark), np.concatenate([none, np.repeat(first, sizes)]),
+                np.concatenate([none, np.repeat(after, sizes)]))
+
+    def _align_steps(self, data: bytes) -> tuple[bytes, list[int], list[int]]:
         out, starts, ends = bytearray(), [], []
         mark = MARK.encode() if self.escape else b" "
 
@@ -131,7 +148,7 @@ class Normalizer:
             ends.extend([end] * len(piece))
 
         after_space = self.squeeze
-        for piece, start, end in self._steps(text.encode()):
+        for piece, start, end in self._steps(data):
             if after_space:
                 piece = piece.lstrip(b" ")
             if piece:
@@ -155,6 +172,11 @@ class PieceModel:
     bytes_ids: list[int]
     normalizer: Normalizer
     surface: list[str | int] = field(default_factory=list)
+    #: Bytes of each piece in a normalised text.
+    sizes: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.sizes = np.array([1 if isinstance(s, int) else len(p.encode()) for p, s in zip(self.pieces, self.surface)], np.int64)
 
     @classmethod
     def load(cls, path: str) -> "PieceModel":
@@ -252,22 +274,24 @@ class PieceModel:
 
     def units(self, text: str) -> list[str]:
         """The units of a text's normalised form."""
-        if not text:
-            return []
-        if self.normalizer.plain:
-            normal = MARK + text.replace(" ", MARK)
-        else:
-            normal = self.normalizer.align(text)[0].decode()
-        return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", normal)
+        return self.units_of(self.normalizer.align_arrays(text)[0])
+
+    @staticmethod
+    def units_of(normal: bytes) -> list[str]:
+        return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", normal.decode())
 
     def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """Begin and end of each piece in the bytes of the text."""
-        if not ids:
-            return [], []
-        _, starts, ends = self.normalizer.align(text)
-        sizes = [1 if isinstance(self.surface[i], int) else len(self.pieces[i].encode()) for i in ids]
-        stops = list(accumulate(sizes))
-        return [starts[e - s] for s, e in zip(sizes, stops)], [ends[e - 1] for e in stops]
+        begins, ends = self.project(ids, *self.normalizer.align_arrays(text)[1:])
+        return begins.tolist(), ends.tolist()
+
+    def project(self, ids: list[int], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each piece in the source bytes, through the alignment of the normalised ones."""
+        sizes = self.sizes[np.array(ids, np.int64)]
+        stops = np.cumsum(sizes)
+        if (stops[-1] if len(stops) else 0) != len(starts):
+            raise ValueError("the pieces do not cover the normalised text")
+        return starts[stops - sizes], ends[stops - 1]
 
     # --- decoding ---
 
@@ -321,13 +345,16 @@ def cache_of(model_path: str, cached_units: int) -> UnitCache:
 SCHEMA = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
     T.StructField("ids_text", T.StringType()), T.StructField("begins", T.ArrayType(T.LongType())),
-    T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())])
+    T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("spans_sha256", T.StringType()),
+    T.StructField("decoded", T.StringType())])
+SPANS = {"begins", "ends", "spans_sha256"}
 
 
 def sentencepiece(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "begins", "ends", "decoded"),
                   cached_units: int = CACHED_UNITS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (of it the columns ``keep``, if given) with ``outputs``, out of: ``n_tokens``; ``ids``; ``ids_text`` (decimal ids joined
-    by commas); ``begins`` and ``ends`` (byte spans of the pieces in the text); ``decoded``."""
+    by commas); ``begins`` and ``ends`` (byte spans of the pieces in the text); ``spans_sha256`` (of all begins, then all ends, as
+    little-endian 64-bit numbers); ``decoded``."""
     schema = T.StructType([SCHEMA[c] for c in outputs])
 
     def make():
@@ -337,8 +364,11 @@ def sentencepiece(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = (
         def work(texts: list) -> dict:
             out = {c: [] for c in outputs}
             for text in texts:
-                found = [cache[u] for u in model.units(text or "")]
-                ids = [i for e in found for i in e[0]] if {"ids", "begins", "ends"} & out.keys() else None
+                normal, starts, stops = model.normalizer.align_arrays(text or "")
+                found = [cache[u] for u in model.units_of(normal)]
+                ids = [i for e in found for i in e[0]] if {"ids", *SPANS} & out.keys() else None
+                if SPANS & out.keys():
+                    begins, ends = model.project(ids, starts, stops)
                 for c in outputs:
                     if c == "n_tokens":
                         value = sum(len(e[0]) for e in found)
@@ -349,13 +379,11 @@ def sentencepiece(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = (
                     elif c == "decoded":
                         value = "".join([e[2] for e in found])
                         value = value[1:] if model.normalizer.dummy_prefix and value.startswith(" ") else value
+                    elif c == "spans_sha256":
+                        value = sha256(begins.astype("<i8").tobytes() + ends.astype("<i8").tobytes()).hexdigest()
                     else:
-                        continue
+                        value = begins if c == "begins" else ends
                     out[c].append(value)
-                if {"begins", "ends"} & out.keys():
-                    for c, value in zip(("begins", "ends"), model.spans(text or "", ids)):
-                        if c in out:
-                            out[c].append(value)
             return out
         return work
 

@@ -38,9 +38,9 @@ def op3_main_text(spark, sf_dir):
 
 
 def op4_sentencepiece(spark, sf_dir):
-    encoded = sentencepiece(table(spark, sf_dir, "documents"), PIECE_MODEL, ("n_tokens", "ids_text", "decoded"),
-                            keep=["doc_id"])
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"),
+    encoded = sentencepiece(table(spark, sf_dir, "documents"), PIECE_MODEL,
+                            ("n_tokens", "ids_text", "spans_sha256", "decoded"), keep=["doc_id"])
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), "spans_sha256",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

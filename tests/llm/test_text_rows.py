@@ -102,6 +102,14 @@ def test_pieces_over_a_table(table, prose):
     assert pieces.sentencepiece(table([]), MODEL).count() == 0
 
 
+def test_characters_align_as_steps_do():
+    draw = random.Random(8)
+    for own in (pieces.Normalizer(None, a, False, b) for a in (True, False) for b in (True, False)):
+        for _ in range(300):
+            text = "".join(draw.choice(ALPHABET) for _ in range(draw.randint(0, 12)))
+            assert own.align(text) == own._align_steps(text.encode())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:y}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">a</a></li><li><a href="/b">b</a></li></ul></nav><header>Site &amp; more</header>
 <div class="cookie-notice">We use cookies.</div><div class="ad">Buy this.</div>
