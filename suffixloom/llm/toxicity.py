@@ -9,7 +9,9 @@ its number of windows; weights that turn these into a probability are fitted on
 training texts that the dictionaries have not seen.
 
 Training uses a bounded sample: of each label at most ``TRAIN_DOCS`` labelled rows of at
-most ``TRAIN_BYTES`` bytes, the ones with the smallest hashes.  Scoring is row-wise over
+most ``TRAIN_BYTES`` bytes, the ones with the smallest hashes.  The labels of all training rows
+are counted, and the fit weighs the sampled rows so that each label has the share it has
+among them all, whatever the size of the sample.  Scoring is row-wise over
 every whole text with a broadcast model of a few kilobytes.
 
 Defined cases: a null or empty text has no windows and gets the score of none; texts that
@@ -95,21 +97,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.dot(self.weights, self.features(text)))))
 
 
-def _fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+def _fit_weights(x: np.ndarray, y: np.ndarray, row_weights: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weighted logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        slope = x.T @ (row_weights * (y - p)) - ridge * w
+        curve = (x * (row_weights * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         w = w + np.linalg.solve(curve, slope)
     return w
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model of (text, label) rows; every third row only fits the weights."""
-    labels = np.array([y for _, y in rows], dtype=float)
-    model = Model(rate=float(labels.mean()) if len(rows) else 0.0)
+def fit(rows: list[tuple[str, int]], counts: tuple[int, int] | None = None) -> Model:
+    """A model of (text, label) rows; every third row only fits the weights.  ``counts`` are
+    the numbers of ordinary and toxic rows that the rows are drawn from, if not they themselves."""
+    drawn = [sum(label == y for _, label in rows) for y in (0, 1)]
+    true = counts if counts and all(counts) else drawn
+    model = Model(rate=true[1] / sum(true) if all(drawn) else float(drawn[1] > 0))
     learn = [r for i, r in enumerate(rows) if i % 3]
     if len({y for _, y in learn}) < 2:
         return model
@@ -131,21 +135,25 @@ def fit(rows: list[tuple[str, int]]) -> Model:
                   if c >= max(3, SUPPORT * n1) and c / n1 > CONTRAST * share[0].get(s, 0) / n0)
     model.toxic = model.ordinary + b" " + b"".join(s + b" " for _, s in kept)
     held = [r for i, r in enumerate(rows) if not i % 3]
-    model.weights = _fit_weights(np.array([model.features(t) for t, _ in held]), np.array([y for _, y in held], dtype=float))
+    each = [true[y] / sum(true) * len(rows) / drawn[y] for y in (0, 1)]
+    model.weights = _fit_weights(np.array([model.features(t) for t, _ in held]), np.array([y for _, y in held], dtype=float),
+                                 np.array([each[y] for _, y in held]))
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
     """A model of the labelled documents that are not held out."""
+    usable = labels.filter(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+    found = dict(usable.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect())
     picked = None
     for y in (0, 1):
-        own = (labels.filter((F.col("toxic") == y) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-               .select("doc_id", F.lit(y).alias("label"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(train_docs))
+        own = (usable.filter(F.col("toxic") == y).select("doc_id", F.lit(y).alias("label"), F.xxhash64("doc_id").alias("h"))
+               .orderBy("h", "doc_id").limit(train_docs))
         picked = own if picked is None else picked.unionByName(own)
     # at most 2 * train_docs ids are sent, so no text is exchanged
     rows = (docs.select("doc_id", "text").filter(F.octet_length("text") <= train_bytes).join(F.broadcast(picked), "doc_id")
             .select("h", "text", "label").orderBy("h", "text", "label").limit(2 * train_docs).collect())
-    return fit([(r.text, r.label) for r in rows])
+    return fit([(r.text, r.label) for r in rows], (found.get(0, 0), found.get(1, 0)))
 
 
 SCHEMA = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

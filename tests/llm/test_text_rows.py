@@ -185,6 +185,20 @@ def test_toxicity_learns_words(spark, table, prose):
     assert tx.fit([]).score("x") == 0.0 and tx.fit([("a", 1), ("b", 1)]).score("") == 1.0
 
 
+def test_toxicity_keeps_the_class_shares(spark, table, prose):
+    bad, draw, rows = ["vilewort", "grimslur", "nastique"], random.Random(3), []
+    for i in range(900):
+        words = prose(i, 60).split()
+        if i % 9 == 0 or i % 50 == 1:  # one of three such texts of the second kind is toxic
+            words.insert(draw.randrange(len(words)), draw.choice(bad))
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, int(i % 9 == 0), None) for i, _ in rows], "doc_id long, toxic int, quality int")
+    docs = table(rows)
+    mean = lambda model: np.mean([model.score(t) for _, t in rows])
+    whole, capped = tx.train(docs, labels), tx.train(docs, labels, train_docs=70)
+    assert abs(mean(whole) - 1 / 9) < 0.03 and abs(mean(capped) - 1 / 9) < 0.06
+
+
 def brute_tiles(doc, item, k):
     """Greedy string tiling without hashes."""
     d_free, i_free, covered = [True] * len(doc), [True] * len(item), 0
