@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from math import exp, lgamma, log
 
 import numpy as np
 import zstandard
@@ -33,9 +34,9 @@ from .arrow import add_columns
 TRAIN_DOCS, TRAIN_BYTES = 6000, 1 << 15
 WINDOW_WORDS = 5
 SHARED_BYTES, TOXIC_BYTES = 8192, 1 << 18
-#: A toxic segment has, for each toxic text, so many different neighbourhoods (near copies of a text share theirs), and
-#: so many times as many as for each ordinary one.
-SUPPORT, CONTRAST = 0.02, 30
+#: A toxic segment has so many different neighbourhoods in toxic texts at least (near copies of a text share theirs), for each
+#: toxic text so many times as many as for each ordinary one, and with this rate of false ones among the kept it is no chance.
+LEAST, CONTRAST, FALSE_RATE = 3, 30, 0.05
 SEGMENT = re.compile(rb"[^ ]{4,24}(?= )")
 LEVEL, MIN_MATCH = 6, 6
 #: Bytes known to both dictionaries that precede a window, so that the first match of its own counts in full.
@@ -108,6 +109,19 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, row_weights: np.ndarray, ridge: f
     return w
 
 
+def _chance(toxic: int, ordinary: int, share: float) -> float:
+    """Probability of so many toxic ones or more out of all, if each is toxic with probability ``share``."""
+    n = toxic + ordinary
+    logs = [lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(share) + (n - k) * log(1 - share)
+            for k in range(toxic, n + 1)]
+    return min(1.0, sum(map(exp, logs)))
+
+
+def _bound(chances: list[float], tests: int) -> float:
+    """The largest of the ascending probabilities that keeps the rate of false ones (Benjamini and Hochberg)."""
+    return max((p for i, p in enumerate(chances, 1) if p <= FALSE_RATE * i / tests), default=0.0)
+
+
 def fit(rows: list[tuple[str, int]], counts: tuple[int, int] | None = None) -> Model:
     """A model of (text, label) rows; every third row only fits the weights.  ``counts`` are
     the numbers of ordinary and toxic rows that the rows are drawn from, if not they themselves."""
@@ -130,9 +144,11 @@ def fit(rows: list[tuple[str, int]], counts: tuple[int, int] | None = None) -> M
                     places.setdefault(words[i], set()).add((words[i - 1], words[i + 1]))
         share[y] = {s: len(p) for s, p in places.items()}
     n1, n0 = len(parts[1]), len(parts[0])
+    chance = {s: _chance(c, share[0].get(s, 0), n1 / (n1 + n0)) for s, c in share[1].items() if c >= LEAST}
+    bound = _bound(sorted(chance.values()), len(found))
     # the most frequent segments come last, where a match costs least
-    kept = sorted((c, s) for s, c in share[1].items()
-                  if c >= max(3, SUPPORT * n1) and c / n1 > CONTRAST * share[0].get(s, 0) / n0)
+    kept = sorted((share[1][s], s) for s, p in chance.items()
+                  if p <= bound and share[1][s] / n1 > CONTRAST * share[0].get(s, 0) / n0)
     model.toxic = model.ordinary + b" " + b"".join(s + b" " for _, s in kept)
     held = [r for i, r in enumerate(rows) if not i % 3]
     each = [true[y] / sum(true) * len(rows) / drawn[y] for y in (0, 1)]

@@ -199,6 +199,18 @@ def test_toxicity_keeps_the_class_shares(spark, table, prose):
     assert abs(mean(whole) - 1 / 9) < 0.03 and abs(mean(capped) - 1 / 9) < 0.06
 
 
+def test_toxicity_keeps_the_words_of_a_small_language(prose, monkeypatch):
+    monkeypatch.setattr(tx, "_dictionary", lambda samples, size: b"".join(samples))
+    rows = []
+    for i in range(6000):
+        words = prose(i, 20).split()
+        if i % 10 == 0:
+            words.insert(i % 19, "palabrota" if i % 700 == 10 else ["vilewort", "grimslur"][i // 10 % 2])
+        rows.append((" ".join(words), int(i % 10 == 0)))
+    assert sum("palabrota" in t for i, (t, _) in enumerate(rows) if i % 3) == 6  # of 400 toxic texts, so less than 2 %
+    assert b" palabrota " in tx.fit(rows).toxic
+
+
 def brute_tiles(doc, item, k):
     """Greedy string tiling without hashes."""
     d_free, i_free, covered = [True] * len(doc), [True] * len(item), 0
