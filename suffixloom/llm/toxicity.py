@@ -9,7 +9,7 @@ its number of windows; weights that turn these into a probability are fitted on
 training texts that the dictionaries have not seen.
 
 Training uses a bounded sample: of each label at most ``TRAIN_DOCS`` labelled rows of at
-most ``TRAIN_BYTES`` bytes, the ones with the smallest hashes.  The labels of all training rows
+most ``TRAIN_BYTES`` bytes, the ones with the smallest hashes; the dictionaries see all windows of two thirds of them.  The labels of all training rows
 are counted, and the fit weighs the sampled rows so that each label has the share it has
 among them all, whatever the size of the sample.  Scoring is row-wise over
 every whole text with a broadcast model of a few kilobytes.
@@ -132,8 +132,8 @@ def fit(rows: list[tuple[str, int]], counts: tuple[int, int] | None = None) -> M
     if len({y for _, y in learn}) < 2:
         return model
     parts = {y: [t for t, label in learn if label == y] for y in (0, 1)}
-    model.ordinary = _dictionary([w for t in parts[0] for w in windows(t)][:60_000], SHARED_BYTES * 4 // 3)[-SHARED_BYTES:]
-    found = sorted(set(SEGMENT.findall(_dictionary([w for t in parts[1] for w in windows(t)][:60_000], TOXIC_BYTES))))
+    model.ordinary = _dictionary([w for t in parts[0] for w in windows(t)], SHARED_BYTES * 4 // 3)[-SHARED_BYTES:]
+    found = sorted(set(SEGMENT.findall(_dictionary([w for t in parts[1] for w in windows(t)], TOXIC_BYTES))))
     known, share = set(found), {}
     for y, texts in parts.items():
         places: dict[bytes, set] = {}

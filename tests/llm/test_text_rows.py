@@ -211,6 +211,13 @@ def test_toxicity_keeps_the_words_of_a_small_language(prose, monkeypatch):
     assert b" palabrota " in tx.fit(rows).toxic
 
 
+def test_toxicity_learns_from_all_windows(prose, monkeypatch):
+    seen, text = [], prose(1, 4000)
+    monkeypatch.setattr(tx, "_dictionary", lambda samples, size: seen.append(len(samples)) or b"".join(samples[:9]))
+    tx.fit([(text if y else "short text", y) for _ in range(120) for y in (0, 1)])
+    assert seen == [80, 80 * 800]
+
+
 def brute_tiles(doc, item, k):
     """Greedy string tiling without hashes."""
     d_free, i_free, covered = [True] * len(doc), [True] * len(item), 0
