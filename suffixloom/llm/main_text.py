@@ -4,7 +4,9 @@ A page is cut into tags and texts and built into a tree with HTML's implied end
 Parts that name themselves as menus, headers, footers, sidebars, notices, adverts, forms
 or comments are taken out first.  Every node of the rest gets its characters per tag,
 adjusted by the characters and tags of its links; the container whose blocks' densities
-have the largest sum is the content (inline elements count as tags only).  The least density on the path from it to the body
+have the largest sum is the content (inline elements count as tags only), and with it the
+whole rest of the article, main or content element around it: headline, short sections
+and bare text, unless that element holds a second article.  The least density on the path from it to the body
 is the threshold at which subtrees beside that path count as content too.
 
 Row-wise and without exchange; a page never leaves its row, and the work is linear in it.
@@ -57,6 +59,8 @@ ASIDE_NAMES = frozenset(
     "recommended pagination pager widget toolbar copyright complementary contentinfo search".split())
 #: Of these names, the ones that wrappers of a whole page bear as well ("has-sidebar").
 WRAPPER_NAMES = frozenset("nav navbar menu sidebar header footer masthead banner widget toolbar search overlay".split())
+#: Names of elements that hold the content.
+CONTENT_NAMES = frozenset("article content entry main post story".split())
 NO, BY_TAG, BY_NAME, BY_CLEAR_NAME = range(4)
 #: These may bear such a name and still hold the page.
 NEVER_ASIDE = frozenset(("html", "body", "main", "article"))
@@ -67,6 +71,7 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.tag = [-1], ["#page"]
+        self._holds = [False]  # whether a node names itself as what holds the content
         self._out = [NO]  # why a node is no article by itself
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self._open = [0]
@@ -121,6 +126,8 @@ class Page:
             out = _by_name(attributes)
         self.parent.append(above)
         self.tag.append(name)
+        self._holds.append(name in ("article", "main") or name in CONTAINERS and name not in ("html", "body")
+                           and bool(attributes) and not _name_parts(attributes).isdisjoint(CONTENT_NAMES))
         self._out.append(out)
         if name not in VOID and name not in RAW:
             self._open.append(len(self.tag) - 1)
@@ -190,11 +197,16 @@ class Page:
         while node > 0:
             path.append(node)
             node = self.parent[node]
+        articles = [0] * len(total)  # outermost ones with text
+        for i in range(len(total) - 1, 0, -1):
+            articles[i] = 1 if self.tag[i] == "article" and density[i] else articles[i]
+            articles[self.parent[i]] += articles[i]
+        whole = [i for i in path if self._holds[i] and not self.aside[i] and articles[i] < 2]
         threshold = min((density[i] for i in path), default=0.0)
         on_path = {0, *path}
         beside = [i for i in range(1, len(total)) if self.parent[i] in on_path and i not in on_path
                   and self.parent[i] != best and self.tag[i] in BLOCKS and density[i] and density[i] >= threshold]
-        return sorted([best, *beside])
+        return sorted({best, *beside, *whole[-1:]})
 
     def main_text(self) -> str:
         keep = [False] * len(self.tag)
@@ -210,11 +222,16 @@ class Page:
         return "\n".join(line for line in lines if line)
 
 
+def _name_parts(attributes: str) -> set[str]:
+    """The words of class, id and role."""
+    return {p for value in NAMES.findall(attributes) for p in NAME_PARTS.findall(CAMEL.sub(" ", value).lower())}
+
+
 def _by_name(attributes: str) -> int:
     """Whether the attributes name a part that is no article."""
     if HIDDEN.search(attributes):
         return BY_CLEAR_NAME
-    parts = {p for value in NAMES.findall(attributes) for p in NAME_PARTS.findall(CAMEL.sub(" ", value).lower())}
+    parts = _name_parts(attributes)
     if parts & ASIDE_NAMES - WRAPPER_NAMES:
         return BY_CLEAR_NAME
     return BY_NAME if parts & WRAPPER_NAMES else NO

@@ -131,6 +131,23 @@ def test_main_text():
     assert extract('<div><p>Text.</p></div><div class="comments"><p>A much longer comment than the text is.</p></div>') == "Text."
 
 
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main><div>{}</div></main>", '<div id="content"><div>{}</div></div>',
+                                    '<div role="main">{}</div>', "<main><article>{}</article></main>"])
+def test_main_text_of_wrapped_sections(around):
+    long, short = "<p>" + "word " * 99 + "word.</p>", "<p>" + "some " * 19 + "some.</p>"
+    inner = f"<h1>A headline of the article</h1>Bare text.<div>{long * 10}</div><div>{short * 2}</div><em>Last</em> words."
+    page = f'<body><div class="menu"><a href="/">Home</a></div>{around.format(inner)}<div class="related">{short}</div></body>'
+    lines = extract(page).split("\n")
+    assert lines[:2] == ["A headline of the article", "Bare text."] and lines[-1] == "Last words."
+    assert len(lines) == 15 and lines[-2].startswith("some")
+
+
+def test_main_text_leaves_the_second_article():
+    long = "<p>" + "word " * 99 + "word.</p>"
+    page = f"<main><h2>News</h2><article><h1>One</h1><div>{long * 10}</div></article><article><p>Other.</p></article></main>"
+    assert extract(page).split("\n")[0] == "One" and "Other." not in extract(page)
+
+
 def test_main_text_over_a_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 2), (2, None, None, 3), (3, "", "", None)],
                                   "page_id long, url string, html string, n_chars int")
