@@ -292,9 +292,13 @@ def planned_bwt(spark, sf_dir):
 
 
 def planned_by_heads(spark, sf_dir):
-    """All turns against a base that holds them all, so that heads are few."""
+    """All turns against a base that holds them all, so that heads are few; by suffixes where it is too long to be one."""
     docs = collection(spark, sf_dir, "conversations")
-    return bwt(docs, base=bi.concat_base(docs)).bwt()
+    try:
+        base = bi.concat_base(docs)
+    except bi.BaseTooLong:
+        base = None
+    return bwt(docs, base=base).bwt()
 
 
 def prefix_bwt(spark, sf_dir):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from suffixloom import queries
 from suffixloom.functions.nearest import nearest_smaller
 from suffixloom.operators import base_index as bi
 from suffixloom.plans import planner
@@ -169,6 +170,17 @@ def test_too_long_a_base_falls_back(spark, collection, base):
         spark.conf.unset("spark.suffixloom.maxIndexSymbols")
 
 
+def test_planned_query_falls_back(spark, collection, monkeypatch):
+    docs = collection(["abcab", "", "cabca"])
+    monkeypatch.setattr(queries, "collection", lambda *_: docs)
+    wanted = sorted(map(tuple, rank_suffixes(docs).bwt().collect()))
+    spark.conf.set("spark.suffixloom.maxIndexSymbols", "9")
+    try:
+        assert sorted(map(tuple, queries.planned_by_heads(spark, "").collect())) == wanted
+    finally:
+        spark.conf.unset("spark.suffixloom.maxIndexSymbols")
+
+
 def test_long_texts_go_by_slices(collection, monkeypatch):
     from suffixloom.operators import suffixes
     monkeypatch.setattr(suffixes, "CHUNK_SYMBOLS", 16)
