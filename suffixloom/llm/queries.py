@@ -15,6 +15,7 @@ from .main_text import main_text
 from .ngram_join import ngram_join
 from .pieces import sentencepiece
 from .quality import quality
+from .resampling import resample
 from .suffix_dedup import suffix_dedup
 from .toxicity import is_held_out, toxicity, train
 from .url_filter import url_filter
@@ -72,6 +73,10 @@ def op10_suffix_dedup(spark, sf_dir):
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_resampling(spark, sf_dir):
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_resampling": op11_resampling,
 }
 
 LINE_KEYS = r"""translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -114,6 +120,19 @@ def _known(texts) -> str:
     return f"SELECT {_canonical('t')} AS c, min(license) AS license FROM (VALUES {rows}) v(license, t) GROUP BY c"
 
 
+# CRC-32 from its definition: the table follows from the polynomial, a word is folded byte by byte.
+CRC_TABLE = """SELECT list_transform(generate_series(0, 255), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t"""
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, octet_length(encode(f))),
+  lambda i: ('0x' || substr(hex(encode(f)), 2 * i - 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))"""
+
+
+def _feature_words(text: str) -> str:
+    small = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({small}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
 ORACLES = {
     "op2_ngram_join": f"""
 WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id,
@@ -165,4 +184,23 @@ bad AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >=
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(bad.k)::BIGINT AS n_dropped,
  sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (bad.k IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN bad USING (k) GROUP BY r, doc_id""",
+    "op11_resampling": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_feature_words('text')} AS w FROM documents),
+own AS (SELECT r, unnest(w) AS f FROM docs), goal AS (SELECT unnest({_feature_words('text')}) AS f FROM benchmark),
+crc AS ({CRC_TABLE}),
+buckets AS MATERIALIZED (SELECT f, {CRC} % 10000 AS b FROM (SELECT f FROM own UNION SELECT f FROM goal), crc),
+s AS (SELECT b, count(*) AS n FROM own JOIN buckets USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM goal JOIN buckets USING (f) GROUP BY b),
+sums AS (SELECT (SELECT count(*) FROM own) AS s_all, (SELECT count(*) FROM goal) AS t_all),
+gains AS (SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE
+   / ((s.n + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM sums, s LEFT JOIN t USING (b)),
+weights AS (SELECT r, sum(gain)::BIGINT AS total, count(*) AS n FROM own JOIN buckets USING (f) JOIN gains USING (b) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w)::BIGINT AS n_features,
+  coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+  floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT
+    AS noise FROM docs LEFT JOIN weights USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, (weight + noise)::BIGINT AS score,
+ CASE WHEN rank <= 10 * n // 100 THEN rank END::BIGINT AS rank FROM scored LEFT JOIN drawn USING (r)""",
 }
