@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .common import SPACE_RUN, table
 from .decontaminate import decontaminate
 from . import quality as rules
@@ -21,6 +22,7 @@ from .toxicity import is_held_out, toxicity, train
 from .url_filter import url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_toxicity(spark, sf_dir):
@@ -77,6 +79,11 @@ def op11_resampling(spark, sf_dir):
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op12_alignment(spark, sf_dir):
+    return align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL, keep=["doc_id"], digest=True).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps", "n_group_links")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -89,6 +96,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_resampling": op11_resampling,
+    "op12_alignment": op12_alignment,
 }
 
 LINE_KEYS = r"""translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
