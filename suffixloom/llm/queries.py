@@ -17,6 +17,7 @@ from .ngram_join import ngram_join
 from .pieces import sentencepiece
 from .quality import quality
 from .resampling import resample
+from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import is_held_out, toxicity, train
 from .url_filter import url_filter
@@ -84,6 +85,11 @@ def op12_alignment(spark, sf_dir):
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps", "n_group_links")
 
 
+def op13_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "repeats")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -97,6 +103,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_resampling": op11_resampling,
     "op12_alignment": op12_alignment,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 LINE_KEYS = r"""translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -211,4 +218,15 @@ drawn AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS
   FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, (weight + noise)::BIGINT AS score,
  CASE WHEN rank <= 10 * n // 100 THEN rank END::BIGINT AS rank FROM scored LEFT JOIN drawn USING (r)""",
+    "op13_substring_dedup": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{rules.HAS_WORD}+') AS w FROM documents),
+wins AS (SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS x
+  FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM docs)),
+several AS (SELECT x, min(doc_id) AS low FROM wins GROUP BY x HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 49)) AS k FROM wins JOIN several USING (x) WHERE low < doc_id),
+lost AS (SELECT r, list(k) AS ks FROM gone GROUP BY r), twice AS (SELECT DISTINCT r FROM wins JOIN several USING (x))
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
+ sha256(array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_transform(list_filter(generate_series(1, len(w)),
+  lambda k: NOT list_contains(ks, k)), lambda k: w[k]) END, ' ')) AS kept_sha256, twice.r IS NOT NULL AS repeats
+FROM docs LEFT JOIN lost USING (r) LEFT JOIN twice USING (r)""",
 }
