@@ -4,17 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 SLICE_ROWS = 256
+#: Bytes of a slice, unless a single row has more.
+SLICE_BYTES = 1 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of few rows, so that what a step holds does not depend on the batch size."""
+def _value_bytes(values: pa.Array) -> np.ndarray:
+    """About how many bytes each value takes."""
+    kind = values.type
+    if pa.types.is_struct(kind):
+        return sum((_value_bytes(f) for f in values.flatten()), np.zeros(len(values), dtype=np.int64))
+    if pa.types.is_list(kind):
+        return pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64) * 8
+    if pa.types.is_string(kind) or pa.types.is_binary(kind):
+        return pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.full(len(values), 8, dtype=np.int64)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows and few bytes, so that what a step holds depends neither
+    on the batch size nor on how many long texts stand side by side."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(sum((_value_bytes(c) for c in batch.columns), np.zeros(batch.num_rows, dtype=np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            fit = int(np.searchsorted(ends, before + size, side="right"))
+            stop = min(max(fit, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def add_columns(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[list], dict]],

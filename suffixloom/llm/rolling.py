@@ -14,17 +14,23 @@ WORD_BASE = 0xD6E8FEB86659FD93
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: Bytes whose words are hashed at once.
+PIECE = 1 << 20
+#: Longest table of powers that a worker keeps.
+KEPT_POWERS = 1 << 21
+
 _tables: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1); a worker keeps the longest table it has made."""
+    """base^0 .. base^(n-1); a worker keeps the longest table it has made, up to a bound."""
     table = _tables.get(base)
     if table is None or len(table) < n:
         table = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
-        _tables[base] = table
+        if len(table) <= KEPT_POWERS:
+            _tables[base] = table
     return table[:n]
 
 
@@ -59,16 +65,36 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+def _pieces(data: np.ndarray, size: int):
+    """Starts and ends of pieces of about ``size`` bytes that cut no word."""
+    at = 0
+    while at < len(data):
+        stop = min(at + size, len(data))
+        while stop < len(data):  # on to the end of the word
+            space = SPACE[data[stop:stop + size]]
+            if space.any():
+                stop += int(space.argmax())
+                break
+            stop = min(stop + size, len(data))
+        yield at, stop
+        at = stop
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and how many each text has."""
     lens = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    starts, ends = word_bounds(data)
-    sums = prefix_sums(data)
-    hashes = (sums[ends] - sums[starts]) * powers(INVERSE, len(data))[starts]
-    hashes += (ends - starts).astype(np.uint64)
-    counts = np.diff(np.searchsorted(starts, np.append(0, np.cumsum(lens))))
-    return spread(hashes), counts
+    all_hashes, all_starts = [], []
+    for at, stop in _pieces(data, PIECE):  # a hash does not depend on where the word stands
+        piece = data[at:stop]
+        starts, ends = word_bounds(piece)
+        sums = prefix_sums(piece)
+        hashes = (sums[ends] - sums[starts]) * powers(INVERSE, len(piece))[starts]
+        hashes += (ends - starts).astype(np.uint64)
+        all_hashes.append(spread(hashes))
+        all_starts.append(starts + at)
+    counts = np.diff(np.searchsorted(np.concatenate(all_starts), np.append(0, np.cumsum(lens))))
+    return np.concatenate(all_hashes), counts
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
