@@ -40,10 +40,13 @@ def by_heads(name, out):
 def near_copies(strategy):
     """The texts of one conversation table, joined, with a share of symbols replaced: near copies of a long base."""
     def run(spark):
-        base = concat_base(collection(spark, SF_DIR, "conversations").filter("doc < 400"))
+        turns = collection(spark, SF_DIR, "conversations").filter("doc < 400")
+        base = concat_base(turns)
+        whole = turns.agg(F.sort_array(F.collect_list(F.struct("doc", "text"))).alias("p")).select(
+            F.array_join("p.text", "").alias("text"))
         changed = F.transform(F.split("text", ""), lambda c, i: F.when(
             F.pmod(F.xxhash64(F.col("doc"), i), F.lit(1000)) == 0, F.lit("#")).otherwise(c))
-        docs = base.withColumn("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long")))).select(
+        docs = whole.withColumn("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long")))).select(
             "doc", F.array_join(changed, "").alias("text"))
         plan = CompressedBwt(docs, base) if strategy == "heads" else rank_suffixes(docs)
         consume(plan.rl_bwt())

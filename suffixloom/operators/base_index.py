@@ -1,6 +1,7 @@
 """The base string of a collection and its suffix index as a DataFrame.
 
-The base string is the data every document is matched against.  Its index has one
+The base string is the data every document is matched against.  It is kept as rows of
+``BLOCK`` symbols each; no task and no driver ever holds it whole.  Its index has one
 row per suffix (the empty one included)::
 
     pos BIGINT, isa BIGINT, prev INT, lcp BIGINT, uniq_len BIGINT
@@ -11,32 +12,49 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.nearest import nearest_smaller
-from ..functions.symbols import BASE_END, FIRST_CODE, LEGAL_HIGH, LEGAL_LOW, codes_of
+from ..functions.symbols import BASE_END, FIRST_CODE, LEGAL_HIGH, LEGAL_LOW, Alphabet, codes_of
 from ..session import Scratch, max_index_symbols
-from .suffixes import symbol_counts
+from .common_prefix import History, common_prefix
+from .ranking import rank_sequences
+from .slices import with_neighbours
+from .suffixes import PACKED_LONGS, block_suffix_rows, symbol_counts
 
-POSITIONS_PER_BLOCK = 1 << 16
+BLOCK = 1 << 16  # symbols of the base in one row
+#: The base as a document among others; before all of them, as its end sorts before theirs.
+BASE_DOC = -(1 << 62)
 
 
 class BaseTooLong(ValueError):
-    """The base string is longer than what may be broadcast."""
+    """The base string is longer than what may be broadcast or held by the driver."""
 
 
 @dataclass(frozen=True)
 class BaseString:
     """``base || symbols it lacks, ascending``, followed by an end of its own that sorts
-    before every symbol; ``n`` counts its suffixes, with the one of the end and the empty one."""
+    before every symbol; ``n`` counts its suffixes, with the one of the end and the empty one.
 
-    text: str | bytes
+    ``blocks``: ``block BIGINT, text`` rows of ``size`` symbols, the last one shorter."""
+
+    blocks: DataFrame
+    symbols: int
     base_len: int
+    size: int
 
     @property
     def n(self) -> int:
-        return len(self.text) + 2
+        return self.symbols + 2
+
+    @property
+    def text(self) -> str | bytes:
+        """The whole string, on the driver; refused if it is longer than an index that may be broadcast."""
+        if self.symbols > max_index_symbols(self.blocks.sparkSession):
+            raise BaseTooLong(f"base string of {self.symbols} symbols")
+        rows = [r.text for r in self.blocks.orderBy("block").select("text").collect()]  # of bounded size
+        return b"".join(map(bytes, rows)) if is_binary(self.blocks) else "".join(rows)
 
     @property
     def codes(self) -> np.ndarray:
@@ -44,85 +62,142 @@ class BaseString:
         return np.append(codes_of([self.text]).astype(np.int64) + FIRST_CODE, BASE_END)
 
 
-def concat_base(parts: DataFrame) -> DataFrame:
-    """One row ``text``: all rows of ``parts (doc, text)`` in order, without separator."""
-    spark = parts.sparkSession
-    size = parts.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > max_index_symbols(spark):
-        raise BaseTooLong(f"base string of {size} symbols")
-    return (parts.agg(F.sort_array(F.collect_list(F.struct("doc", "text"))).alias("p"))
-            .select(F.array_join(F.col("p.text"), "").alias("text")))
+def is_binary(df: DataFrame) -> bool:
+    return isinstance(df.schema["text"].dataType, T.BinaryType)
+
+
+def joined(pieces: Column, text: Column | str, binary: bool) -> Column:
+    """The texts of an array of structs, one after the other."""
+    if binary:
+        return F.unhex(F.array_join(F.transform(pieces, lambda p: F.hex(p[text])), ""))
+    return F.array_join(F.transform(pieces, lambda p: p[text]), "")
+
+
+def _cut(size: int, halo: int):
+    """Cut texts that start at ``start`` into what they add to each block of ``size`` symbols, which
+    reaches from one symbol before it to ``halo`` symbols after it if there is a halo."""
+    lead = 1 if halo else 0
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for start, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first = max((start - halo) // size, 0)
+                for block in range(first, (start + len(text) - 1 + lead) // size + 1):
+                    lo, hi = max(block * size - lead, start), min((block + 1) * size + halo, start + len(text))
+                    if lo < hi:
+                        rows.append((block, lo, text[lo - start:hi - start]))
+                        if len(rows) >= 256:
+                            yield _pieces(rows, batch.schema.field(1).type)
+                            rows = []
+            if rows:
+                yield _pieces(rows, batch.schema.field(1).type)
+
+    return run
+
+
+def _pieces(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    blocks, places, texts = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, kind)],
+                                      names=["block", "at", "text"])
+
+
+def _reblocked(placed: DataFrame, size: int, halo: int = 0) -> DataFrame:
+    """``block, text`` of a text that comes as ``start, text`` rows; nothing else is exchanged."""
+    kind = placed.schema["text"].dataType.simpleString()
+    cut = placed.select("start", "text").mapInArrow(_cut(size, halo), f"block long, at long, text {kind}")
+    return cut.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("p")).select(
+        "block", joined(F.col("p"), "text", is_binary(placed)).alias("text"))
+
+
+def concat_base(parts: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``block, text``: all rows of ``parts (doc, text)`` in order, without separator, in blocks of ``BLOCK`` symbols."""
+    scratch = scratch or Scratch(parts.sparkSession)
+    return scratch.save(_reblocked(_placed(parts, ["doc"], scratch), BLOCK), "base-blocks")
+
+
+def _placed(parts: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
+    from .heads import ordered_index
+
+    sized = parts.select(*order, "text", F.length("text").cast("long").alias("size"))
+    return ordered_index(sized, order, "start", scratch, sized.count(), weight="size")
+
+
+def base_parts(base: DataFrame) -> DataFrame:
+    """``doc, text`` of a base that is one ``text``, or comes as ``block, text`` rows."""
+    order = F.col("block") if "block" in base.columns else F.lit(0).cast("long")
+    return base.select(order.alias("doc"), "text")
+
+
+def base_symbols(base: DataFrame) -> int:
+    return base.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
 
 
 def missing_symbols(base: DataFrame, collection: DataFrame) -> DataFrame:
     """``code``: legal symbols and symbols of the collection that the base lacks."""
     spark = base.sparkSession
-    have = symbol_counts(base.select(F.lit(0).cast("long").alias("doc"), "text")).select("code")
+    have = symbol_counts(base_parts(base)).select("code")
     legal = spark.range(LEGAL_LOW, LEGAL_HIGH + 1).select(F.col("id").alias("code"))
     seen = symbol_counts(collection).filter("code >= 0").select("code")
     return legal.unionByName(seen).distinct().join(have, "code", "left_anti")
 
 
-def augment(base: DataFrame, collection: DataFrame) -> BaseString:
+def augment(base: DataFrame, collection: DataFrame, scratch: Scratch | None = None) -> BaseString:
     """Append to the base what lets every symbol of the collection match."""
-    row = base.select("text").first()
-    text = row.text if row else ""
-    if len(text) > max_index_symbols(base.sparkSession):
-        raise BaseTooLong(f"base string of {len(text)} symbols")
+    spark = base.sparkSession
+    scratch = scratch or Scratch(spark)
+    parts = base_parts(base).filter(F.length("text") > 0)
+    length = base_symbols(parts)
     codes = sorted(r.code for r in missing_symbols(base, collection).collect())  # at most one per symbol
-    tail = bytes(codes) if isinstance(text, bytes) else "".join(map(chr, codes))
-    return BaseString(text + tail, len(text))
-
-
-def _lcp_blocks(codes):
-    """Common prefix of each suffix with its predecessor in suffix order, for the
-    positions of one block: going to the next position loses at most one symbol."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        x = codes.value
-        block = block.sort_values("pos")
-        n, out, k = len(x), [], 0
-        for p, q in zip(block.pos.tolist(), block.before.tolist()):
-            if q < 0:
-                k = 0
-            else:
-                k = max(k - 1, 0)
-                limit = n - max(p, q)
-                while k < limit and x[p + k] == x[q + k]:
-                    k += 1
-            out.append(k)
-        return pd.DataFrame({"pos": block.pos, "lcp": out})
+    tail = bytes(codes) if is_binary(base) else "".join(map(chr, codes))
+    last = spark.createDataFrame([((1 << 62), tail)], T.StructType([
+        T.StructField("doc", T.LongType()), T.StructField("text", base.schema["text"].dataType)]))
+    blocks = _reblocked(_placed(parts.unionByName(last), ["doc"], scratch), BLOCK)
+    return BaseString(scratch.save(blocks, "base-blocks"), length + len(tail), length, BLOCK)
 
-    return run
 
+def base_suffixes(base: BaseString, alphabet: Alphabet) -> DataFrame:
+    """The suffix rows of the base, from blocks with the symbols around them."""
+    placed = base.blocks.select((F.col("block") * base.size).alias("start"), "text")
+    around = _reblocked(placed, base.size, PACKED_LONGS * alphabet.per_long)
+    # the halo makes blocks of their own beyond the end
+    around = around.filter(F.col("block") * base.size < base.symbols)
+    return block_suffix_rows(around, base.size, base.symbols, alphabet, BASE_DOC)
 
-def base_index(spark, base: BaseString, scratch: Scratch) -> DataFrame:
-    """Suffix array, inverse, preceding symbols, LCP and uniqueness threshold."""
-    from ..plans.suffix_sort import rank_suffixes
 
-    kind = "binary" if isinstance(base.text, (bytes, bytearray)) else "string"
-    one = spark.createDataFrame([(0, base.text)], f"doc long, text {kind}")
+def _alphabet(counts: DataFrame) -> Alphabet:
+    return Alphabet(tuple(sorted(r.code for r in counts.filter("code >= 0").select("code").distinct().collect())))
+
+
+def base_index(spark: SparkSession, base: BaseString, scratch: Scratch) -> DataFrame:
+    """Suffix array, inverse, preceding symbols, LCP and uniqueness threshold."""
+    alphabet = _alphabet(symbol_counts(base.blocks.select(F.col("block").alias("doc"), "text")))
+    elements = base_suffixes(base, alphabet)
+    history = History(elements.select("doc", "off", "k1", "k2"), alphabet)
+    ranked = rank_sequences(elements, ["k1", "k2", "tie"], PACKED_LONGS * alphabet.per_long, scratch,
+                            base.symbols + 1, ["sym"], history.rounds)
     # the end of the text stands for the suffix of the end symbol; the empty suffix comes before it
-    empty = spark.range(1).select(F.lit(base.n - 1).cast("long").alias("pos"), F.lit(0).cast("long").alias("isa"),
-                                  F.lit(BASE_END).alias("prev"))
-    ranks = scratch.save(rank_suffixes(one, scratch).suffixes.select(
-        F.col("off").alias("pos"), (F.col("rank") + 1).alias("isa"), F.col("sym").alias("prev")).unionByName(empty),
-        "base-ranks")
-    before = ranks.select((F.col("isa") + 1).alias("isa"), F.col("pos").alias("before"))
-    codes = spark.sparkContext.broadcast(base.codes.tolist())
-    lcp = (ranks.join(before, "isa", "left").select("pos", F.coalesce("before", F.lit(-1)).alias("before"))
-           .groupBy(F.expr(f"pos div {POSITIONS_PER_BLOCK}").alias("block"))
-           .applyInPandas(_lcp_blocks(codes), "pos long, lcp long"))
-    known = scratch.save(ranks.join(lcp, "pos"), "base-lcp")
-    after = known.select((F.col("isa") - 1).alias("isa"), F.col("lcp").alias("next_lcp"))
+    ranks = scratch.save(ranked.select(F.col("off").alias("pos"), F.col("rank"), F.col("sym").alias("prev")), "base-ranks")
+    pairs = with_neighbours(ranks, "rank", base.symbols + 1, before={"b_off": "pos"}).select(
+        F.lit(BASE_DOC).alias("a_doc"), F.col("pos").alias("a_off"), F.lit(BASE_DOC).alias("b_doc"), "b_off", "rank", "prev")
+    shared = common_prefix(scratch.save(pairs, "base-pairs"), history, scratch).select(
+        F.col("a_off").alias("pos"), (F.col("rank") + 1).alias("isa"), "prev", F.col("n").alias("lcp"))
+    zero = F.lit(0).cast("long")
+    first = ranks.filter("rank = 0").select("pos", F.lit(1).cast("long").alias("isa"), "prev", zero.alias("lcp"))
+    empty = spark.range(1).select(F.lit(base.n - 1).cast("long").alias("pos"), zero.alias("isa"),
+                                  F.lit(BASE_END).alias("prev"), zero.alias("lcp"))
+    known = scratch.save(shared.unionByName(first).unionByName(empty), "base-lcp")
     return scratch.save(
-        known.join(after, "isa", "left")
+        with_neighbours(known, "isa", base.n, after={"next_lcp": "lcp"})
         .select("pos", "isa", "prev", "lcp",
                 F.greatest("lcp", F.coalesce("next_lcp", F.lit(-1))).alias("uniq_len")), "base-index")
 
 
 def _lcp_array(index: DataFrame):
-    """LCP by suffix order, ended by -1; its length is bounded by the base string."""
+    """LCP by suffix order, ended by -1; refused where the base may not be broadcast."""
+    n, most = index.count(), max_index_symbols(index.sparkSession)
+    if n > most + 2:
+        raise BaseTooLong(f"index of {n} suffixes")
     rows = index.select("isa", "lcp").toPandas()
     lcp = np.full(len(rows) + 1, -1, dtype=np.int64)
     lcp[rows.isa.to_numpy()] = rows.lcp.to_numpy()

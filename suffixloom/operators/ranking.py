@@ -201,13 +201,14 @@ def _look_ahead(ranks: DataFrame, depth: int, parts: int) -> DataFrame:
 
 
 def rank_sequences(elements: DataFrame, keys: list[str], depth: int, scratch: Scratch,
-                   rows: int, carry: list[str]) -> DataFrame:
+                   rows: int, carry: list[str], rounds: list | None = None) -> DataFrame:
     """Rank of every element among all elements by the sequence that starts there.
 
     ``elements``: ``doc, off``, BIGINT ``keys`` covering ``depth`` elements, ``carry``;
     ``rows`` of them.  The keys must tell apart equal sequences of different documents,
     which a closing element of its own per document does.  Returns
-    ``doc, off, *carry, rank``.
+    ``doc, off, *carry, rank``.  ``rounds`` is given what each round has covered and
+    ``doc, off, rk`` of the elements that shared their rank after it.
     """
     spark = elements.sparkSession
     parts = partitions_for(spark, rows)
@@ -215,7 +216,9 @@ def rank_sequences(elements: DataFrame, keys: list[str], depth: int, scratch: Sc
     placed = elements.select("doc", "off", *carry, *keys).repartitionByRange(parts, *keys, "doc", "off")
     ranks, total, left, largest = _ranked(placed, keys, carry, scratch, first=True)
     done = [ranks.filter(~F.col("open"))]
+    rounds = [] if rounds is None else rounds
     while left:
+        rounds.append((depth, ranks.filter("open").select("doc", "off", "rk")))
         ahead = _look_ahead(ranks, depth, partitions_for(spark, total))
         if largest <= slice_rows:
             placed = ahead.repartitionById(parts, F.expr(f"cast(rk div {slice_rows} as int)"))

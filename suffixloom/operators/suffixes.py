@@ -96,3 +96,28 @@ def suffix_rows(collection: DataFrame, alphabet: Alphabet) -> DataFrame:
                             np.arange(total) - np.repeat(starts, lens + 1))
 
     return collection.select("doc", "text").mapInArrow(explode, SUFFIX_SCHEMA)
+
+
+def block_suffix_rows(blocks: DataFrame, size: int, n: int, alphabet: Alphabet, doc: int) -> DataFrame:
+    """As ``suffix_rows``, of one text of ``n`` symbols that comes as ``block, text``: the symbols of
+    block ``block``, led by the one before it and followed by those that the packing needs."""
+
+    def explode(batches):
+        table, width = alphabet.table(), PACKED_LONGS * alphabet.per_long
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lo = block * size
+                rows = min(size, n - lo)
+                if lo + rows == n:
+                    rows += 1  # the empty suffix
+                codes = codes_of([text]).astype(np.int32)
+                before = codes[:rows] if lo else np.append(np.int32(SEPARATOR), codes)[:rows]
+                ahead = table[codes[1:] if lo else codes]
+                dense = np.zeros(rows + width, dtype=np.int64)
+                dense[:min(len(ahead), rows + width)] = ahead[:rows + width]
+                (k1, k2), ended = pack_windows(dense, rows, alphabet, PACKED_LONGS)
+                yield from pa.Table.from_pydict({
+                    "doc": np.full(rows, doc), "off": lo + np.arange(rows), "sym": before, "k1": k1, "k2": k2,
+                    "tie": np.where(ended, doc + 1, 0)}).to_batches(max_chunksize=1 << 16)
+
+    return blocks.select("block", "text").mapInArrow(explode, SUFFIX_SCHEMA)

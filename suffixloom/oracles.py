@@ -6,6 +6,7 @@ base suffixes) and share nothing with the Spark plans.
 
 from __future__ import annotations
 
+from .operators.base_index import BLOCK
 from .queries import PREFIX
 
 COLLECTIONS = {
@@ -232,9 +233,11 @@ def limited(name: str, limit: int) -> str:
 
 
 SOURCE_SQL = {
-    "ref_scan": scanned("benchmark") + """ SELECT CAST(length(text) AS BIGINT) AS n_chars, text FROM (
+    "ref_scan": scanned("benchmark") + f""" SELECT CAST(block AS BIGINT) AS block, CAST(length(part) AS BIGINT) AS n_chars, part AS text
+        FROM (SELECT block, substr(text, block * {BLOCK} + 1, {BLOCK}) AS part
+              FROM (SELECT text, unnest(generate_series(0, (length(text) - 1) // {BLOCK})) AS block FROM (
         SELECT regexp_replace(regexp_replace(string_agg(line, '' ORDER BY doc, k), '[\\n\\r]$', ''), '[$]$', '') AS text
-        FROM marked WHERE is_break = 0)""",
+        FROM marked WHERE is_break = 0)))""",
     "collection_scan": scanned("documents") + """,
         numbered AS (SELECT *, CAST(sum(is_break) OVER (ORDER BY doc, k) - is_break AS BIGINT) AS doc_ord FROM marked),
         texts AS (SELECT doc_ord, max(is_break) AS closed,

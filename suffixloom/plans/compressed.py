@@ -8,16 +8,19 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from ..operators import base_index as bi, buckets as bk, heads as hd, matching as mt
+from ..operators import base_index as bi, buckets as bk, heads as hd, joint_matching as jm, matching as mt
 from ..operators.suffixes import require_unique_keys
 from ..operators.runs import expand_runs, rl_bwt_columns, runs_of
-from ..session import Scratch, spread
+from ..session import Scratch, max_index_symbols, spread
 
 
 @dataclass
 class CompressedBwt:
-    """The relations between a collection ``(doc, text)`` and a base ``(text)``,
-    each computed when first used."""
+    """The relations between a collection ``(doc, text)`` and a base, one ``text`` or ``block, text``
+    rows, each computed when first used.
+
+    Documents are matched in place against a broadcast index where the base is short enough for one,
+    else by ranking their suffixes together with the base's; the relations are the same."""
 
     collection: DataFrame
     base_row: DataFrame
@@ -30,7 +33,12 @@ class CompressedBwt:
 
     @cached_property
     def base(self) -> bi.BaseString:
-        return bi.augment(self.base_row, self.collection)
+        return bi.augment(self.base_row, self.collection, self.scratch)
+
+    @property
+    def broadcasts(self) -> bool:
+        """Whether the base is short enough for a broadcast index."""
+        return self.base.symbols <= max_index_symbols(self.spark)
 
     @cached_property
     def index(self) -> DataFrame:
@@ -40,13 +48,21 @@ class CompressedBwt:
     def arrays(self):
         return self.spark.sparkContext.broadcast(mt.base_arrays(self.index, self.base))
 
+    @cached_property
+    def joint(self) -> jm.JointMatches:
+        return jm.joint_matches(self.collection, self.base, self.scratch)
+
     @cached_property
     def matches(self) -> DataFrame:
-        return mt.matching_statistics(self.collection, self.arrays)
+        if self.broadcasts:
+            return mt.matching_statistics(self.collection, self.arrays)
+        return self.joint.positions.select("doc", "off", "pos", "len", "smaller", "is_head")
 
     @cached_property
     def heads(self) -> DataFrame:
-        return self.scratch.save(mt.insert_heads(self.collection, self.arrays), "heads")
+        heads = (mt.insert_heads(self.collection, self.arrays) if self.broadcasts
+                 else jm.joint_heads(self.joint, self.base, self.index, self.scratch))
+        return self.scratch.save(heads, "heads")
 
     @cached_property
     def n_heads(self) -> int:

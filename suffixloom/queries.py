@@ -107,7 +107,7 @@ def collection_scan(spark, sf_dir):
 
 def ref_scan(spark, sf_dir):
     path = as_fasta(collection(spark, sf_dir, "benchmark"), Scratch(spark))
-    return read_base(spark, path).select(F.length("text").cast("long").alias("n_chars"), "text")
+    return read_base(spark, path).select("block", F.length("text").cast("long").alias("n_chars"), "text")
 
 
 def prefix_limited(spark, sf_dir):
@@ -292,13 +292,9 @@ def planned_bwt(spark, sf_dir):
 
 
 def planned_by_heads(spark, sf_dir):
-    """All turns against a base that holds them all, so that heads are few; by suffixes where it is too long to be one."""
+    """All turns against a base that holds them all, so that heads are few; by suffixes where it is too long for a broadcast."""
     docs = collection(spark, sf_dir, "conversations")
-    try:
-        base = bi.concat_base(docs)
-    except bi.BaseTooLong:
-        base = None
-    return bwt(docs, base=base).bwt()
+    return bwt(docs, base=bi.concat_base(docs)).bwt()
 
 
 def prefix_bwt(spark, sf_dir):

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators.base_index import BaseTooLong
+from ..operators import base_index as bi
+from ..operators.base_index import base_symbols, concat_base
 from ..operators.heads import ordered_index
-from ..session import Scratch, max_index_symbols
+from ..session import Scratch
 
 LINE_ORDER = ["file", "split", "line_no"]
 # The byte that opens a header line, the bytes trimmed once from the
@@ -82,38 +83,47 @@ def read_collection(spark: SparkSession, path: str, drop_unterminated: bool = Fa
     return scratch.save(docs.withColumn("text", F.col("text").cast("binary")) if binary else docs, "documents")
 
 
-def lines_to_base(lines: DataFrame, binary: bool = False) -> DataFrame:
-    """One row ``text`` from ``line`` rows in LINE_ORDER.  If the first line is a
-    header, headers and empty lines are dropped and the records joined; otherwise
-    the text is taken as it is.  One trailing line end and one marker are cut."""
-    size = lines.agg(F.sum(F.length("line"))).first()[0] or 0
-    if size > max_index_symbols(lines.sparkSession):
-        raise BaseTooLong(f"base string of {size} symbols")
-    whole = lines.agg(
-        F.sort_array(F.collect_list(F.struct(*LINE_ORDER, "line"))).alias("l"),
-        F.sum(F.octet_length("line") + 1).alias("with_ends"),
-        F.collect_set(F.struct("file", "file_bytes")).alias("files")).select(
-        F.transform("l", lambda r: r["line"]).alias("lines"),
-        (F.col("with_ends") == F.aggregate("files", F.lit(0).cast("long"), lambda n, f: n + f["file_bytes"]))
-        .alias("terminated"))
-    fasta = F.element_at("lines", 1).startswith(HEADER)
-    records = F.filter("lines", lambda x: ~x.startswith(HEADER) & (x != ""))
-    raw = F.concat(F.array_join("lines", "\n"), F.when(F.col("terminated"), "\n").otherwise(""))
-    text = F.when(fasta, F.array_join(records, "")).otherwise(raw)
-    taken = whole.filter(F.size("lines") > 0).select((text.cast("binary") if binary else text).alias("text"))
+def lines_to_base(lines: DataFrame, binary: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """``block, text`` of ``line`` rows in LINE_ORDER.  If the first line is a header, headers
+    and empty lines are dropped and the records joined; otherwise the text is taken as it
+    is.  One trailing line end and one marker are cut."""
+    scratch = scratch or Scratch(lines.sparkSession)
+    lines = scratch.save(lines, "base-lines")
+    first = lines.orderBy(*LINE_ORDER).limit(1).collect()
+    if first and first[0].line.startswith(HEADER):
+        taken = lines.filter(~F.col("line").startswith(HEADER) & (F.col("line") != "")).select(*LINE_ORDER, "line")
+    else:  # only the last line of a file may lack its line end
+        ends = lines.groupBy("file").agg(
+            F.sum(F.octet_length("line") + 1).alias("full"), F.max("file_bytes").alias("size"),
+            F.max(F.struct("split", "line_no")).alias("end"))
+        open_end = ends.filter("full <> size").select("file", F.col("end.split").alias("split"), F.col("end.line_no").alias("line_no"),
+                                                       F.lit(True).alias("unterminated"))
+        taken = lines.join(open_end, LINE_ORDER, "left").select(
+            *LINE_ORDER, F.concat("line", F.when(F.col("unterminated"), "").otherwise("\n")).alias("line"))
+    numbered = ordered_index(taken, LINE_ORDER, "doc", scratch, taken.count())
+    text = F.col("line").cast("binary") if binary else F.col("line")
+    return _trimmed(concat_base(numbered.select("doc", text.alias("text")), scratch))
+
+
+def _trimmed(blocks: DataFrame) -> DataFrame:
+    """The blocks without the line end and the marker that may end the last ones."""
+    last = (blocks.orderBy(F.col("block").desc()).limit(2)
+            .select(F.substring("text", -2, 2).cast("string").alias("end"), F.length("text").alias("n")).collect())
+    tail, cut = "".join(r.end for r in reversed(last))[-2:], 0
     for ends in (TRIMMED_TAIL, END_MARKER):
-        taken = taken.select(_without_one(F.col("text"), ends).alias("text"))
-    return taken
-
-
-def _without_one(text: Column, ends: tuple[str, ...]) -> Column:
-    """The text without its last symbol, if that is one of ``ends``."""
-    last = F.substring(text, -1, 1).cast("string")
-    return F.when(last.isin(*ends), F.substring(text, 1, F.length(text) - 1)).otherwise(text)
+        if tail and tail[-1] in ends:
+            tail, cut = tail[:-1], cut + 1
+    if not cut:
+        return blocks
+    size = base_symbols(blocks) - cut
+    start = F.col("block") * F.lit(bi.BLOCK)
+    return blocks.filter(start < size).withColumn(
+        "text", F.when(start + F.length("text") > size, F.expr(f"substring(text, 1, cast({size} - block * {bi.BLOCK} as int))"))
+        .otherwise(F.col("text")))
 
 
 def read_base(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
-    """The base string of a FASTA or plain text file, as one row."""
+    """The base string of a FASTA or plain text file, in blocks."""
     return lines_to_base(read_lines(spark, path), binary)
 
 

@@ -117,6 +117,31 @@ def test_job(spark, tmp_path, strategy):
     assert "".join(c * n for c, n in got).replace("\x02", ".") == ".TA..ACG"
 
 
+@pytest.mark.parametrize("strategy", [None, "heads"])
+def test_job_with_a_base_beyond_the_broadcast_limit(spark, tmp_path, monkeypatch, strategy):
+    monkeypatch.setattr("suffixloom.operators.base_index.BLOCK", 9)
+    lines = ["ACGTTGCA" * 3, "GATTACA" * 4, "ACGT$"]
+    base = write(tmp_path, (">r\n" + "\n".join(lines) + "\n").encode(), "base.fa")
+    assert "".join(r.text for r in read_base(spark, base).orderBy("block").collect()) == "".join(lines)[:-1]
+    docs = write(tmp_path, b">a\nACGT\n>b\nACGA\n", "docs.fa")
+    manifest = write(tmp_path, f"{base}\n{docs}\n".encode(), "manifest")
+    spark.conf.set("spark.suffixloom.maxIndexSymbols", "20")
+    try:
+        assert symbols(spark.read.parquet(run_job(spark, manifest, strategy=strategy))) == ".TAG..AACCG"
+    finally:
+        spark.conf.unset("spark.suffixloom.maxIndexSymbols")
+
+
+@pytest.mark.parametrize("data", [b"ACGTACGTA$\n", b"ACGTACGT\n", b"ACGTACGTAC$$", b"ACGTACGTA\n\n", b">r\nACGT\nACGTA$\n", b"A\nC\nG\nT\nA\n"])
+def test_base_that_ends_at_a_block(spark, tmp_path, monkeypatch, data):
+    whole = "".join(r.text for r in read_base(spark, write(tmp_path, data)).orderBy("block").collect())
+    for size in (1, 4, 9, 10):
+        monkeypatch.setattr("suffixloom.operators.base_index.BLOCK", size)
+        rows = read_base(spark, write(tmp_path, data)).orderBy("block").collect()
+        assert "".join(r.text for r in rows) == whole
+        assert all(len(r.text) == size for r in rows[:-1]) and rows[-1].text
+
+
 def test_bytes_that_are_no_text(spark, tmp_path):
     docs = read_collection(spark, write(tmp_path, b">a\nA\xff\xfe\n\xc3C\n>b\nA\xff\n"), binary=True)
     assert [bytes(t) for t in texts(docs)] == [b"", b"A\xff\xfe\xc3C", b"A\xff"]

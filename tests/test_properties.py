@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 import brute
 from suffixloom import queries
 from suffixloom.functions.nearest import nearest_smaller
-from suffixloom.operators import base_index as bi
+from suffixloom.operators import base_index as bi, joint_matching as jm
 from suffixloom.plans import planner
 from suffixloom.plans.compressed import CompressedBwt
 from suffixloom.plans.suffix_sort import rank_suffixes
+from suffixloom.operators.slices import with_nearest, with_neighbours
 from suffixloom.session import Scratch
 
 
@@ -156,6 +157,14 @@ def test_base_index(spark, collection, base):
     assert [r.uniq_len for r in rows] == [max(a, b) for a, b in zip(lcp, lcp[1:] + [-1])]
 
 
+@pytest.fixture
+def short_index(spark):
+    """A limit that the base of a test exceeds, so that nothing of it may be broadcast or collected."""
+    spark.conf.set("spark.suffixloom.maxIndexSymbols", "100")
+    yield
+    spark.conf.unset("spark.suffixloom.maxIndexSymbols")
+
+
 def test_too_long_a_base_falls_back(spark, collection, base):
     text, docs = near_copies(2, "ACGT", 120, 5, 0.01)
     plan = planner.choose(collection(docs), base(text))
@@ -165,11 +174,79 @@ def test_too_long_a_base_falls_back(spark, collection, base):
         assert planner.choose(collection(docs), base(text)) is None
         assert symbols(planner.bwt(collection(docs), base(text)).bwt()) == brute.bwt(docs)
         with pytest.raises(bi.BaseTooLong):
-            bi.augment(base(text), collection(docs))
+            bi.augment(base(text), collection(docs)).text
     finally:
         spark.conf.unset("spark.suffixloom.maxIndexSymbols")
 
 
+def test_matching_without_a_broadcast(spark, collection, base, short_index, small_partitions, monkeypatch):
+    """Both routes give the same relations; blocks, slices and windows are shorter than the base and the documents."""
+    text, docs = near_copies(5, "ACGT", 140, 5, 0.1)
+    docs += ["", "A", "zzz", "ACACAC" * 10]
+    spark.conf.unset("spark.suffixloom.maxIndexSymbols")
+    one = CompressedBwt(collection(docs), base(text))
+    wanted = [sorted(map(tuple, df.collect())) for df in (one.matches, one.heads)]
+    spark.conf.set("spark.suffixloom.maxIndexSymbols", "100")
+    small_partitions(100)
+    monkeypatch.setattr(bi, "BLOCK", 50)
+    monkeypatch.setattr(jm, "POSITIONS", 16)
+    two = CompressedBwt(collection(docs), base(text))
+    assert not two.broadcasts and two.matches.columns == one.matches.columns and two.heads.columns == one.heads.columns
+    assert [sorted(map(tuple, df.collect())) for df in (two.matches, two.heads)] == wanted
+    assert symbols(two.bwt()) == brute.bwt(docs)
+
+
+@pytest.mark.parametrize("size,as_bytes,alphabet", [(7, False, "ab"), (100, True, "ACGT"), (100, False, "aé漢😀b")])
+def test_base_in_blocks(spark, collection, short_index, small_partitions, monkeypatch, size, as_bytes, alphabet):
+    monkeypatch.setattr(bi, "BLOCK", size)
+    small_partitions(211)
+    rnd = random.Random(size)
+    parts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(12)] + ["ab" * 150, ""]
+    docs = ["xyz\u007f"]
+    if as_bytes:
+        parts, docs = [p.encode() for p in parts], [d.encode() for d in docs]
+    blocks = bi.concat_base(collection(parts))
+    assert all(len(r.text) == size for r in blocks.orderBy("block").collect()[:-1])
+    made = bi.augment(blocks, collection(docs))
+    rows = bi.base_index(spark, made, Scratch(spark)).orderBy("isa").collect()
+    whole = (b"" if as_bytes else "").join(r.text for r in made.blocks.orderBy("block").collect())
+    assert whole[:made.base_len] == (b"" if as_bytes else "").join(parts) and len(whole) == made.symbols
+    x = whole + (b"\x01" if as_bytes else "\x01")
+    order = sorted(range(len(x) + 1), key=lambda p: x[p:])
+    assert [r.pos for r in rows] == order
+    shared = [0] + [next((k for k, (c, d) in enumerate(zip(x[a:], x[b:])) if c != d), len(x) - max(a, b))
+                    for a, b in zip(order, order[1:])]
+    assert [r.lcp for r in rows] == shared
+    code = (lambda p: x[p]) if as_bytes else (lambda p: ord(x[p]))
+    assert [r.prev for r in rows] == [1] + [2 if p == 0 else code(p - 1) for p in order[1:]]
+
+
+def test_common_prefix_of_a_long_repeat(spark, base, collection):
+    """Ranks of the rounds tell prefixes of any length; nothing goes symbol by symbol."""
+    n = 300_000
+    made = bi.augment(base("ab" * (n // 2)), collection(["c"]))
+    lcp = bi.base_index(spark, made, Scratch(spark)).filter(f"pos < {n - 3}").agg(
+        F.max("lcp").alias("most"), F.sum("lcp").alias("sum")).first()
+    # suffixes of one letter at the start follow each other by length
+    assert lcp.most == n - 2
+    assert lcp["sum"] == sum(n - p - 2 for p in range(n - 3))
+
+
+@pytest.mark.parametrize("marked", [0.0, 0.1, 0.9])
+def test_neighbours_in_slices(spark, small_partitions, marked):
+    small_partitions(7)
+    rnd = random.Random(3)
+    rows = [(i, rnd.randrange(100), rnd.random() < marked) for i in range(60)]
+    df = spark.createDataFrame(rows, "r long, v long, m boolean").repartition(5)
+    got = with_neighbours(df, "r", 60, {"p": "v"}, {"n": "v"}).orderBy("r").collect()
+    values = [v for _, v, _ in rows]
+    assert [(r.p, r.n) for r in got] == list(zip([None, *values], [*values[1:], None]))
+    near = with_nearest(df, "r", 60, F.col("m"), "v").orderBy("r").collect()
+    for i, r in enumerate(near):
+        assert r.below == next((v for _, v, m in reversed(rows[:i]) if m), None)
+        assert r.above == next((v for _, v, m in rows[i + 1:] if m), None)
+
+
 def test_planned_query_falls_back(spark, collection, monkeypatch):
     docs = collection(["abcab", "", "cabca"])
     monkeypatch.setattr(queries, "collection", lambda *_: docs)
