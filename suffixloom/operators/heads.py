@@ -67,7 +67,34 @@ def head_groups(heads: DataFrame) -> DataFrame:
 
 
 def class_ranks(heads: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
-    """Add ``class_rank``: dense rank of the class keys, from distinct keys."""
-    keyed = with_key(heads)
-    classes = ordered_index(keyed.select(*CLASS_KEY).distinct(), CLASS_KEY, "class_rank", scratch, rows)
-    return keyed.join(classes, CLASS_KEY)
+    """Add ``class_rank``: dense rank of the class keys, marked where a key differs from the one before."""
+    return dense_index(with_key(heads), CLASS_KEY, ["doc", "off"], "class_rank", scratch, rows)
+
+
+def dense_index(df: DataFrame, keys: list[str], tie: list[str], name: str, scratch: Scratch, rows: int) -> DataFrame:
+    """Add ``name`` = how many different ``keys`` come before the row's.  ``tie`` tells rows of one key
+    apart, so that a frequent key is split over partitions.
+
+    Two levels, as in ``ordered_index``: changes of the key are counted inside range partitions;
+    the first and the last key of each partition tell whether its first class goes on."""
+    spark = df.sparkSession
+    parts = partitions_for(spark, rows)
+    placed = scratch.save(df.repartitionByRange(parts, *keys, *tie).withColumn("part", F.spark_partition_id()), "by-class")
+    win = Window.partitionBy("part").orderBy(*keys, *tie)
+    changed = F.lit(False)
+    for k in keys:
+        changed = changed | (F.col(k) != F.lag(k).over(win))
+    marked = placed.repartitionById(parts, "part").withColumn("new_key", F.coalesce(changed, F.lit(False)).cast("long"))
+    ranked = scratch.save(marked.withColumn("inside", F.sum("new_key").over(
+        win.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new_key"), "class-marks")
+    key = F.struct(*keys)
+    ends = sorted(ranked.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max("inside").alias("n"))
+                  .collect(), key=lambda r: r.part)  # one row per partition
+    starts, before, last = [], 0, None
+    for r in ends:
+        before += last is not None and r["first"] != last
+        starts.append((r.part, before))
+        before, last = before + r.n, r["last"]
+    offsets = spark.createDataFrame(starts, "part int, part_start long")
+    return (ranked.join(F.broadcast(offsets), "part")
+            .withColumn(name, F.col("part_start") + F.col("inside")).drop("part", "part_start", "inside"))

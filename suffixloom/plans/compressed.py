@@ -99,8 +99,7 @@ class CompressedBwt:
 
     @cached_property
     def _runs(self) -> DataFrame:
-        return runs_of(bk.interleaved(self.linked, self.nonheads, self.buckets, self.index, self.emitted_rows),
-                       self.scratch)
+        return runs_of(bk.interleaved(self.linked, self.nonheads, self.buckets, self.emitted_rows), self.scratch)
 
     def runs(self) -> DataFrame:
         return self._runs
