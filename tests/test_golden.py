@@ -1,5 +1,6 @@
 """Hand-derived vectors; '.' stands for the separator symbol."""
 
+import numpy as np
 import pytest
 
 from brute import bwt as brute_bwt
@@ -8,7 +9,9 @@ from suffixloom.plans.job import run_job
 from suffixloom.plans.planner import bwt
 from suffixloom.plans.suffix_sort import rank_suffixes
 from suffixloom.sources.collections import prefix_limit, read_base, read_collection, read_manifest
-from suffixloom.sources.sinks import write_bwt_file, write_rl_bwt_file, write_table
+from suffixloom.sources import sinks
+from suffixloom.sources.sinks import (
+    SymbolTooLarge, write_bwt_file, write_bwt_parts, write_rl_bwt_file, write_rl_bwt_parts, write_table)
 
 
 def symbols(df):
@@ -171,6 +174,42 @@ def test_binary_files(collection, tmp_path):
     assert len(records) == 9 * 6 and records[:9] == b"\x01" + bytes(7) + b"A" and records[27:36] == b"\x02" + bytes(7) + b"\x02"
 
 
+@pytest.mark.parametrize("rows", [1 << 20, 2])
+def test_part_files(spark, collection, tmp_path, small_partitions, monkeypatch, rows):
+    small_partitions(rows)
+    docs = [b"ACA" * 9, b"ACT", b"", b"\xff\x80" * 5, b"A" * 700]
+    runs = rank_suffixes(collection(docs)).runs()
+    write_bwt_file(runs, str(tmp_path / "o"), binary=True)
+    write_rl_bwt_file(runs, str(tmp_path / "o"), binary=True)
+    write_bwt_parts(runs, str(tmp_path / "p"), binary=True)
+    write_rl_bwt_parts(runs, (tmp_path / "r").as_uri(), binary=True)
+    for folder, single in (("p", "o.bwt"), ("r", "o.rl_bwt")):
+        parts = sorted((tmp_path / folder).iterdir())
+        assert b"".join(f.read_bytes() for f in parts) == (tmp_path / single).read_bytes()
+        assert [int(f.name[5:]) for f in parts] == [sum(g.stat().st_size for g in parts[:i]) for i in range(len(parts))]
+        assert (rows == 2) == (len(parts) > 1)
+    with pytest.raises(FileExistsError):
+        write_bwt_parts(runs, str(tmp_path / "p"), binary=True)
+
+
+def test_symbols_beyond_a_byte_are_refused(collection, tmp_path):
+    runs = rank_suffixes(collection(["né"])).runs()
+    for write_out in (write_bwt_parts, write_rl_bwt_parts, write_bwt_file, write_rl_bwt_file):
+        with pytest.raises(SymbolTooLarge):
+            write_out(runs, str(tmp_path / write_out.__name__))
+
+
+def test_long_runs_in_chunks(monkeypatch):
+    monkeypatch.setattr(sinks, "CHUNK", 10)
+    sym, n = np.array([65, 66, 67, 68, 69]), np.array([3, 25, 4, 10, 1])
+    assert b"".join(sinks._symbols(sym, n)) == b"AAA" + b"B" * 25 + b"CCCC" + b"D" * 10 + b"E"
+
+
+def test_no_rows_no_parts(collection, tmp_path):
+    write_bwt_parts(rank_suffixes(collection(["x"]).filter("doc < 0")).runs(), str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
 def test_tables(spark, collection, tmp_path):
     write_table(rank_suffixes(collection(COPIES)).bwt(), str(tmp_path / "t"))
     assert symbols(spark.read.parquet(str(tmp_path / "t"))) == "AAACCCTTTGGGAAAA...TTCAA"
