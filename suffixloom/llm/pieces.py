@@ -7,7 +7,8 @@ that alignment to byte spans of the original.
 
 No piece has the word mark after another character, so merges never cross the start of
 a run of word marks: texts are cut there into units, which are encoded by themselves and
-remembered in a cache of two generations whose size is a parameter.
+remembered in a cache of two generations whose size is a parameter.  The units that some
+rows add to the cache are merged in lockstep, one merge of each at a time.
 
 Row-wise and without exchange: an executor holds the model, its cache and a few rows.
 
@@ -21,9 +22,11 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, types as T
@@ -36,6 +39,8 @@ CACHED_UNITS = 300_000
 NEVER = float("-inf")
 #: Units longer than this are merged with a heap and not cached.
 LONG_UNIT = 48
+#: Units of about one length that are merged in lockstep.
+LOCKSTEP = 1024
 # Fixed values of the model file's format: piece types and the BPE model type.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -218,25 +223,6 @@ class PieceModel:
 
     def merge(self, unit: str) -> list[str]:
         """The pieces of a unit: the best-scored pair is merged first, of equal ones the leftmost."""
-        return self._merge_long(unit) if len(unit) > LONG_UNIT else self._merge_short(unit)
-
-    def _merge_short(self, unit: str) -> list[str]:
-        score, parts = self.scores.get, list(unit)
-        pairs = [score(a + b, NEVER) for a, b in zip(unit, unit[1:])]
-        while pairs:
-            best = max(pairs)
-            if best == NEVER:
-                break
-            at = pairs.index(best)
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at:
-                pairs[at - 1] = score(parts[at - 1] + parts[at], NEVER)
-            if at < len(pairs):
-                pairs[at] = score(parts[at] + parts[at + 1], NEVER)
-        return parts
-
-    def _merge_long(self, unit: str) -> list[str]:
         score, parts = self.scores.get, list(unit)
         n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -287,7 +273,7 @@ class PieceModel:
 
     def project(self, ids: list[int], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of each piece in the source bytes, through the alignment of the normalised ones."""
-        sizes = self.sizes[np.array(ids, np.int64)]
+        sizes = self.sizes[np.asarray(ids, np.int64)]
         stops = np.cumsum(sizes)
         if (stops[-1] if len(stops) else 0) != len(starts):
             raise ValueError("the pieces do not cover the normalised text")
@@ -297,6 +283,10 @@ class PieceModel:
 
     def join(self, ids) -> str:
         """The text of pieces; bytes that are no UTF-8 become U+FFFD."""
+        try:
+            return "".join([self.surface[i] for i in ids])
+        except TypeError:  # some are bytes
+            pass
         out, run = [], bytearray()
         for i in ids:
             piece = self.surface[i]
@@ -316,24 +306,122 @@ class PieceModel:
         return text[1:] if self.normalizer.dummy_prefix and text.startswith(" ") else text
 
 
+class Merges:
+    """All merges of a model as a table of symbol pairs, for many short units at once.
+    Symbols are the pieces, by id, and after them the characters that are no pieces."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.symbols = dict(model.ids)
+        self.spelled: list[list[int]] = []  # byte ids of the characters that are no pieces
+        for piece in model.ids:
+            for c in piece:
+                self.symbol(c)
+        pairs = sorted((left << 32 | right, own) for piece, own in model.ids.items() for k in range(1, len(piece))
+                       if (left := self.symbols.get(piece[:k])) is not None
+                       and (right := self.symbols.get(piece[k:])) is not None)
+        self.pairs = np.array([p for p, _ in pairs] or [-1], np.int64)
+        self.merged = np.array([m for _, m in pairs] or [-1], np.int32)
+        self.scores = np.array([*(model.scores.get(p, NEVER) for p in model.pieces), NEVER], np.float32)  # -1: no merge
+
+    def symbol(self, c: str) -> int:
+        own = self.symbols.get(c)
+        if own is None:
+            own = self.symbols[c] = len(self.model.pieces) + len(self.spelled)
+            self.spelled.append([self.model.bytes_ids[b] for b in c.encode()])
+        return own
+
+    def _merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make, or -1."""
+        pair = left.astype(np.int64)
+        pair <<= 32
+        pair |= right  # nothing is at -1
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.merged[at], -1)
+
+    def ids(self, units: list[str]) -> list[list[int]]:
+        """The ids of the pieces of each unit."""
+        out: list[list[int]] = [[]] * len(units)
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        for a in range(0, len(order), LOCKSTEP):
+            own = order[a:a + LOCKSTEP]
+            for i, ids in zip(own, self._lockstep([units[i] for i in own])):
+                out[i] = ids
+        return out
+
+    def _lockstep(self, units: list[str]) -> list[list[int]]:
+        lens = np.fromiter(map(len, units), np.int64, len(units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        known, place = np.unique(codes, return_inverse=True)
+        row = np.repeat(np.arange(len(units)), lens)
+        left = np.full((len(units), lens.max() + 1), -1, np.int32)  # symbols of each unit, ended by -1
+        left[row, np.arange(len(codes)) - np.repeat(np.cumsum(lens) - lens, lens)] = np.array(
+            [self.symbol(chr(c)) for c in known], np.int32)[place]
+        out, alive = np.full_like(left, -1), np.arange(len(units))
+        merge = self._merge_of(left[:, :-1], left[:, 1:])
+        score = self.scores[merge]
+        while len(alive):
+            best = score.argmax(axis=1)  # of equal ones the leftmost
+            go = score[np.arange(len(alive)), best] > NEVER
+            out[alive[~go], :left.shape[1]] = left[~go]
+            alive, left, merge, score, best = alive[go], left[go], merge[go], score[go], best[go]
+            if not len(alive) or left.shape[1] < 3:  # the last column only ends the units
+                break
+            each, at = np.arange(len(alive)), best[:, None]
+            left[each, best] = merge[each, best]
+            column = np.arange(left.shape[1] - 1)
+            left = np.take_along_axis(left, column + (column > at), axis=1)
+            column = column[:-1]
+            merge = np.take_along_axis(merge, column + (column >= at), axis=1)
+            for here in (best - 1, best):
+                some = (here >= 0) & (here < merge.shape[1])
+                e, h = each[some], here[some]
+                merge[e, h] = self._merge_of(left[e, h], left[e, h + 1])
+            score = self.scores[merge]
+        sizes, found = (out >= 0).sum(axis=1).tolist(), out.tolist()
+        n = len(self.model.pieces)
+        spelled = (out >= n).any(axis=1).tolist()
+        return [[i for s in r[:k] for i in (self.spelled[s - n] if s >= n else (s,))] if odd else r[:k]
+                for r, k, odd in zip(found, sizes, spelled)]
+
+
 class UnitCache(dict):
-    """unit -> (ids, ids as text, decoded text), in two generations."""
+    """unit -> (ids as 32-bit numbers, ids as text, decoded text), in two generations."""
 
     def __init__(self, model: PieceModel, size: int):
         super().__init__()
-        self.model, self.size, self.old = model, size, {}
-
-    def __missing__(self, unit: str):
-        entry = self.old.get(unit)
-        if entry is None:
-            ids = self.model.unit_ids(unit)
-            entry = ids, ",".join(map(str, ids)), self.model.join(ids)
-        if len(unit) <= LONG_UNIT:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[unit] = entry
-        return entry
+        self.model, self.size, self.old, self.merges = model, size, {}, Merges(model)
+        self.decimal = [str(i) for i in range(len(model.pieces))]
+
+    def _entry(self, ids: list[int]):
+        return array("i", ids).tobytes(), ",".join([self.decimal[i] for i in ids]), self.model.join(ids)
+
+    def _keep(self, unit: str, entry) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = entry
+
+    def take(self, units) -> dict:
+        """The entries of units; those that are in neither generation are encoded all at once."""
+        found, new = {}, []
+        for u in set(units):
+            entry = self.get(u)
+            if entry is None:
+                entry = self.old.get(u)
+                if entry is None:
+                    new.append(u)
+                    continue
+                self._keep(u, entry)
+            found[u] = entry
+        short = [u for u in new if len(u) <= LONG_UNIT]
+        for u, ids in zip(short, self.merges.ids(short)):
+            found[u] = self._entry(ids)
+            self._keep(u, found[u])
+        for u in new:
+            if len(u) > LONG_UNIT:
+                found[u] = self._entry(self.model.unit_ids(u))
+        return found
 
 
 @lru_cache(maxsize=1)
@@ -363,15 +451,17 @@ def sentencepiece(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = (
 
         def work(texts: list) -> dict:
             out = {c: [] for c in outputs}
-            for text in texts:
-                normal, starts, stops = model.normalizer.align_arrays(text or "")
-                found = [cache[u] for u in model.units_of(normal)]
-                ids = [i for e in found for i in e[0]] if {"ids", *SPANS} & out.keys() else None
+            aligned = [model.normalizer.align_arrays(text or "") for text in texts]
+            units = [model.units_of(normal) for normal, _, _ in aligned]
+            entries = cache.take(chain.from_iterable(units))
+            for (_, starts, stops), own in zip(aligned, units):
+                found = [entries[u] for u in own]
+                ids = np.frombuffer(b"".join([e[0] for e in found]), np.int32)
                 if SPANS & out.keys():
                     begins, ends = model.project(ids, starts, stops)
                 for c in outputs:
                     if c == "n_tokens":
-                        value = sum(len(e[0]) for e in found)
+                        value = len(ids)
                     elif c == "ids":
                         value = ids
                     elif c == "ids_text":
@@ -380,7 +470,7 @@ def sentencepiece(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = (
                         value = "".join([e[2] for e in found])
                         value = value[1:] if model.normalizer.dummy_prefix and value.startswith(" ") else value
                     elif c == "spans_sha256":
-                        value = sha256(begins.astype("<i8").tobytes() + ends.astype("<i8").tobytes()).hexdigest()
+                        value = sha256(begins.astype("<i8", copy=False).tobytes() + ends.astype("<i8", copy=False).tobytes()).hexdigest()
                     else:
                         value = begins if c == "begins" else ends
                     out[c].append(value)

@@ -120,6 +120,24 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:y}</style><scrip
 <footer>&copy; site</footer>"""
 
 
+def test_lockstep_merges_as_the_heap_does():
+    model, draw = pieces.PieceModel.load(MODEL), random.Random(11)
+    units = ["▁" + "".join(draw.choice([*ALPHABET, "er", "tion", "0", "--"]) for _ in range(draw.randint(0, 9))).replace(" ", "x")
+             for _ in range(1500)] + ["▁", "x", "▁▁▁", "▁" + "=" * 40]
+    units = [u for u in units if len(u) <= pieces.LONG_UNIT]
+    merges = pieces.Merges(model)
+    assert merges.ids(units) == [model.unit_ids(u) for u in units] and merges.ids([]) == []
+
+
+def test_cache_of_two_generations():
+    cache = pieces.UnitCache(pieces.PieceModel.load(MODEL), 3)
+    for units in (["▁a", "▁b"], ["▁c", "▁d"], ["▁a", "▁e", "▁a", "▁" + "long" * 30], ["▁f"], []):
+        for unit, (ids, text, decoded) in cache.take(units).items():
+            assert np.frombuffer(ids, np.int32).tolist() == cache.model.unit_ids(unit) == list(map(int, text.split(",")))
+            assert decoded == unit.replace("▁", " ")
+        assert len(cache) <= 3
+
+
 def test_main_text():
     assert extract(PAGE) == ("Head & line\nFirst paragraph é.\nSecond, with a link inside.\nThird one is here.")
     assert extract(None) == extract("") == extract("<!-- never ends <p>x</p>") == extract("<script>x") == ""
