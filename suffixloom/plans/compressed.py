@@ -24,6 +24,8 @@ class CompressedBwt:
 
     collection: DataFrame
     base_row: DataFrame
+    #: Whether to match against a broadcast index; by the base's length if not given.
+    broadcast: bool | None = None
 
     def __post_init__(self):
         self.spark = self.collection.sparkSession
@@ -37,8 +39,9 @@ class CompressedBwt:
 
     @property
     def broadcasts(self) -> bool:
-        """Whether the base is short enough for a broadcast index."""
-        return self.base.symbols <= max_index_symbols(self.spark)
+        """Whether documents are matched against a broadcast index, which the base must be short enough for."""
+        fits = self.base.symbols <= max_index_symbols(self.spark)
+        return fits and self.broadcast is not False
 
     @cached_property
     def index(self) -> DataFrame:

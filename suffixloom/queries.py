@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions.symbols import symbol_column
 from .operators import base_index as bi, heads as hd
 from .plans.compressed import CompressedBwt
+from .plans.job import run_job
 from .plans.planner import bwt
 from .plans.suffix_sort import rank_suffixes
 from .session import Scratch
 from .sources.collections import from_table, prefix_limit, read_base, read_collection
+from .sources.sinks import write_bwt_parts, write_rl_bwt_parts
 
 PREFIX = 1_000_000
 
@@ -55,6 +57,12 @@ def _matched(spark: SparkSession, app: str, sf_dir: str, name: str) -> Compresse
     return CompressedBwt(docs, first_text(docs))
 
 
+@lru_cache(maxsize=None)
+def _joint(spark: SparkSession, app: str, sf_dir: str, name: str) -> CompressedBwt:
+    docs = collection(spark, sf_dir, name)
+    return CompressedBwt(docs, first_text(docs), broadcast=False)
+
+
 @lru_cache(maxsize=None)
 def _ranked(spark: SparkSession, app: str, sf_dir: str, name: str):
     return rank_suffixes(collection(spark, sf_dir, name))
@@ -79,6 +87,10 @@ def matched(spark, sf_dir, name="benchmark"):
     return _matched(spark, spark.sparkContext.applicationId, sf_dir, name)
 
 
+def joint(spark, sf_dir, name="benchmark"):
+    return _joint(spark, spark.sparkContext.applicationId, sf_dir, name)
+
+
 def ranked(spark, sf_dir, name):
     return _ranked(spark, spark.sparkContext.applicationId, sf_dir, name)
 
@@ -110,6 +122,14 @@ def ref_scan(spark, sf_dir):
     return read_base(spark, path).select("block", F.length("text").cast("long").alias("n_chars"), "text")
 
 
+def plain_scan(spark, sf_dir):
+    """The names of a table as lines of plain text files, read as a base."""
+    path = f"{Scratch(spark).path}/plain"
+    (collection(spark, sf_dir, "part").repartitionByRange(4, "doc").sortWithinPartitions("doc")
+     .select(F.col("text").alias("value")).write.text(path))
+    return read_base(spark, path).select("block", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def prefix_limited(spark, sf_dir):
     docs = prefix_limit(collection(spark, sf_dir, "documents"), PREFIX)
     return docs.select(F.col("doc").alias("doc_ord"), F.length("text").cast("long").alias("n_chars"),
@@ -297,6 +317,55 @@ def planned_by_heads(spark, sf_dir):
     return bwt(docs, base=bi.concat_base(docs)).bwt()
 
 
+def matching_statistics_joint(spark, sf_dir):
+    """Without a broadcast: texts and base ranked together, and the nearest base suffix on either side."""
+    return joint(spark, sf_dir).matches.withColumnRenamed("doc", "doc_ord")
+
+
+def insert_heads_joint(spark, sf_dir):
+    m = joint(spark, sf_dir)
+    return hd.ordered_index(m.heads, ["doc", "off"], "head_id", m.scratch, m.n_heads).select(
+        "head_id", F.col("doc").alias("doc_ord"), "start", "pos", "len", "smaller", "run_len",
+        symbol_column(F.col("sym")).alias("prev_ch"))
+
+
+def job(spark, sf_dir):
+    """The whole job: a manifest that names a base and a collection, both FASTA, to a table of output."""
+    docs, scratch = collection(spark, sf_dir, "customer"), Scratch(spark)
+    path, base = as_fasta(docs, scratch), f"{scratch.path}/base"
+    first_text(docs).select(F.concat(F.lit(">base\n"), "text").alias("value")).coalesce(1).write.text(base)
+    manifest = f"{scratch.path}/manifest"
+    spark.createDataFrame([(base,), (f"{path} \t",)], "value string").coalesce(1).write.text(manifest)
+    return spark.read.parquet(run_job(spark, manifest))
+
+
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """``at, content`` of part files, whose names tell the place of their first byte."""
+    return spark.read.format("binaryFile").load(path).select(
+        F.substring_index("path", "part-", -1).cast("long").alias("at"), "content")
+
+
+def bwt_part_files(spark, sf_dir):
+    """Part files of one byte a symbol, read back."""
+    path = f"{Scratch(spark).path}/bwt"
+    write_bwt_parts(ranked(spark, sf_dir, "supplier").runs(), path)
+    symbols = F.posexplode(F.split(F.col("content").cast("string"), ""))
+    return _parts(spark, path).select("at", symbols.alias("k", "ch")).filter("ch <> ''").select(
+        (F.col("at") + F.col("k")).alias("bwt_idx"), "ch")
+
+
+def rl_bwt_part_files(spark, sf_dir):
+    """Part files of 9-byte run records, read back."""
+    path = f"{Scratch(spark).path}/rl_bwt"
+    write_rl_bwt_parts(ranked(spark, sf_dir, "supplier").runs(), path)
+    record = F.hex(F.substring(F.col("content"), F.col("k") * 9 + 1, F.lit(9)))
+    length = F.concat(*[F.substring("record", 2 * i + 1, 2) for i in reversed(range(8))])
+    return (_parts(spark, path).select("at", "content", F.explode(F.sequence(
+        F.lit(0), F.expr("cast(length(content) div 9 as int) - 1"))).alias("k")).select("at", "k", record.alias("record")).select(
+        F.expr("at div 9 + k").alias("run_id"), F.char(F.conv(F.substring("record", 17, 2), 16, 10).cast("int")).alias("ch"),
+        F.conv(length, 16, 10).cast("long").alias("run_len")))
+
+
 def prefix_bwt(spark, sf_dir):
     return bwt(collection(spark, sf_dir, "events"), prefix=50_000).bwt()
 
@@ -317,6 +386,7 @@ QUERIES = {
     "bwt_prefix": prefix_bwt,
     "ref_scan": ref_scan,
     "collection_scan": collection_scan,
+    "plain_scan": plain_scan,
     "prefix_limit": prefix_limited,
     "alphabet_augment": alphabet_augment,
     "suffix_array": suffix_array,
@@ -354,6 +424,11 @@ QUERIES = {
     "matching_statistics_conversations": lambda s, d: matching_statistics(s, d, "conversations"),
     "rl_bwt_heads_conversations": heads_rl_bwt("conversations"),
     "bwt_planned_conversations": planned_by_heads,
+    "matching_statistics_joint": matching_statistics_joint,
+    "insert_heads_joint": insert_heads_joint,
+    "bwt_job": job,
+    "bwt_part_files": bwt_part_files,
+    "rl_bwt_part_files": rl_bwt_part_files,
 }
 QUERIES |= {f"{q.__name__}_customer": (lambda s, d, q=q: q(s, d, "customer")) for q in (
     next_head, next_rank, head_rank, head_groups, group_offsets, head_order, head_class_rank, run_stats)}

@@ -44,6 +44,8 @@ def _files(path: str):
     """The file system of a path, and the path in it."""
     from pyarrow import fs
 
+    if path.startswith("file:"):  # with one slash or three
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
