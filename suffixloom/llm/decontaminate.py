@@ -3,8 +3,9 @@
 Documents and benchmark items are sequences of words (small letters, ASCII punctuation
 as white space).  Documents are joined with the items on the hashes of ``min_match``
 words they share; for each pair whose shared words could cover enough of the item, the
-longest matches of unmarked words are found by Karp-Rabin hashes of falling window
-lengths, and marked in both, until none of ``min_match`` words is left.  The part of the
+matches of unmarked words are found at all their places by Karp-Rabin hashes of falling
+window lengths, and the longest is marked in both, again and again, until none of
+``min_match`` words is left.  The part of the
 item's words under tiles is its coverage, whatever the order of the passages.
 
 Scale: the items are the query set.  They are taken in blocks of ``BLOCK_WORDS`` words;
@@ -21,6 +22,7 @@ give way.
 from __future__ import annotations
 
 import string
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .arrow import add_columns
 from .rolling import BASE, INVERSE, powers, shingle_hashes, word_hashes
 
+#: Pairs of windows of an item and a document that are followed at once.
+PAIRS = 1 << 20
 MIN_MATCH = 5
 COVERAGE = 0.6
 BLOCK_WORDS = 2_000_000
@@ -54,38 +58,58 @@ def _unmarked_hashes(words: np.ndarray, marked: np.ndarray, size: int) -> tuple[
     return at, ((sums[size:] - sums[:n]) * powers(INVERSE, n))[at]
 
 
-def _run(doc: np.ndarray, item: np.ndarray, d: int, i: int, doc_marked: np.ndarray, item_marked: np.ndarray) -> int:
-    """How many unmarked words agree from ``d`` and ``i`` on."""
-    n = min(len(doc) - d, len(item) - i)
-    stop = (doc[d:d + n] != item[i:i + n]) | doc_marked[d:d + n] | item_marked[i:i + n]
-    return int(stop.argmax()) if stop.any() else n
+def _matches(doc: np.ndarray, item: np.ndarray, doc_marked: np.ndarray, item_marked: np.ndarray, size: int):
+    """All longest runs of at least ``size`` unmarked words that agree: (words, place in ``item``, place in ``doc``).
+
+    Windows of the item meet every place in the document with their hash; of the windows
+    along a run only the first is taken, and followed word by word, all runs at once."""
+    at_doc, in_doc = _unmarked_hashes(doc, doc_marked, size)
+    at_item, in_item = _unmarked_hashes(item, item_marked, size)
+    order = np.argsort(in_doc, kind="stable")
+    low = np.searchsorted(in_doc[order], in_item)
+    times = np.searchsorted(in_doc[order], in_item, side="right") - low
+    found = []
+    chunk = np.cumsum(times) // PAIRS
+    for own in np.split(np.flatnonzero(times), np.flatnonzero(np.diff(chunk[times > 0])) + 1):
+        n = times[own]
+        i = np.repeat(at_item[own], n)
+        d = at_doc[order[np.arange(n.sum()) + np.repeat(low[own] - (np.cumsum(n) - n), n)]]
+        inside = (i > 0) & (d > 0)
+        goes_back = inside & (doc[d - 1] == item[i - 1]) & ~doc_marked[d - 1] & ~item_marked[i - 1]
+        i, d = i[~goes_back], d[~goes_back]
+        length, active = np.full(len(i), size), np.arange(len(i))
+        while len(active):
+            x, y = i[active] + length[active], d[active] + length[active]
+            more = (x < len(item)) & (y < len(doc))
+            active, x, y = active[more], x[more], y[more]
+            same = (doc[y] == item[x]) & ~doc_marked[y] & ~item_marked[x]
+            active = active[same]
+            length[active] += 1
+        found.append((length, i, d))
+    return [np.concatenate(c).tolist() for c in zip(*found)] if found else [[], [], []]
 
 
 def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """The tiles (place in ``doc``, place in ``item``, words) of two word sequences."""
+    """The tiles (place in ``doc``, place in ``item``, words) of two word sequences: again and again the
+    longest match of unmarked words is marked, of equal ones the first in the item, then in the document."""
     doc_marked, item_marked = np.zeros(len(doc), dtype=bool), np.zeros(len(item), dtype=bool)
     tiles, size = [], min(len(doc), len(item))
     while size >= min_match:
-        at_doc, in_doc = _unmarked_hashes(doc, doc_marked, size)
-        at_item, in_item = _unmarked_hashes(item, item_marked, size)
-        order = np.argsort(in_doc, kind="stable")
-        place = np.searchsorted(in_doc[order], in_item)
-        found = np.flatnonzero(place < len(order))
-        found = found[in_doc[order[place[found]]] == in_item[found]]
-        matches = []
-        for j in found:
-            d, i = int(at_doc[order[place[j]]]), int(at_item[j])
-            matches.append((-_run(doc, item, d, i, doc_marked, item_marked), i, d))
-        marked = False
-        for length, i, d in sorted(matches):
-            n = _run(doc, item, d, i, doc_marked, item_marked)
-            if n == -length and n >= size:
-                doc_marked[d:d + n] = True
-                item_marked[i:i + n] = True
-                tiles.append((d, i, n))
-                marked = True
-        if not marked:  # nothing of this length is left
-            size = max(min_match, size // 2) if size > min_match else 0
+        queue = [(-n, i, d) for n, i, d in zip(*_matches(doc, item, doc_marked, item_marked, size))]
+        heapify(queue)
+        while queue:
+            n, i, d = heappop(queue)
+            taken = doc_marked[d:d - n] | item_marked[i:i - n]
+            if not taken.any():
+                doc_marked[d:d - n] = True
+                item_marked[i:i - n] = True
+                tiles.append((d, i, -n))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8))).tolist()
+            for a, b in zip(edges[0::2], edges[1::2]):  # what is left of it
+                if b - a >= size:
+                    heappush(queue, (a - b, i + a, d + a))
+        size = max(min_match, size // 2) if size > min_match else 0
     return tiles
 
 

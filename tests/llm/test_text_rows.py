@@ -273,14 +273,25 @@ def brute_tiles(doc, item, k):
 
 def test_tiles_against_brute_force():
     draw = random.Random(4)
-    for _ in range(150):
-        doc = np.array([draw.randint(0, 5) for _ in range(draw.randint(0, 40))], dtype=np.uint64)
-        item = np.array([draw.randint(0, 5) for _ in range(draw.randint(1, 20))], dtype=np.uint64)
+    for k in range(400):
+        top = 1 + k % 6
+        doc = np.array([draw.randint(0, top) for _ in range(draw.randint(0, 40))], dtype=np.uint64)
+        item = np.array([draw.randint(0, top) for _ in range(draw.randint(1, 25))], dtype=np.uint64)
         tiles = dc.tile(doc, item, 3)
         for d, i, n in tiles:
             assert n >= 3 and (doc[d:d + n] == item[i:i + n]).all()
         assert len({x for d, _, n in tiles for x in range(d, d + n)}) == sum(t[2] for t in tiles)
-        assert abs(sum(t[2] for t in tiles) - brute_tiles(doc.tolist(), item.tolist(), 3)) <= 4
+        assert sum(t[2] for t in tiles) == brute_tiles(doc.tolist(), item.tolist(), 3)
+
+
+def test_tiles_take_the_longest_of_several_places(monkeypatch):
+    doc, item = (np.array([ord(c) for c in text], dtype=np.uint64) for text in ("ABCDExxABCDEF", "ABCDEFG"))
+    assert dc.tile(doc, item, 5) == [(7, 0, 6)]
+    again = np.array(list(range(9)) * 6, dtype=np.uint64)
+    assert sum(t[2] for t in dc.tile(again, again[:30], 5)) == 30
+    whole = dc.tile(again, again[3:40], 5)
+    monkeypatch.setattr(dc, "PAIRS", 3)
+    assert dc.tile(again, again[3:40], 5) == whole == [(3, 0, 37)]
 
 
 def test_decontaminate(spark, table, prose):
