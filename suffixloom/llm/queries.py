@@ -73,7 +73,8 @@ def op9_line_dedup(spark, sf_dir):
 
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("repeats"))
 
 
 def op11_resampling(spark, sf_dir):
