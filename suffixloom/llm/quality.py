@@ -24,14 +24,20 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOSS_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
 HAS_WORD = r"[^ \t\n\x0b\x0c\r]"
-#: What a line of prose has: a sentence mark, then closing quotes or brackets, then white space or the end.
-SENTENCE_END = r"[.!?…:;。！？]['\")\]»”’]*([ \t\x0b\x0c\r]|$)"
-#: A row of menu entries has three separators, shouting three doubled marks or no small letter.
+#: What a line of prose has: a sentence mark of any script, then closing quotes or brackets, then white
+#: space or the end; or letters of Thai or Lao, which are written without sentence marks.
+SENTENCE_END = r"[.!?…:;。！？．：；｡؟۔؛।॥։።။។‽]['\")\]»”’]*([ \t\x0b\x0c\r]|$)|[ก-๏ກ-ໝ]"
+#: A row of menu entries has three separators and one in so many characters; shouting has three
+#: doubled marks and one in so many characters, or no small letter.
 MENU = r"(?:[|•·»›>][ \t][^|•·»›>]*){3}"
+MENU_MARK, MENU_EVERY = r"[|•·»›>][ \t]", 40
 SHOUT_MARKS = r"(?:[!?]{2}[^!?]*){3}"
+SHOUT_MARK, SHOUT_EVERY = r"[!?]{2}", 120
 SMALL_LETTER, CAPITAL = r"\p{Ll}", r"\p{Lu}"
 SHOUT_LENGTH = 20
-#: Phrases of notices that many sites repeat (fixed values).
+#: Phrases of notices that many sites repeat (fixed values); a line fails if they are more than
+#: this percentage of its characters.
+NOTICE_PERCENT = 25
 BOILERPLATE = (
     "all rights reserved|cookie policy|cookies on this|accept cookies|privacy policy|terms of (use|service)|"
     "subscribe to our|sign up for|click here|enable javascript|lorem ipsum|powered by|share this|"
@@ -66,14 +72,20 @@ def symbols_in(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))
 
 
+def taken_by(line: Column, pattern: str) -> Column:
+    """Characters of the line that matches of the pattern take."""
+    return F.length(line) - F.length(F.regexp_replace(line, pattern, ""))
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks one of the line rules."""
+    """Whether a line with a word breaks one of the line rules, all of them but the first shares of the line."""
+    small = F.lower(line)
     return (~line.rlike(SENTENCE_END)
-            | line.rlike(MENU)
+            | (line.rlike(MENU) & (taken_by(line, MENU_MARK) * MENU_EVERY >= 2 * F.length(line)))
             | (line.rlike(SYMBOLS) & (symbols_in(line) * 10 > F.length(line)))
-            | line.rlike(SHOUT_MARKS)
+            | (line.rlike(SHOUT_MARKS) & (taken_by(line, SHOUT_MARK) * SHOUT_EVERY >= 2 * F.length(line)))
             | (~line.rlike(SMALL_LETTER) & line.rlike(CAPITAL) & (F.length(line) >= SHOUT_LENGTH))
-            | F.lower(line).rlike(BOILERPLATE))
+            | (small.rlike(BOILERPLATE) & (taken_by(small, BOILERPLATE) * 100 > NOTICE_PERCENT * F.length(small))))
 
 
 def quality(docs: DataFrame) -> DataFrame:

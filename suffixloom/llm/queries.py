@@ -116,12 +116,18 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-LINE_FAILS = f"""(NOT regexp_matches(l, {_quoted(rules.SENTENCE_END)}) OR regexp_matches(l, {_quoted(rules.MENU)})
+def _taken(line: str, pattern: str) -> str:
+    return f"(length({line}) - length(regexp_replace({line}, {_quoted(pattern)}, '', 'g')))"
+
+
+LINE_FAILS = f"""(NOT regexp_matches(l, {_quoted(rules.SENTENCE_END)})
+ OR (regexp_matches(l, {_quoted(rules.MENU)}) AND {_taken('l', rules.MENU_MARK)} * {rules.MENU_EVERY} >= 2 * length(l))
  OR 10 * (length(l) - length(regexp_replace(l, '{rules.SYMBOLS}', '', 'g'))) > length(l)
- OR regexp_matches(l, '{rules.SHOUT_MARKS}')
+ OR (regexp_matches(l, '{rules.SHOUT_MARKS}') AND {_taken('l', rules.SHOUT_MARK)} * {rules.SHOUT_EVERY} >= 2 * length(l))
  OR (NOT regexp_matches(l, '{rules.SMALL_LETTER}') AND regexp_matches(l, '{rules.CAPITAL}')
-     AND length(l) >= {rules.SHOUT_LENGTH}) OR regexp_matches(lower(l), '{rules.BOILERPLATE}'))"""
-
+     AND length(l) >= {rules.SHOUT_LENGTH})
+ OR (regexp_matches(lower(l), '{rules.BOILERPLATE}')
+     AND {_taken('lower(l)', rules.BOILERPLATE)} * 100 > {rules.NOTICE_PERCENT} * length(lower(l))))"""
 
 
 def _canonical(text: str) -> str:

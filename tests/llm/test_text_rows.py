@@ -51,6 +51,19 @@ def test_quality_rejects_what_loses_most(table, prose):
     assert not any(out.values())
 
 
+def test_quality_rules_are_shares_of_the_line(table, prose):
+    clean = prose(21, 900).replace(".", "") + ". "
+    long = [clean + "Read more about it. " + clean, clean + "This site is powered by steam! " + clean, clean + "a | b | c | d. " + clean,
+            clean + "What?? Really?? No!! " + clean, " ".join(["नमस्ते दुनिया"] * 40) + "।", " ".join(["کیا حال ہے"] * 40) + "؟",
+            " ".join(["یہ ایک جملہ ہے"] * 30) + "۔", " ".join(["สวัสดีชาวโลก"] * 60), "。".join(["你好 世界"] * 40) + "。"]
+    short = ["Read more about it.", "All rights reserved. Example 2020.", "home | about | contact | help.", "What?? Really?? No!!"]
+    lines = prose(22, 80).replace(".", "") + ".\n"
+    data = [(i, t) for i, t in enumerate(long)] + [(100 + i, lines + t) for i, t in enumerate(short)]
+    out = {r.doc_id: r for r in quality(table(data)).collect()}
+    assert all(out[i].lost_chars == 0 and out[i].cleaned == t for i, t in enumerate(long))
+    assert all(out[100 + i].cleaned == lines.strip() for i in range(len(short)))
+
+
 def test_licences(table, rows):
     mit = LICENCES[0][1]
     changed = "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace("LICENSE", "LICENCE").replace("\n", "\n  * ")
