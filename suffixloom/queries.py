@@ -50,21 +50,29 @@ def first_text(docs: DataFrame) -> DataFrame:
     return docs.orderBy("doc").limit(1).select("text")
 
 
-# One plan object per workload and session, so that queries share its relations.
-@lru_cache(maxsize=None)
-def _matched(spark: SparkSession, app: str, sf_dir: str, name: str) -> CompressedBwt:
+def version(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, int, int]:
+    """The application, and the latest change and the size of a table's files: a plan is shared while these stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return (spark.sparkContext.applicationId, max((f.getModificationTime() for f in files), default=0),
+            sum(f.getLen() for f in files))
+
+
+# One plan object per workload and state of its table, so that queries share its relations.
+@lru_cache(maxsize=32)
+def _matched(spark: SparkSession, state: tuple, sf_dir: str, name: str) -> CompressedBwt:
     docs = collection(spark, sf_dir, name)
     return CompressedBwt(docs, first_text(docs))
 
 
-@lru_cache(maxsize=None)
-def _joint(spark: SparkSession, app: str, sf_dir: str, name: str) -> CompressedBwt:
+@lru_cache(maxsize=32)
+def _joint(spark: SparkSession, state: tuple, sf_dir: str, name: str) -> CompressedBwt:
     docs = collection(spark, sf_dir, name)
     return CompressedBwt(docs, first_text(docs), broadcast=False)
 
 
-@lru_cache(maxsize=None)
-def _ranked(spark: SparkSession, app: str, sf_dir: str, name: str):
+@lru_cache(maxsize=32)
+def _ranked(spark: SparkSession, state: tuple, sf_dir: str, name: str):
     return rank_suffixes(collection(spark, sf_dir, name))
 
 
@@ -78,25 +86,25 @@ class _Indexed:
         self.index = bi.base_index(self.spark, self.base, self.scratch)
 
 
-@lru_cache(maxsize=None)
-def _indexed(spark: SparkSession, app: str, sf_dir: str, name: str) -> _Indexed:
+@lru_cache(maxsize=32)
+def _indexed(spark: SparkSession, state: tuple, sf_dir: str, name: str) -> _Indexed:
     return _Indexed(collection(spark, sf_dir, name))
 
 
 def matched(spark, sf_dir, name="benchmark"):
-    return _matched(spark, spark.sparkContext.applicationId, sf_dir, name)
+    return _matched(spark, version(spark, sf_dir, name), sf_dir, name)
 
 
 def joint(spark, sf_dir, name="benchmark"):
-    return _joint(spark, spark.sparkContext.applicationId, sf_dir, name)
+    return _joint(spark, version(spark, sf_dir, name), sf_dir, name)
 
 
 def ranked(spark, sf_dir, name):
-    return _ranked(spark, spark.sparkContext.applicationId, sf_dir, name)
+    return _ranked(spark, version(spark, sf_dir, name), sf_dir, name)
 
 
 def indexed(spark, sf_dir, name="benchmark"):
-    return _indexed(spark, spark.sparkContext.applicationId, sf_dir, name)
+    return _indexed(spark, version(spark, sf_dir, name), sf_dir, name)
 
 
 # --- sources ---------------------------------------------------------------
