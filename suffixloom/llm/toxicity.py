@@ -6,7 +6,9 @@ ordinary training texts, and it is laid behind the first.  A window's gain is th
 of bytes by which the toxic dictionary compresses it better.  A document is described by
 how many of its windows gain at least each of ``GAINS`` bytes, by its largest gain and by
 its number of windows; weights that turn these into a probability are fitted on
-training texts that the dictionaries have not seen.
+training texts that the dictionaries have not seen.  How sure a segment must be
+(``FALSE_RATES``, ``CONTRASTS``) is chosen on these texts as well, by the loss of each
+third of them under weights fitted on the others; rows held out from training are never read.
 
 Training uses a bounded sample: of each label at most ``TRAIN_DOCS`` labelled rows of at
 most ``TRAIN_BYTES`` bytes, the ones with the smallest hashes; the dictionaries see all windows of two thirds of them.  The labels of all training rows
@@ -36,7 +38,8 @@ WINDOW_WORDS = 5
 SHARED_BYTES, TOXIC_BYTES = 8192, 1 << 18
 #: A toxic segment has so many different neighbourhoods in toxic texts at least (near copies of a text share theirs), for each
 #: toxic text so many times as many as for each ordinary one, and with this rate of false ones among the kept it is no chance.
-LEAST, CONTRAST, FALSE_RATE = 3, 30, 0.05
+LEAST, CONTRASTS, FALSE_RATES = 3, (30, 10), (0.01, 0.05)
+FOLDS = 3
 SEGMENT = re.compile(rb"[^ ]{4,24}(?= )")
 LEVEL, MIN_MATCH = 6, 6
 #: Bytes known to both dictionaries that precede a window, so that the first match of its own counts in full.
@@ -117,9 +120,19 @@ def _chance(toxic: int, ordinary: int, share: float) -> float:
     return min(1.0, sum(map(exp, logs)))
 
 
-def _bound(chances: list[float], tests: int) -> float:
+def _bound(chances: list[float], tests: int, false_rate: float) -> float:
     """The largest of the ascending probabilities that keeps the rate of false ones (Benjamini and Hochberg)."""
-    return max((p for i, p in enumerate(chances, 1) if p <= FALSE_RATE * i / tests), default=0.0)
+    return max((p for i, p in enumerate(chances, 1) if p <= false_rate * i / tests), default=0.0)
+
+
+def _loss(x: np.ndarray, y: np.ndarray, row_weights: np.ndarray) -> float:
+    """Logarithmic loss of each row under weights fitted on the folds without it."""
+    fold, loss = np.arange(len(y)) % FOLDS, 0.0
+    for k in range(FOLDS):
+        out = fold == k
+        p = 1 / (1 + np.exp(-np.clip(x[out] @ _fit_weights(x[~out], y[~out], row_weights[~out]), -30, 30)))
+        loss -= float((row_weights[out] * np.log(np.where(y[out] > 0, p, 1 - p) + 1e-15)).sum())
+    return loss
 
 
 def fit(rows: list[tuple[str, int]], counts: tuple[int, int] | None = None) -> Model:
@@ -145,15 +158,23 @@ def fit(rows: list[tuple[str, int]], counts: tuple[int, int] | None = None) -> M
         share[y] = {s: len(p) for s, p in places.items()}
     n1, n0 = len(parts[1]), len(parts[0])
     chance = {s: _chance(c, share[0].get(s, 0), n1 / (n1 + n0)) for s, c in share[1].items() if c >= LEAST}
-    bound = _bound(sorted(chance.values()), len(found))
-    # the most frequent segments come last, where a match costs least
-    kept = sorted((share[1][s], s) for s, p in chance.items()
-                  if p <= bound and share[1][s] / n1 > CONTRAST * share[0].get(s, 0) / n0)
-    model.toxic = model.ordinary + b" " + b"".join(s + b" " for _, s in kept)
     held = [r for i, r in enumerate(rows) if not i % 3]
-    each = [true[y] / sum(true) * len(rows) / drawn[y] for y in (0, 1)]
-    model.weights = _fit_weights(np.array([model.features(t) for t, _ in held]), np.array([y for _, y in held], dtype=float),
-                                 np.array([each[y] for _, y in held]))
+    y = np.array([label for _, label in held], dtype=float)
+    row_weights = np.array([true[label] / sum(true) * len(rows) / drawn[label] for _, label in held])
+    tried: dict[bytes, tuple[float, np.ndarray]] = {}
+    for false_rate in FALSE_RATES:
+        bound = _bound(sorted(chance.values()), len(found), false_rate)
+        for contrast in CONTRASTS:
+            # the most frequent segments come last, where a match costs least
+            kept = sorted((share[1][s], s) for s, p in chance.items()
+                          if p <= bound and share[1][s] / n1 > contrast * share[0].get(s, 0) / n0)
+            toxic = model.ordinary + b" " + b"".join(s + b" " for _, s in kept)
+            if toxic not in tried:
+                x = np.array([Model(model.ordinary, toxic, _pair=own).features(t) for own in [
+                    (_compressor(model.ordinary), _compressor(toxic))] for t, _ in held])
+                tried[toxic] = _loss(x, y, row_weights), x
+    model.toxic = min(tried, key=lambda t: tried[t][0])  # of equal ones the strictest
+    model.weights = _fit_weights(tried[model.toxic][1], y, row_weights)
     return model
 
 
