@@ -124,7 +124,7 @@ def _placed(parts: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
 
 
 def base_parts(base: DataFrame) -> DataFrame:
-    """``doc, text`` of a base that is one ``text``, or comes as ``block, text`` rows."""
+    """``doc, text`` of a base that is one ``text``, or comes as ``block, text`` rows of ``BLOCK`` symbols."""
     order = F.col("block") if "block" in base.columns else F.lit(0).cast("long")
     return base.select(order.alias("doc"), "text")
 
@@ -146,13 +146,13 @@ def augment(base: DataFrame, collection: DataFrame, scratch: Scratch | None = No
     """Append to the base what lets every symbol of the collection match."""
     spark = base.sparkSession
     scratch = scratch or Scratch(spark)
-    parts = base_parts(base).filter(F.length("text") > 0)
-    length = base_symbols(parts)
+    placed = base_parts(base).filter(F.length("text") > 0).select((F.col("doc") * BLOCK).alias("start"), "text")
+    length = base_symbols(placed)
     codes = sorted(r.code for r in missing_symbols(base, collection).collect())  # at most one per symbol
     tail = bytes(codes) if is_binary(base) else "".join(map(chr, codes))
-    last = spark.createDataFrame([((1 << 62), tail)], T.StructType([
-        T.StructField("doc", T.LongType()), T.StructField("text", base.schema["text"].dataType)]))
-    blocks = _reblocked(_placed(parts.unionByName(last), ["doc"], scratch), BLOCK)
+    last = spark.createDataFrame([(length, tail)], T.StructType([
+        T.StructField("start", T.LongType()), T.StructField("text", base.schema["text"].dataType)]))
+    blocks = _reblocked(placed.unionByName(last), BLOCK)
     return BaseString(scratch.save(blocks, "base-blocks"), length + len(tail), length, BLOCK)
 
 
@@ -180,13 +180,13 @@ def base_index(spark: SparkSession, base: BaseString, scratch: Scratch) -> DataF
     ranks = scratch.save(ranked.select(F.col("off").alias("pos"), F.col("rank"), F.col("sym").alias("prev")), "base-ranks")
     pairs = with_neighbours(ranks, "rank", base.symbols + 1, before={"b_off": "pos"}).select(
         F.lit(BASE_DOC).alias("a_doc"), F.col("pos").alias("a_off"), F.lit(BASE_DOC).alias("b_doc"), "b_off", "rank", "prev")
-    shared = common_prefix(scratch.save(pairs, "base-pairs"), history, scratch).select(
+    shared = common_prefix(pairs, history, scratch).select(
         F.col("a_off").alias("pos"), (F.col("rank") + 1).alias("isa"), "prev", F.col("n").alias("lcp"))
     zero = F.lit(0).cast("long")
     first = ranks.filter("rank = 0").select("pos", F.lit(1).cast("long").alias("isa"), "prev", zero.alias("lcp"))
     empty = spark.range(1).select(F.lit(base.n - 1).cast("long").alias("pos"), zero.alias("isa"),
                                   F.lit(BASE_END).alias("prev"), zero.alias("lcp"))
-    known = scratch.save(shared.unionByName(first).unionByName(empty), "base-lcp")
+    known = shared.unionByName(first).unionByName(empty)
     return scratch.save(
         with_neighbours(known, "isa", base.n, after={"next_lcp": "lcp"})
         .select("pos", "isa", "prev", "lcp",

@@ -223,7 +223,7 @@ def test_base_in_blocks(spark, collection, short_index, small_partitions, monkey
 
 def test_common_prefix_of_a_long_repeat(spark, base, collection):
     """Ranks of the rounds tell prefixes of any length; nothing goes symbol by symbol."""
-    n = 300_000
+    n = 100_000
     made = bi.augment(base("ab" * (n // 2)), collection(["c"]))
     lcp = bi.base_index(spark, made, Scratch(spark)).filter(f"pos < {n - 3}").agg(
         F.max("lcp").alias("most"), F.sum("lcp").alias("sum")).first()
