@@ -7,7 +7,9 @@ adjusted by the characters and tags of its links; the container whose blocks' de
 have the largest sum is the content (inline elements count as tags only), and with it the
 whole rest of the article, main or content element around it: headline, short sections
 and bare text, unless that element holds a second article.  The least density on the path from it to the body
-is the threshold at which subtrees beside that path count as content too.
+is the threshold at which subtrees beside that path count as content too; where no such element is on the path,
+headings and passages beside it do so at any length, unless half of them is links.  The header of an article
+belongs to it, and a name such as "related" takes a part out only if the words beside it say nothing else.
 
 Row-wise and without exchange; a page never leaves its row, and the work is linear in it.
 
@@ -59,6 +61,20 @@ ASIDE_NAMES = frozenset(
     "recommended pagination pager widget toolbar copyright complementary contentinfo search".split())
 #: Of these names, the ones that wrappers of a whole page bear as well ("has-sidebar").
 WRAPPER_NAMES = frozenset("nav navbar menu sidebar header footer masthead banner widget toolbar search overlay".split())
+#: Of these names, the ones that are words of running text as well, and the words that may stand beside them in the
+#: name of such a part ("related-posts", but not "related-work").
+WORDS_TOO = frozenset(
+    "social related recommended notice notices copyright share sharing promotion reply replies respond comment "
+    "login subscribe".split())
+BESIDE = frozenset(
+    "a area article articles bar block body bottom box btn button buttons card cards center col column container content "
+    "count cta desktop div entries entry feed fixed float follow form global grid group head heading holder icon icons image inner "
+    "input item items large left link links list lists main media mobile module more news outer page panel pages plugin post "
+    "posts primary right row section secondary site slot small sm md lg sticky stories story tag tags text thread title top "
+    "us video videos view wrap wrapper wp js".split())
+#: The words that make the name of an article's own header.
+OWN_HEADER = frozenset("article entry post story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names of elements that hold the content.
 CONTENT_NAMES = frozenset("article content entry main post story".split())
 NO, BY_TAG, BY_NAME, BY_CLEAR_NAME = range(4)
@@ -121,9 +137,10 @@ class Page:
         elif name in ("br", "td", "th"):
             self.texts.append((self._open[-1], self._block, " "))
         above = self._open[-1]
-        out = BY_TAG if name in RAW or name in ASIDE_TAGS else NO
+        in_article = any(self.tag[i] == "article" for i in self._open)
+        out = BY_TAG if name in RAW or name in ASIDE_TAGS and not (name == "header" and in_article) else NO
         if out == NO and attributes and name not in NEVER_ASIDE:
-            out = _by_name(attributes)
+            out = _by_name(attributes, in_article)
         self.parent.append(above)
         self.tag.append(name)
         self._holds.append(name in ("article", "main") or name in CONTAINERS and name not in ("html", "body")
@@ -204,10 +221,31 @@ class Page:
         whole = [i for i in path if self._holds[i] and not self.aside[i] and articles[i] < 2]
         threshold = min((density[i] for i in path), default=0.0)
         on_path = {0, *path}
-        beside = [i for i in range(1, len(total)) if self.parent[i] in on_path and i not in on_path
-                  and self.parent[i] != best and self.tag[i] in BLOCKS and density[i] and density[i] >= threshold]
+        besides = [i for i in range(1, len(total)) if self.parent[i] in on_path and i not in on_path
+                   and self.parent[i] != best and self.tag[i] in BLOCKS and density[i]]
+        passages = set() if whole else self._passages()
+        beside = [i for i in besides if density[i] >= threshold or i in passages]
         return sorted({best, *beside, *whole[-1:]})
 
+    def _passages(self) -> set[int]:
+        """Headings, and nodes with a paragraph, of which less than half is links."""
+        n = len(self.tag)
+        chars, links, found = [0] * n, [0] * n, [t == "p" or t in HEADINGS for t in self.tag]
+        in_link = [False] * n
+        for i in range(1, n):
+            in_link[i] = self.tag[i] == "a" or in_link[self.parent[i]]
+        for node, _, text in self.texts:
+            if not self.aside[node]:
+                chars[node] += len(text.strip())
+                links[node] += len(text.strip()) * in_link[node]
+        for i in range(n - 1, 0, -1):
+            if not self.aside[i]:
+                up = self.parent[i]
+                chars[up] += chars[i]
+                links[up] += links[i]
+                found[up] |= found[i]
+        return {i for i in range(1, n) if found[i] and 2 * links[i] < chars[i]}
+
     def main_text(self) -> str:
         keep = [False] * len(self.tag)
         for root in self.content():
@@ -227,14 +265,25 @@ def _name_parts(attributes: str) -> set[str]:
     return {p for value in NAMES.findall(attributes) for p in NAME_PARTS.findall(CAMEL.sub(" ", value).lower())}
 
 
-def _by_name(attributes: str) -> int:
+def _tokens(attributes: str) -> list[set[str]]:
+    """The words of each single name in class, id and role."""
+    return [set(NAME_PARTS.findall(CAMEL.sub(" ", token).lower()))
+            for value in NAMES.findall(attributes) for token in value.strip("\"'").split()]
+
+
+def _by_name(attributes: str, in_article: bool = False) -> int:
     """Whether the attributes name a part that is no article."""
     if HIDDEN.search(attributes):
         return BY_CLEAR_NAME
     parts = _name_parts(attributes)
-    if parts & ASIDE_NAMES - WRAPPER_NAMES:
+    if parts & ASIDE_NAMES - WRAPPER_NAMES - WORDS_TOO:
+        return BY_CLEAR_NAME
+    if parts & WORDS_TOO and any(t & WORDS_TOO and t <= ASIDE_NAMES | BESIDE for t in _tokens(attributes)):
         return BY_CLEAR_NAME
-    return BY_NAME if parts & WRAPPER_NAMES else NO
+    found = parts & WRAPPER_NAMES - WORDS_TOO
+    if in_article and found == {"header"} and (parts & OWN_HEADER or parts == {"header"}):
+        return NO
+    return BY_NAME if found else NO
 
 
 def extract(html: str | None) -> str:

@@ -173,6 +173,24 @@ def test_main_text_of_wrapped_sections(around):
     assert len(lines) == 15 and lines[-2].startswith("some")
 
 
+PASSAGE = "<p>" + "Some words of running text, long enough to count. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize("html, passages", [
+    (f"<body><div><h1>Head line</h1><div>{PASSAGE * 10}</div><div>{PASSAGE * 2}</div></div></body>", 12),
+    (f"<body><h1>Head line</h1><div>{PASSAGE * 10}</div><div>{PASSAGE * 2}</div><div><p><a href=x>A link</a></p></div></body>", 12),
+    (f"<body><header><h1>Site</h1></header><article><header><h1>Head line</h1></header>{PASSAGE * 5}</article></body>", 5),
+    (f"<body><article><header class='entry-header'><h1>Head line</h1></header>{PASSAGE}<footer>f</footer></article></body>", 1),
+    (f"<body><article><h1>Head line</h1>{PASSAGE * 2}<section class='social-history'>{PASSAGE * 4}</section>"
+     "<div class='related-posts'><p>See this other one</p></div></article></body>", 6),
+    (f"<body><article><h1>Head line</h1>{PASSAGE * 2}<div class='related-work'>{PASSAGE * 4}</div>"
+     "<div class='social share-buttons'>Tell all</div><div id='comments'><p>I think</p></div></article></body>", 6)])
+def test_main_text_drops_nothing_of_the_article(html, passages):
+    lines = extract(html).split("\n")
+    assert lines == ["Head line"] + ["Some words of running text, long enough to count. " * 4
+                                     + "Some words of running text, long enough to count."] * passages
+
+
 def test_main_text_leaves_the_second_article():
     long = "<p>" + "word " * 99 + "word.</p>"
     page = f"<main><h2>News</h2><article><h1>One</h1><div>{long * 10}</div></article><article><p>Other.</p></article></main>"
