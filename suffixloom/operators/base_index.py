@@ -12,16 +12,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.nearest import nearest_smaller
 from ..functions.symbols import BASE_END, FIRST_CODE, LEGAL_HIGH, LEGAL_LOW, Alphabet, codes_of
 from ..session import Scratch, max_index_symbols
 from .common_prefix import History, common_prefix
+from .pieces import is_binary, reblocked
 from .ranking import rank_sequences
 from .slices import with_neighbours
-from .suffixes import PACKED_LONGS, block_suffix_rows, symbol_counts
+from .suffixes import PACKED_LONGS, piece_suffix_rows, symbol_counts
 
 BLOCK = 1 << 16  # symbols of the base in one row
 #: The base as a document among others; before all of them, as its end sorts before theirs.
@@ -62,52 +62,9 @@ class BaseString:
         return np.append(codes_of([self.text]).astype(np.int64) + FIRST_CODE, BASE_END)
 
 
-def is_binary(df: DataFrame) -> bool:
-    return isinstance(df.schema["text"].dataType, T.BinaryType)
-
-
-def joined(pieces: Column, text: Column | str, binary: bool) -> Column:
-    """The texts of an array of structs, one after the other."""
-    if binary:
-        return F.unhex(F.array_join(F.transform(pieces, lambda p: F.hex(p[text])), ""))
-    return F.array_join(F.transform(pieces, lambda p: p[text]), "")
-
-
-def _cut(size: int, halo: int):
-    """Cut texts that start at ``start`` into what they add to each block of ``size`` symbols, which
-    reaches from one symbol before it to ``halo`` symbols after it if there is a halo."""
-    lead = 1 if halo else 0
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for start, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first = max((start - halo) // size, 0)
-                for block in range(first, (start + len(text) - 1 + lead) // size + 1):
-                    lo, hi = max(block * size - lead, start), min((block + 1) * size + halo, start + len(text))
-                    if lo < hi:
-                        rows.append((block, lo, text[lo - start:hi - start]))
-                        if len(rows) >= 256:
-                            yield _pieces(rows, batch.schema.field(1).type)
-                            rows = []
-            if rows:
-                yield _pieces(rows, batch.schema.field(1).type)
-
-    return run
-
-
-def _pieces(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    blocks, places, texts = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, kind)],
-                                      names=["block", "at", "text"])
-
-
 def _reblocked(placed: DataFrame, size: int, halo: int = 0) -> DataFrame:
-    """``block, text`` of a text that comes as ``start, text`` rows; nothing else is exchanged."""
-    kind = placed.schema["text"].dataType.simpleString()
-    cut = placed.select("start", "text").mapInArrow(_cut(size, halo), f"block long, at long, text {kind}")
-    return cut.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("p")).select(
-        "block", joined(F.col("p"), "text", is_binary(placed)).alias("text"))
+    """``block, text`` of a text that comes as ``start, text`` rows."""
+    return reblocked(placed.withColumn("doc", F.lit(BASE_DOC)), size, halo).select("block", "text")
 
 
 def concat_base(parts: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -158,11 +115,8 @@ def augment(base: DataFrame, collection: DataFrame, scratch: Scratch | None = No
 
 def base_suffixes(base: BaseString, alphabet: Alphabet) -> DataFrame:
     """The suffix rows of the base, from blocks with the symbols around them."""
-    placed = base.blocks.select((F.col("block") * base.size).alias("start"), "text")
-    around = _reblocked(placed, base.size, PACKED_LONGS * alphabet.per_long)
-    # the halo makes blocks of their own beyond the end
-    around = around.filter(F.col("block") * base.size < base.symbols)
-    return block_suffix_rows(around, base.size, base.symbols, alphabet, BASE_DOC)
+    placed = base.blocks.select(F.lit(BASE_DOC).alias("doc"), (F.col("block") * base.size).alias("start"), "text")
+    return piece_suffix_rows(placed, alphabet, base.size)
 
 
 def _alphabet(counts: DataFrame) -> Alphabet:
@@ -171,7 +125,7 @@ def _alphabet(counts: DataFrame) -> Alphabet:
 
 def base_index(spark: SparkSession, base: BaseString, scratch: Scratch) -> DataFrame:
     """Suffix array, inverse, preceding symbols, LCP and uniqueness threshold."""
-    alphabet = _alphabet(symbol_counts(base.blocks.select(F.col("block").alias("doc"), "text")))
+    alphabet = _alphabet(symbol_counts(base.blocks.select(F.col("block").alias("start"), "text")))
     elements = base_suffixes(base, alphabet)
     history = History(elements.select("doc", "off", "k1", "k2"), alphabet)
     ranked = rank_sequences(elements, ["k1", "k2", "tie"], PACKED_LONGS * alphabet.per_long, scratch,

@@ -18,6 +18,7 @@ from ..session import Scratch
 from .base_index import BASE_DOC, BaseString, base_suffixes
 from .common_prefix import History, common_prefix
 from .heads import ordered_index
+from .pieces import started
 from .ranking import rank_sequences
 from .slices import with_nearest, with_neighbours
 from .suffixes import PACKED_LONGS, suffix_rows, symbol_counts
@@ -34,11 +35,11 @@ class JointMatches:
 
 
 def joint_matches(collection: DataFrame, base: BaseString, scratch: Scratch) -> JointMatches:
-    """The matching statistics of ``collection (doc, text)``, whose keys are above ``BASE_DOC``."""
-    counts = symbol_counts(collection.select("doc", "text").unionByName(
-        base.blocks.select(F.col("block").alias("doc"), "text"))).collect()  # one row per distinct symbol
+    """The matching statistics of ``collection``, whole or in pieces, whose keys are above ``BASE_DOC``."""
+    counts = symbol_counts(started(collection).unionByName(
+        base.blocks.select(F.col("block").alias("start"), "text"))).collect()  # one row per distinct symbol
     alphabet = Alphabet(tuple(sorted(r.code for r in counts if r.code >= 0)))
-    rows = sum(r.n for r in counts) + 1
+    rows = sum(r.n for r in counts)
     elements = suffix_rows(collection, alphabet).unionByName(base_suffixes(base, alphabet)).withColumn(
         "ends", F.col("k1") == 0)
     history = History(elements.select("doc", "off", "k1", "k2"), alphabet)

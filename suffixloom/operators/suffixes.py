@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.symbols import SEPARATOR, Alphabet, codes_of, pack_windows
+from . import pieces as pc
+from .pieces import in_pieces, key_columns, reblocked, started
 
 CHUNK_SYMBOLS = 1 << 20  # texts are taken in pieces of about this size
 PACKED_LONGS = 2
@@ -16,7 +18,7 @@ SUFFIX_SCHEMA = "doc long, off long, sym int, k1 long, k2 long, tie long"
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
-    """Group the (doc, text) rows of Arrow batches into pieces of bounded text."""
+    """Group rows of a number and a text into pieces of bounded text."""
     docs, texts, size = [], [], 0
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -31,8 +33,8 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
 
 
 def require_unique_keys(collection: DataFrame) -> None:
-    """Refuse a collection in which two documents have one key."""
-    twice = collection.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc").head(1)
+    """Refuse a collection in which two documents, or two pieces of one, have one key."""
+    twice = collection.groupBy(*key_columns(collection)).agg(F.count("*").alias("n")).filter("n > 1").select("doc").head(1)
     if twice:
         raise ValueError(f"several documents have the key {twice[0].doc}")
 
@@ -41,12 +43,12 @@ def symbol_counts(collection: DataFrame) -> DataFrame:
     """``(code, n)``: how often each symbol occurs; code -1 counts the documents."""
 
     def count(batches):
-        for docs, texts in chunks(batches):
+        for starts, texts in chunks(batches):
             codes, n = np.unique(codes_of(texts), return_counts=True)
             yield pa.RecordBatch.from_pydict({
-                "code": np.append(codes.astype(np.int64), -1), "n": np.append(n, len(docs)).astype(np.int64)})
+                "code": np.append(codes.astype(np.int64), -1), "n": np.append(n, np.count_nonzero(starts == 0)).astype(np.int64)})
 
-    return (collection.select("doc", "text").mapInArrow(count, "code long, n long")
+    return (started(collection).mapInArrow(count, "code long, n long")
             .groupBy("code").agg(F.sum("n").alias("n")))
 
 
@@ -54,6 +56,8 @@ def suffix_rows(collection: DataFrame, alphabet: Alphabet) -> DataFrame:
     """One row per suffix, the empty one included: its first symbols packed into
     ``k1, k2``, the symbol before it, and the tie-break of suffixes that end
     within the packed symbols (document order)."""
+    if in_pieces(collection):
+        return piece_suffix_rows(collection, alphabet, pc.PIECE)
 
     def explode(batches):
         table, width = alphabet.table(), PACKED_LONGS * alphabet.per_long
@@ -98,18 +102,19 @@ def suffix_rows(collection: DataFrame, alphabet: Alphabet) -> DataFrame:
     return collection.select("doc", "text").mapInArrow(explode, SUFFIX_SCHEMA)
 
 
-def block_suffix_rows(blocks: DataFrame, size: int, n: int, alphabet: Alphabet, doc: int) -> DataFrame:
-    """As ``suffix_rows``, of one text of ``n`` symbols that comes as ``block, text``: the symbols of
-    block ``block``, led by the one before it and followed by those that the packing needs."""
+def piece_suffix_rows(pieces: DataFrame, alphabet: Alphabet, size: int) -> DataFrame:
+    """As ``suffix_rows``, of documents in pieces (``doc, start, text``), by blocks of ``size`` symbols with the
+    symbol before and those that the packing needs; no task holds more of a document than a block."""
+    width = PACKED_LONGS * alphabet.per_long
 
     def explode(batches):
-        table, width = alphabet.table(), PACKED_LONGS * alphabet.per_long
+        table = alphabet.table()
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lo = block * size
-                rows = min(size, n - lo)
-                if lo + rows == n:
-                    rows += 1  # the empty suffix
+            for doc, block, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                lo, own = block * size, len(text) - (block > 0)
+                if own == 0 and block:
+                    continue  # nothing but the lead: the document ends where the block would start
+                rows = min(size, own) + (own <= size)  # the last block has the empty suffix
                 codes = codes_of([text]).astype(np.int32)
                 before = codes[:rows] if lo else np.append(np.int32(SEPARATOR), codes)[:rows]
                 ahead = table[codes[1:] if lo else codes]
@@ -120,4 +125,4 @@ def block_suffix_rows(blocks: DataFrame, size: int, n: int, alphabet: Alphabet,
                     "doc": np.full(rows, doc), "off": lo + np.arange(rows), "sym": before, "k1": k1, "k2": k2,
                     "tie": np.where(ended, doc + 1, 0)}).to_batches(max_chunksize=1 << 16)
 
-    return blocks.select("block", "text").mapInArrow(explode, SUFFIX_SCHEMA)
+    return reblocked(pieces, size, width, empty=True).mapInArrow(explode, SUFFIX_SCHEMA)

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import base_index as bi, buckets as bk, heads as hd, joint_matching as jm, matching as mt
+from ..operators.pieces import in_pieces, key_columns, relation
 from ..operators.suffixes import require_unique_keys
 from ..operators.runs import expand_runs, rl_bwt_columns, runs_of
 from ..session import Scratch, max_index_symbols, spread
@@ -16,11 +17,11 @@ from ..session import Scratch, max_index_symbols, spread
 
 @dataclass
 class CompressedBwt:
-    """The relations between a collection ``(doc, text)`` and a base, one ``text`` or ``block, text``
+    """The relations between a collection, whole or in pieces, and a base, one ``text`` or ``block, text``
     rows, each computed when first used.
 
-    Documents are matched in place against a broadcast index where the base is short enough for one,
-    else by ranking their suffixes together with the base's; the relations are the same."""
+    Documents are matched in place against a broadcast index where they come whole and the base is short
+    enough for one, else by ranking their suffixes together with the base's; the relations are the same."""
 
     collection: DataFrame
     base_row: DataFrame
@@ -30,7 +31,7 @@ class CompressedBwt:
     def __post_init__(self):
         self.spark = self.collection.sparkSession
         self.scratch = Scratch(self.spark)
-        self.collection = spread(self.collection.select("doc", "text"), "doc")
+        self.collection = spread(relation(self.collection), *key_columns(self.collection))
         require_unique_keys(self.collection)
 
     @cached_property
@@ -39,9 +40,10 @@ class CompressedBwt:
 
     @property
     def broadcasts(self) -> bool:
-        """Whether documents are matched against a broadcast index, which the base must be short enough for."""
+        """Whether documents are matched against a broadcast index; the base must be short enough for it
+        and the documents whole."""
         fits = self.base.symbols <= max_index_symbols(self.spark)
-        return fits and self.broadcast is not False
+        return fits and self.broadcast is not False and not in_pieces(self.collection)
 
     @cached_property
     def index(self) -> DataFrame:

@@ -18,10 +18,10 @@ def run_job(spark: SparkSession, manifest: str, output: str | None = None, prefi
     """Compute the transform of the collection that a manifest names, against the base it names.
 
     The table goes to ``output``, by default the manifest's path, with the ending of its
-    kind; its path is returned.  The scratch tables are dropped at the end."""
+    kind; its path is returned.  Documents longer than a piece are taken in pieces.  The scratch tables are dropped at the end."""
     base_path, collection_path = read_manifest(spark, manifest)
     base = read_base(spark, base_path, binary=binary)
-    docs = read_collection(spark, collection_path, drop_unterminated=drop_unterminated, binary=binary)
+    docs = read_collection(spark, collection_path, drop_unterminated=drop_unterminated, binary=binary, pieces=None)
     plan = bwt(docs, base=base, prefix=prefix, strategy=strategy)
     path = (output or manifest) + (RUN_LENGTH if run_length else PLAIN)
     try:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.base_index import base_symbols
 from ..operators.matching import insert_heads
+from ..operators.pieces import in_pieces
 from ..session import max_index_symbols
 from ..sources.collections import prefix_limit
 from .compressed import CompressedBwt
@@ -19,8 +20,8 @@ WORTH_IT = 0.1  # heads per position up to which ranking heads beats ranking suf
 def choose(collection: DataFrame, base: DataFrame | None) -> CompressedBwt | None:
     """The heads plan, with its index built, if the base is short enough for a broadcast and the
     documents match it well: a share of them, picked by a hash of their key, tells.  With a longer
-    base the heads plan would rank all suffixes to find the heads, so ranking them is the plan."""
-    if base is None or not 0 < base_symbols(base) <= max_index_symbols(collection.sparkSession):
+    base, or documents in pieces, the heads plan would rank all suffixes to find the heads, so ranking them is the plan."""
+    if base is None or in_pieces(collection) or not 0 < base_symbols(base) <= max_index_symbols(collection.sparkSession):
         return None
     plan = CompressedBwt(collection, base)
     share = SAMPLE_SHARE if collection.count() >= WHOLE_BELOW else 1
@@ -34,7 +35,7 @@ def choose(collection: DataFrame, base: DataFrame | None) -> CompressedBwt | Non
 
 
 def bwt(collection: DataFrame, base: DataFrame | None = None, prefix: int | None = None, strategy: str | None = None):
-    """Plan the BWT of ``collection (doc BIGINT, text)``.
+    """Plan the BWT of ``collection (doc BIGINT, text)``, or of one in pieces ``(doc, start, text)``.
 
     ``base``: what the documents resemble, one ``text`` or ``block, text`` rows.  ``prefix``: use only the first
     so many symbols, separators counted.  ``strategy``: ``suffixes`` or ``heads``

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.symbols import Alphabet, symbol_column
+from ..operators.pieces import key_columns, relation
 from ..operators.ranking import rank_sequences
 from ..operators.runs import rl_bwt_columns, runs_of_ranks
 from ..operators.suffixes import PACKED_LONGS, require_unique_keys, suffix_rows, symbol_counts
@@ -36,10 +37,10 @@ class RankedSuffixes:
 
 
 def rank_suffixes(collection: DataFrame, scratch: Scratch | None = None) -> RankedSuffixes:
-    """Rank every suffix of ``collection (doc BIGINT, text)``; ``doc`` is unique and
-    gives the document order."""
+    """Rank every suffix of ``collection (doc BIGINT, text)``, or of one in pieces; ``doc`` is unique
+    and gives the document order."""
     scratch = scratch or Scratch(collection.sparkSession)
-    collection = spread(collection.select("doc", "text"), "doc")
+    collection = spread(relation(collection), *key_columns(collection))
     require_unique_keys(collection)
     counts = symbol_counts(collection).collect()  # one row per distinct symbol
     rows = sum(r.n for r in counts)

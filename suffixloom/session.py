@@ -64,9 +64,9 @@ def max_index_symbols(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_INDEX_SYMBOLS_CONF, str(1 << 24)))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """Give a scan with fewer splits than cores enough partitions to use them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores * 2, key)
+    return df.repartition(cores * 2, *key)

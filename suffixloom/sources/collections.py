@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators import base_index as bi
 from ..operators.base_index import base_symbols, concat_base
+from ..operators import pieces as pc
 from ..operators.heads import ordered_index
+from ..operators.pieces import in_pieces, reblocked
 from ..session import Scratch
 
 LINE_ORDER = ["file", "split", "line_no"]
@@ -71,14 +73,57 @@ def lines_to_documents(lines: DataFrame, scratch: Scratch, keep_leading_empty: b
     return docs if keep_leading_empty else docs.filter((F.col("doc") > 0) | (F.col("text") != ""))
 
 
+def lines_to_pieces(lines: DataFrame, scratch: Scratch, keep_leading_empty: bool = True, binary: bool = False) -> DataFrame:
+    """The documents of ``lines_to_documents`` as ``doc, start, text``, in pieces of ``PIECE`` symbols.
+
+    Lines are placed inside their split by running sums.  A document that goes on from the split
+    before starts there by what one summary row per split tells; so no task sees more of a
+    document than a split of lines or a piece."""
+    is_break = F.col("line").startswith(HEADER) | (F.col("line") == "")
+    text = F.when(is_break, "").otherwise(F.col("line"))
+    text = text.cast("binary") if binary else text
+    sized = lines.select("file", "split", "line_no", is_break.cast("long").alias("is_break"), text.alias("text")).withColumn(
+        "size", F.length("text").cast("long"))
+    before = Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    inside = scratch.save(
+        sized.withColumns({"breaks_before": F.coalesce(F.sum("is_break").over(before), F.lit(0)),
+                           "size_before": F.coalesce(F.sum("size").over(before), F.lit(0))})
+        .withColumn("broken_at", F.max(F.when(F.col("is_break") == 1, F.col("size_before"))).over(before)), "lines-in-splits")
+    splits = inside.groupBy("file", "split").agg(
+        F.sum("is_break").alias("breaks"), F.sum("size").alias("size"),
+        F.max(F.when(F.col("is_break") == 1, F.col("size_before"))).alias("broken_at"))
+    n = splits.count()
+    order = ["file", "split"]
+    counted = ordered_index(ordered_index(splits, order, "first_doc", scratch, n, weight="breaks"), order, "symbols_before",
+                            scratch, n, weight="size")
+    counted = scratch.save(counted, "splits")
+    # where the last document that a split opens starts, for the splits that it goes on in
+    opened = counted.filter("breaks > 0").select((F.col("first_doc") + F.col("breaks")).alias("first_doc"),
+                                                 (F.col("symbols_before") + F.col("broken_at")).alias("opened_at"))
+    carried = counted.join(opened, "first_doc", "left").select(
+        *order, "first_doc", (F.col("symbols_before") - F.coalesce("opened_at", F.lit(0))).alias("carry"))
+    placed = inside.join(carried, order).select(
+        (F.col("first_doc") + F.col("breaks_before")).alias("doc"),
+        F.coalesce(F.col("size_before") - F.col("broken_at"), F.col("carry") + F.col("size_before")).alias("start"), "text")
+    # a break is an empty text of the document that it closes, which keeps the empty ones
+    docs = reblocked(placed, pc.PIECE, empty=True).select("doc", (F.col("block") * pc.PIECE).alias("start"), "text")
+    return docs if keep_leading_empty else docs.filter((F.col("doc") > 0) | (F.length("text") > 0))
+
+
 def read_collection(spark: SparkSession, path: str, drop_unterminated: bool = False,
-                    keep_leading_empty: bool = True, binary: bool = False) -> DataFrame:
+                    keep_leading_empty: bool = True, binary: bool = False, pieces: bool | None = False) -> DataFrame:
     """Documents of a FASTA or plain text file; with ``binary`` their symbols are bytes,
-    which need not be UTF-8."""
+    which need not be UTF-8.
+
+    ``pieces``: whether they come as ``doc, start, text`` instead of one cell each, so that a document may
+    be longer than a cell or a split; None: if one of them is longer than a piece."""
     scratch = Scratch(spark)
     lines = read_lines(spark, path)
     if drop_unterminated:
         lines = _without_unterminated(lines, scratch)
+    if pieces is not False:
+        docs = scratch.save(lines_to_pieces(lines, scratch, keep_leading_empty, binary), "pieces")
+        return docs if pieces or docs.filter("start > 0").head(1) else docs.drop("start")
     docs = lines_to_documents(lines, scratch, keep_leading_empty)
     return scratch.save(docs.withColumn("text", F.col("text").cast("binary")) if binary else docs, "documents")
 
@@ -139,20 +184,22 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[str, str]:
 
 
 def prefix_limit(collection: DataFrame, prefix: int, scratch: Scratch | None = None) -> DataFrame:
-    """The first ``prefix`` symbols of the collection, one separator per document
+    """The first ``prefix`` symbols of the collection, whole or in pieces, one separator per document
     counted; the document at the cut is shortened so that its separator fits, and left
     out if nothing but the separator is left of it."""
     scratch = scratch or Scratch(collection.sparkSession)
-    sizes = collection.select("doc", (F.length("text") + 1).cast("long").alias("size"))
+    sizes = collection.groupBy("doc").agg((F.sum(F.length("text").cast("long")) + 1).alias("size"))
     starts = ordered_index(sizes, ["doc"], "start", scratch, collection.count(), weight="size")
     # a document that would be cut to nothing does not count, an empty one does
     fits = (F.col("start") < prefix - 1) | ((F.col("start") == prefix - 1) & (F.col("size") == 1))
     cut = starts.filter(fits).agg(
         F.max("doc").alias("doc"), F.max_by("start", "doc").alias("start")).first()
     if cut.doc is None:
-        return collection.select("doc", "text").filter(F.lit(False))
+        return pc.relation(collection).filter(F.lit(False))
     # only the last kept document is shortened, and no text is shuffled
     room = max(prefix - 1 - cut.start, 0)
-    return collection.filter(F.col("doc") <= cut.doc).select(
-        "doc", F.when(F.col("doc") == cut.doc, F.substring("text", 1, min(room, (1 << 31) - 1)))
-        .otherwise(F.col("text")).alias("text"))
+    last, at = F.col("doc") == cut.doc, F.col("start") if in_pieces(collection) else F.lit(0)
+    left = F.least(F.lit(room) - at, F.lit((1 << 31) - 1)).cast("int")
+    kept = (F.col("doc") < cut.doc) | (last & ((at == 0) | (at < room)))
+    return collection.filter(kept).select(
+        *pc.key_columns(collection), F.when(last, F.substring(F.col("text"), F.lit(1), left)).otherwise(F.col("text")).alias("text"))

@@ -1,9 +1,12 @@
 """Hand-derived vectors; '.' stands for the separator symbol."""
 
+import random
+
 import numpy as np
 import pytest
 
 from brute import bwt as brute_bwt
+from suffixloom.operators import joint_matching as jm, pieces as pc
 from suffixloom.plans.compressed import CompressedBwt
 from suffixloom.plans.job import run_job
 from suffixloom.plans.planner import bwt
@@ -227,3 +230,60 @@ def test_relations_of_two_documents(collection, base):
         (0, 3, True), (1, 2, False), (3, 1, True), (126, 2, True)]
     assert symbols(plan.bwt()) == "ATC..AAC"
     assert sum(r.run_len for r in plan.rl_bwt().collect()) == 8
+
+
+def whole_documents(pieces):
+    """The documents of a collection in pieces, which must follow each other."""
+    got = {}
+    for r in pieces.orderBy("doc", "start").collect():
+        assert r.start % pc.PIECE == 0 and len(r.text) <= pc.PIECE and len(got.get(r.doc, "")) == r.start
+        got[r.doc] = got.get(r.doc, "") + (r.text if isinstance(r.text, str) else bytes(r.text).decode())
+    return [got[d] for d in sorted(got)]
+
+
+@pytest.mark.parametrize("as_bytes", [False, True])
+def test_documents_in_pieces(spark, tmp_path, monkeypatch, as_bytes):
+    """Records longer than a piece and than a split, empty ones and a leading header."""
+    monkeypatch.setattr(pc, "PIECE", 16)
+    rnd = random.Random(3)
+    want = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in (400, 0, 16, 33, 1, 250, 0, 32, 15)]
+    data = "".join(f">{i}\n" + "".join(t[k:k + 7] + "\n" for k in range(0, len(t), 7)) for i, t in enumerate(want))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        read = read_collection(spark, write(tmp_path, data.encode()), binary=as_bytes, pieces=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    docs = ["", *want]
+    assert whole_documents(read) == docs
+    assert symbols(rank_suffixes(read).bwt()) == brute_bwt_text(docs)
+    for limit, cut in ((1, [""]), (18, ["", want[0][:16]]), (19, ["", want[0][:17]]), (402, docs[:2]), (405, [*docs[:3], want[2][:1]])):
+        assert whole_documents(prefix_limit(read, limit)) == cut
+
+
+def brute_bwt_text(docs):
+    return "".join(brute_bwt(docs)).replace("\x02", ".")
+
+
+def test_pieces_only_where_a_document_is_long(spark, tmp_path, monkeypatch):
+    path = write(tmp_path, b">a\nACGT\nAC\n\n>b\nACGA\n")
+    assert read_collection(spark, path, pieces=None).columns == ["doc", "text"]
+    assert texts(read_collection(spark, path, pieces=None)) == texts(read_collection(spark, path))
+    assert read_collection(spark, path, pieces=True).filter("text = ''").count() == 2
+    assert read_collection(spark, path, keep_leading_empty=False, pieces=True).filter("doc = 0").count() == 0
+    monkeypatch.setattr(pc, "PIECE", 4)
+    assert read_collection(spark, path, pieces=None).columns == ["doc", "start", "text"]
+
+
+@pytest.mark.parametrize("strategy", [None, "heads"])
+def test_job_over_documents_in_pieces(spark, tmp_path, monkeypatch, strategy):
+    """Documents that span blocks are matched and ranked as whole ones are."""
+    monkeypatch.setattr(pc, "PIECE", 16)
+    monkeypatch.setattr(jm, "POSITIONS", 8)
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("ACGT") for _ in range(90))
+    docs = ["", text, text[:40] + "T" + text[41:], text[5:80], text[16:32]]
+    base, path = write(tmp_path, f">base\n{text}\n".encode(), "base.fa"), write(
+        tmp_path, "".join(f">{i}\n{t}\n" for i, t in enumerate(docs[1:])).encode())
+    out = run_job(spark, write(tmp_path, f"{base}\n{path}\n".encode(), "job"), str(tmp_path / "out"), strategy=strategy)
+    assert symbols(spark.read.parquet(out)) == brute_bwt_text(docs)
