@@ -7,7 +7,7 @@ base suffixes) and share nothing with the Spark plans.
 from __future__ import annotations
 
 from .operators.base_index import BLOCK
-from .queries import PREFIX
+from .queries import PREFIX, RECORD_PIECE
 
 COLLECTIONS = {
     "benchmark": "SELECT item_id AS doc, text AS t FROM benchmark",
@@ -19,6 +19,9 @@ COLLECTIONS = {
     "conversations": "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS doc, text AS t FROM conversations",
     "pages": "SELECT page_id AS doc, html AS t FROM pages",
     "documents": "SELECT doc_id AS doc, text AS t FROM documents",
+    # the names of each nation's customers as one record
+    "records": "SELECT row_number() OVER (ORDER BY c_nationkey) AS doc, string_agg(c_name, '' ORDER BY c_custkey) AS t "
+               "FROM customer GROUP BY c_nationkey",
 }
 
 
@@ -249,6 +252,8 @@ SOURCE_SQL = {
                   FROM numbered GROUP BY doc_ord)
         SELECT doc_ord, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5
         FROM texts WHERE closed = 1 OR text <> ''""",
+    "pieces_scan": f"""WITH docs AS ({COLLECTIONS['records']}) SELECT doc AS doc_ord, start, substr(t, start + 1, {RECORD_PIECE}) AS text
+        FROM (SELECT doc, t, unnest(generate_series(0, length(t) - 1, {RECORD_PIECE})) AS start FROM docs)""",
     "prefix_limit": limited("documents", PREFIX) +
         " SELECT doc AS doc_ord, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM docs",
     "alphabet_augment": """SELECT CAST(code AS BIGINT) AS code FROM (
@@ -274,11 +279,14 @@ def oracles() -> dict[str, str]:
         # the header that opens the first file closes an empty document
         "bwt_job": f"WITH docs AS (SELECT -1 AS doc, '' AS t UNION ALL {COLLECTIONS['customer']}), "
                    f"sorted AS ({sorted_suffixes()}) SELECT bwt_idx, ch FROM sorted",
+        "bwt_pieces": bwt_sql("records"),
+        "rl_bwt_heads_pieces": rl_bwt_sql("records"),
         "bwt_part_files": bwt_sql("supplier"),
         "rl_bwt_part_files": rl_bwt_sql("supplier"),
     }
     benchmark = head_queries("benchmark")
     out["matching_statistics_joint"], out["insert_heads_joint"] = benchmark["matching_statistics"], benchmark["insert_heads"]
+    out["matching_statistics_pieces"] = head_queries("records")["matching_statistics"]
     out["matching_statistics_conversations"] = head_queries("conversations")["matching_statistics"]
     out["rl_bwt_heads_conversations"] = rl_bwt_sql("conversations")
     for name in ("part", "customer", "nation", "events", "conversations"):

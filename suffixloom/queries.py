@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.symbols import symbol_column
 from .operators import base_index as bi, heads as hd
+from .operators.pieces import reblocked
 from .plans.compressed import CompressedBwt
 from .plans.job import run_job
 from .plans.planner import bwt
@@ -17,6 +18,7 @@ from .sources.collections import from_table, prefix_limit, read_base, read_colle
 from .sources.sinks import write_bwt_parts, write_rl_bwt_parts
 
 PREFIX = 1_000_000
+RECORD_PIECE = 512  # symbols of a piece of the long records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -347,6 +349,45 @@ def job(spark, sf_dir):
     return spark.read.parquet(run_job(spark, manifest))
 
 
+def as_long_records(spark: SparkSession, sf_dir: str, scratch: Scratch) -> str:
+    """One FASTA record per nation, whose lines are the names of its customers."""
+    names = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name")
+    heads = names.groupBy("c_nationkey").agg(F.min("c_custkey").alias("c_custkey")).select(
+        "c_nationkey", "c_custkey", F.concat(F.lit(">"), F.col("c_nationkey").cast("string"), F.lit("\n")).alias("head"))
+    lines = names.join(heads, ["c_nationkey", "c_custkey"], "left").repartitionByRange(
+        8, "c_nationkey", "c_custkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    lines.select(F.concat(F.coalesce("head", F.lit("")), "c_name").alias("value")).write.text(f"{scratch.path}/records")
+    return f"{scratch.path}/records"
+
+
+def long_records(spark, sf_dir) -> DataFrame:
+    """The records in pieces; no row, task or split needs to hold one of them."""
+    return read_collection(spark, as_long_records(spark, sf_dir, Scratch(spark)), keep_leading_empty=False, pieces=True,
+                           size=RECORD_PIECE)
+
+
+def pieces_scan(spark, sf_dir):
+    return long_records(spark, sf_dir).select(F.col("doc").alias("doc_ord"), "start", "text")
+
+
+def bwt_pieces(spark, sf_dir):
+    return bwt(long_records(spark, sf_dir)).bwt()
+
+
+def _pieces_by_heads(spark, sf_dir) -> CompressedBwt:
+    """Long records against the first one."""
+    records = long_records(spark, sf_dir)
+    return CompressedBwt(records, reblocked(records.filter("doc = 1"), bi.BLOCK).select("block", "text"))
+
+
+def matching_statistics_pieces(spark, sf_dir):
+    return _pieces_by_heads(spark, sf_dir).matches.withColumnRenamed("doc", "doc_ord")
+
+
+def rl_bwt_heads_pieces(spark, sf_dir):
+    return _pieces_by_heads(spark, sf_dir).rl_bwt()
+
+
 def _parts(spark: SparkSession, path: str) -> DataFrame:
     """``at, content`` of part files, whose names tell the place of their first byte."""
     return spark.read.format("binaryFile").load(path).select(
@@ -435,6 +476,10 @@ QUERIES = {
     "matching_statistics_joint": matching_statistics_joint,
     "insert_heads_joint": insert_heads_joint,
     "bwt_job": job,
+    "pieces_scan": pieces_scan,
+    "bwt_pieces": bwt_pieces,
+    "matching_statistics_pieces": matching_statistics_pieces,
+    "rl_bwt_heads_pieces": rl_bwt_heads_pieces,
     "bwt_part_files": bwt_part_files,
     "rl_bwt_part_files": rl_bwt_part_files,
 }

@@ -73,8 +73,9 @@ def lines_to_documents(lines: DataFrame, scratch: Scratch, keep_leading_empty: b
     return docs if keep_leading_empty else docs.filter((F.col("doc") > 0) | (F.col("text") != ""))
 
 
-def lines_to_pieces(lines: DataFrame, scratch: Scratch, keep_leading_empty: bool = True, binary: bool = False) -> DataFrame:
-    """The documents of ``lines_to_documents`` as ``doc, start, text``, in pieces of ``PIECE`` symbols.
+def lines_to_pieces(lines: DataFrame, scratch: Scratch, keep_leading_empty: bool = True, binary: bool = False,
+                    size: int | None = None) -> DataFrame:
+    """The documents of ``lines_to_documents`` as ``doc, start, text``, in pieces of ``size`` symbols (by default ``PIECE``).
 
     Lines are placed inside their split by running sums.  A document that goes on from the split
     before starts there by what one summary row per split tells; so no task sees more of a
@@ -106,23 +107,25 @@ def lines_to_pieces(lines: DataFrame, scratch: Scratch, keep_leading_empty: bool
         (F.col("first_doc") + F.col("breaks_before")).alias("doc"),
         F.coalesce(F.col("size_before") - F.col("broken_at"), F.col("carry") + F.col("size_before")).alias("start"), "text")
     # a break is an empty text of the document that it closes, which keeps the empty ones
-    docs = reblocked(placed, pc.PIECE, empty=True).select("doc", (F.col("block") * pc.PIECE).alias("start"), "text")
+    size = size or pc.PIECE
+    docs = reblocked(placed, size, empty=True).select("doc", (F.col("block") * size).alias("start"), "text")
     return docs if keep_leading_empty else docs.filter((F.col("doc") > 0) | (F.length("text") > 0))
 
 
 def read_collection(spark: SparkSession, path: str, drop_unterminated: bool = False,
-                    keep_leading_empty: bool = True, binary: bool = False, pieces: bool | None = False) -> DataFrame:
+                    keep_leading_empty: bool = True, binary: bool = False, pieces: bool | None = False,
+                    size: int | None = None) -> DataFrame:
     """Documents of a FASTA or plain text file; with ``binary`` their symbols are bytes,
     which need not be UTF-8.
 
     ``pieces``: whether they come as ``doc, start, text`` instead of one cell each, so that a document may
-    be longer than a cell or a split; None: if one of them is longer than a piece."""
+    be longer than a cell or a split; None: if one of them is longer than a piece.  ``size``: symbols of a piece."""
     scratch = Scratch(spark)
     lines = read_lines(spark, path)
     if drop_unterminated:
         lines = _without_unterminated(lines, scratch)
     if pieces is not False:
-        docs = scratch.save(lines_to_pieces(lines, scratch, keep_leading_empty, binary), "pieces")
+        docs = scratch.save(lines_to_pieces(lines, scratch, keep_leading_empty, binary, size), "pieces")
         return docs if pieces or docs.filter("start > 0").head(1) else docs.drop("start")
     docs = lines_to_documents(lines, scratch, keep_leading_empty)
     return scratch.save(docs.withColumn("text", F.col("text").cast("binary")) if binary else docs, "documents")
