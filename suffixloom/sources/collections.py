@@ -7,7 +7,7 @@ read in parallel and no file passes through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import base_index as bi
 from ..operators.base_index import base_symbols, concat_base
