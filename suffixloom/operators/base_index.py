@@ -152,9 +152,9 @@ def _lcp_array(index: DataFrame):
     n, most = index.count(), max_index_symbols(index.sparkSession)
     if n > most + 2:
         raise BaseTooLong(f"index of {n} suffixes")
-    rows = index.select("isa", "lcp").toPandas()
-    lcp = np.full(len(rows) + 1, -1, dtype=np.int64)
-    lcp[rows.isa.to_numpy()] = rows.lcp.to_numpy()
+    rows = index.select("isa", "lcp").toArrow()
+    lcp = np.full(rows.num_rows + 1, -1, dtype=np.int64)
+    lcp[rows["isa"].to_numpy()] = rows["lcp"].to_numpy()
     return index.sparkSession.sparkContext.broadcast(lcp)
 
 

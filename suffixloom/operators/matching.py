@@ -33,12 +33,13 @@ def base_arrays(index: DataFrame, base: BaseString) -> SimpleNamespace:
     """The base index as arrays for the Python workers: ``codes`` (symbols, then -1),
     ``sa``, ``isa``, ``lcp`` (ended by -1) and ``steps``: the sorted values
     symbol * (n + 1) + rank of each suffix and the symbol before it."""
-    rows = index.select("pos", "isa", "lcp").toPandas()  # n rows, n is bounded
+    rows = index.select("pos", "isa", "lcp").toArrow()  # n rows, n is bounded
     n = base.n
+    pos, rank = rows["pos"].to_numpy(), rows["isa"].to_numpy()
     sa, isa = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    sa[rows.isa], isa[rows.pos] = rows.pos, rows.isa
+    sa[rank], isa[pos] = pos, rank
     lcp = np.full(n + 1, -1, dtype=np.int64)
-    lcp[rows.isa] = rows.lcp
+    lcp[rank] = rows["lcp"].to_numpy()
     codes = np.append(base.codes, -1)
     ranks = np.flatnonzero(sa > 0)
     steps = np.sort(codes[sa[ranks] - 1] * (n + 1) + ranks)

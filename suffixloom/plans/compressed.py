@@ -12,7 +12,7 @@ from ..operators import base_index as bi, buckets as bk, heads as hd, joint_matc
 from ..operators.pieces import in_pieces, key_columns, relation
 from ..operators.suffixes import require_unique_keys
 from ..operators.runs import expand_runs, rl_bwt_columns, runs_of
-from ..session import Scratch, max_index_symbols, spread
+from ..session import Scratch, broadcast_symbols, spread
 
 
 @dataclass
@@ -42,7 +42,7 @@ class CompressedBwt:
     def broadcasts(self) -> bool:
         """Whether documents are matched against a broadcast index; the base must be short enough for it
         and the documents whole."""
-        fits = self.base.symbols <= max_index_symbols(self.spark)
+        fits = self.base.symbols <= broadcast_symbols(self.spark)
         return fits and self.broadcast is not False and not in_pieces(self.collection)
 
     @cached_property

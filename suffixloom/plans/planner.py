@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.base_index import base_symbols
 from ..operators.matching import insert_heads
 from ..operators.pieces import in_pieces
-from ..session import max_index_symbols
+from ..session import broadcast_symbols
 from ..sources.collections import prefix_limit
 from .compressed import CompressedBwt
 from .suffix_sort import rank_suffixes
@@ -21,7 +21,7 @@ def choose(collection: DataFrame, base: DataFrame | None) -> CompressedBwt | Non
     """The heads plan, with its index built, if the base is short enough for a broadcast and the
     documents match it well: a share of them, picked by a hash of their key, tells.  With a longer
     base, or documents in pieces, the heads plan would rank all suffixes to find the heads, so ranking them is the plan."""
-    if base is None or in_pieces(collection) or not 0 < base_symbols(base) <= max_index_symbols(collection.sparkSession):
+    if base is None or in_pieces(collection) or not 0 < base_symbols(base) <= broadcast_symbols(collection.sparkSession):
         return None
     plan = CompressedBwt(collection, base)
     share = SAMPLE_SHARE if collection.count() >= WHOLE_BELOW else 1

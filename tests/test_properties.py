@@ -179,6 +179,13 @@ def test_too_long_a_base_falls_back(spark, collection, base):
         spark.conf.unset("spark.suffixloom.maxIndexSymbols")
 
 
+def test_the_driver_holds_a_short_index_only(collection, base):
+    """At about 100 bytes a symbol, an index of a few million symbols is more than a driver's share."""
+    docs = collection(["ACGT" * 100])
+    assert planner.choose(docs, base("ACGT" * (1 << 18) + "A")) is None
+    assert not CompressedBwt(docs, base("ACGT" * (1 << 18) + "A")).broadcasts
+
+
 def test_matching_without_a_broadcast(spark, collection, base, short_index, small_partitions, monkeypatch):
     """Both routes give the same relations; blocks, slices and windows are shorter than the base and the documents."""
     text, docs = near_copies(5, "ACGT", 140, 5, 0.1)
