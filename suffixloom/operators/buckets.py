@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import Scratch, partitions_for
+from ..session import Scratch, large, partitions_for
 from .heads import ordered_index
 
 KEY = ["isa_pos", "above", "reach", "isa_next", "next_rank"]
@@ -21,7 +21,7 @@ def bucket_counts(heads: DataFrame, index: DataFrame, scratch: Scratch, n: int)
         F.struct((F.col("pos") + F.col("run_len") + 1).alias("at"), F.lit(-1).alias("d"), F.lit(0).alias("h"))))
         .alias("e")).groupBy("e.at").agg(F.sum("e.d").alias("d"), F.max("e.h").alias("h")))
     steps = index.select("pos", F.col("isa").alias("isa_pos"), F.col("prev").alias("sym")).join(
-        edges.withColumnRenamed("at", "pos"), "pos", "left").fillna(0, ["d", "h"])
+        large(edges.withColumnRenamed("at", "pos")), "pos", "left").fillna(0, ["d", "h"])
     summed = ordered_index(steps, ["pos"], "below", scratch, n, weight="d")
     return (summed.select("pos", "isa_pos", "sym", (F.col("below") + F.col("d")).alias("cnt"),
                           (F.col("h") == 1).alias("has_head")).filter("cnt > 0"))
@@ -42,8 +42,8 @@ def expand_nonheads(heads: DataFrame, buckets: DataFrame, scratch: Scratch, n: i
     lo = marked.select("pos", (F.col("before") + F.col("h")).alias("lo"))
     hi = marked.select(F.col("pos").alias("end"), (F.col("before") + F.col("h") - 1).alias("hi"))
     numbered = marked.filter("h = 1").select(F.col("before").alias("k"), F.col("pos").alias("b_pos"), "b_isa", "sym")
-    spans = (runs.withColumn("end", F.col("pos") + F.col("run_len")).join(lo, "pos").join(hi, "end")
-             .filter("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi"))).join(numbered, "k"))
+    spans = (runs.withColumn("end", F.col("pos") + F.col("run_len")).join(large(lo), "pos").join(large(hi), "end")
+             .filter("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi"))).join(large(numbered), "k"))
     gone = F.col("b_pos") - F.col("pos")
     return spans.select(
         F.col("b_pos").alias("pos"), F.col("b_isa").alias("isa_pos"), "sym", (~F.col("smaller")).cast("long").alias("above"),
@@ -66,14 +66,14 @@ def placed_nonheads(heads: DataFrame, expanded: DataFrame) -> DataFrame:
     first four parts of the key need the successor ranks of their members."""
     four = KEY[:4]
     taken = placed_heads(heads).filter("reach <> 0").select(*four).distinct()
-    free = (expanded.join(taken, four, "left_anti").groupBy("pos", "sym", *four).agg(F.sum("cnt").alias("weight"))
+    free = (expanded.join(large(taken), four, "left_anti").groupBy("pos", "sym", *four).agg(F.sum("cnt").alias("weight"))
             .withColumn("next_rank", F.lit(-1).cast("long")))
     # equal documents share all of this, so their members are counted before they are joined
     members = heads.groupBy(
         F.col("pos").alias("r_pos"), F.col("len").alias("r_len"), F.col("smaller").alias("r_smaller"),
         F.col("run_len").alias("r_run"), "isa_next", "next_rank").agg(F.count("*").alias("members"))
-    tied = (expanded.join(taken, four, "left_semi")
-            .join(members, ["r_pos", "r_len", "r_smaller", "r_run", "isa_next"])
+    tied = (expanded.join(large(taken), four, "left_semi")
+            .join(large(members), ["r_pos", "r_len", "r_smaller", "r_run", "isa_next"])
             .groupBy("pos", "sym", *KEY).agg(F.sum("members").alias("weight")))
     return free.unionByName(tied)
 

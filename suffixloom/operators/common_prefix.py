@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.symbols import Alphabet
-from ..session import Scratch
+from ..session import Scratch, large
 from .ranking import STEPS
 
 PAIR = ["a_doc", "a_off", "b_doc", "b_off"]
@@ -35,7 +35,7 @@ def _same_rank(pairs: DataFrame, ranks: DataFrame, flag: str) -> DataFrame:
     a = ranks.select(F.col("doc").alias("a_doc"), F.col("off").alias("a_at"), F.col("rk").alias("a_rk"))
     b = ranks.select(F.col("doc").alias("b_doc"), F.col("off").alias("b_at"), F.col("rk").alias("b_rk"))
     found = (pairs.withColumns({"a_at": F.col("a_off") + F.col("n"), "b_at": F.col("b_off") + F.col("n")})
-             .join(a, ["a_doc", "a_at"], "left").join(b, ["b_doc", "b_at"], "left"))
+             .join(large(a), ["a_doc", "a_at"], "left").join(large(b), ["b_doc", "b_at"], "left"))
     return found.withColumn(flag, F.coalesce(F.col("a_rk") == F.col("b_rk"), F.lit(False))).drop("a_at", "b_at", "a_rk", "b_rk")
 
 
@@ -82,7 +82,7 @@ def common_prefix(pairs: DataFrame, history: History, scratch: Scratch) -> DataF
     a = keys.select(F.col("doc").alias("a_doc"), F.col("off").alias("a_at"), F.col("k1").alias("a1"), F.col("k2").alias("a2"))
     b = keys.select(F.col("doc").alias("b_doc"), F.col("off").alias("b_at"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
     last = (every.withColumns({"a_at": F.col("a_off") + F.col("n"), "b_at": F.col("b_off") + F.col("n")})
-            .join(a, ["a_doc", "a_at"]).join(b, ["b_doc", "b_at"]))
+            .join(large(a), ["a_doc", "a_at"]).join(large(b), ["b_doc", "b_at"]))
     one = _agreeing(F.col("a1"), F.col("b1"), history.alphabet)
     two = _agreeing(F.col("a2"), F.col("b2"), history.alphabet)
     more = one + F.when(F.col("a1") == F.col("b1"), two).otherwise(0)  # after an end there are no symbols

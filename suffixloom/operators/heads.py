@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import Scratch, partitions_for
+from ..session import Scratch, large, partitions_for
 from .matching import head_key
 from .ranking import rank_sequences
 
@@ -28,7 +28,7 @@ def rank_heads(heads: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
 def with_next_rank(heads: DataFrame, ranks: DataFrame) -> DataFrame:
     """Add the rank of each head's successor head."""
     succ = ranks.select("doc", F.col("off").alias("next_off"), F.col("rank").alias("next_rank"))
-    return heads.join(succ, ["doc", "next_off"])
+    return heads.join(large(succ), ["doc", "next_off"])
 
 
 def ordered_index(df: DataFrame, order: list[str], name: str, scratch: Scratch, rows: int,

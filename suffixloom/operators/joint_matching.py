@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.symbols import Alphabet
-from ..session import Scratch
+from ..session import Scratch, large
 from .base_index import BASE_DOC, BaseString, base_suffixes
 from .common_prefix import History, common_prefix
 from .heads import ordered_index
@@ -87,22 +87,22 @@ def joint_heads(matches: JointMatches, base: BaseString, index: DataFrame, scrat
     numbered = ordered_index(both, ["doc", "start"], "place", scratch, rows)
     linked = with_neighbours(numbered, "place", rows, after={"next_start": "start"})
     docs = scratch.save(numbered.groupBy("doc").agg(F.min("place").alias("first"), F.max("place").alias("last")), "first-heads")
-    known = scratch.save(linked.join(docs, "doc").select(
+    known = scratch.save(linked.join(large(docs), "doc").select(
         "doc", (F.col("place") - F.col("first")).alias("off"), (F.col("last") - F.col("first")).alias("end_off"), "start", "pos",
         "len", "smaller", "sym", F.when(F.col("is_end"), 0).otherwise(F.col("next_start") - F.col("start") - 1).alias("run_len"),
         (F.col("start") + F.col("len")).alias("reach")), "numbered-heads")
     # reaches never fall inside a document: the successor is the head after the last one with the same reach
     after = known.groupBy("doc", "reach").agg(F.max("off").alias("same_to"))
-    succ = known.join(after, ["doc", "reach"]).withColumn("next_off", F.least(F.col("same_to") + 1, F.col("end_off")))
+    succ = known.join(large(after), ["doc", "reach"]).withColumn("next_off", F.least(F.col("same_to") + 1, F.col("end_off")))
     to = known.select("doc", F.col("off").alias("next_off"), F.col("start").alias("to_start"), F.col("pos").alias("to_pos"))
-    found = succ.join(to, ["doc", "next_off"]).withColumn("target", F.col("to_pos") + F.col("reach") - F.col("to_start"))
+    found = succ.join(large(to), ["doc", "next_off"]).withColumn("target", F.col("to_pos") + F.col("reach") - F.col("to_start"))
     # separators, one a document, all stand at one place, whose rank is 0; they are not looked up
     isa = index.select(F.col("pos").alias("at"), "isa")
     last = F.lit(base.n - 1).cast("long")
 
     def ranked(df: DataFrame, at: str, name: str) -> DataFrame:
         key = F.when(F.col(at) != last, F.col(at))
-        return (df.withColumn("key", key).join(isa, F.col("key") == F.col("at"), "left")
+        return (df.withColumn("key", key).join(large(isa), F.col("key") == F.col("at"), "left")
                 .withColumn(name, F.coalesce("isa", zero)).drop("key", "at", "isa"))
 
     return ranked(ranked(found, "pos", "isa_pos"), "target", "isa_next").select(

@@ -62,7 +62,7 @@ def lines_to_documents(lines: DataFrame, scratch: Scratch, keep_leading_empty: b
     starts = ordered_index(splits, ["file", "split"], "first_doc", scratch, splits.count(), weight="breaks")
     before = Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = (broken.withColumn("breaks_before", F.coalesce(F.sum("is_break").over(before), F.lit(0)))
-              .join(starts.select("file", "split", "first_doc"), ["file", "split"])
+              .join(F.broadcast(starts.select("file", "split", "first_doc")), ["file", "split"])
               .withColumn("doc", F.col("first_doc") + F.col("breaks_before")))
     docs = placed.groupBy("doc").agg(
         F.max("is_break").alias("closed"),
@@ -103,7 +103,7 @@ def lines_to_pieces(lines: DataFrame, scratch: Scratch, keep_leading_empty: bool
                                                  (F.col("symbols_before") + F.col("broken_at")).alias("opened_at"))
     carried = counted.join(opened, "first_doc", "left").select(
         *order, "first_doc", (F.col("symbols_before") - F.coalesce("opened_at", F.lit(0))).alias("carry"))
-    placed = inside.join(carried, order).select(
+    placed = inside.join(F.broadcast(carried), order).select(  # one row per split
         (F.col("first_doc") + F.col("breaks_before")).alias("doc"),
         F.coalesce(F.col("size_before") - F.col("broken_at"), F.col("carry") + F.col("size_before")).alias("start"), "text")
     # a break is an empty text of the document that it closes, which keeps the empty ones

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 import brute
 from suffixloom import queries
 from suffixloom.functions.nearest import nearest_smaller
+from suffixloom.functions.symbols import Alphabet
 from suffixloom.operators import base_index as bi, joint_matching as jm
+from suffixloom.operators.common_prefix import History, common_prefix
 from suffixloom.plans import planner
 from suffixloom.plans.compressed import CompressedBwt
 from suffixloom.plans.suffix_sort import rank_suffixes
 from suffixloom.operators.slices import with_nearest, with_neighbours
+from suffixloom.operators.suffixes import suffix_rows
 from suffixloom.session import Scratch
 
 
@@ -279,3 +282,13 @@ def test_scratch_tables_can_be_dropped(collection):
     assert os.path.exists(ranked.scratch.path)
     ranked.close()
     assert not os.path.exists(ranked.scratch.path)
+
+
+def test_rows_made_from_texts_are_not_collected_for_a_join(spark, collection):
+    """Texts that compress well make many suffix rows, which Spark takes for as small as the texts."""
+    alphabet, scratch = Alphabet((65, 67, 71, 84)), Scratch(spark)
+    keys = suffix_rows(scratch.save(collection(["ACGT" * 200, "CGTA" * 30]), "texts"), alphabet).select("doc", "off", "k1", "k2")
+    pairs = scratch.save(spark.createDataFrame([(0, 0, 0, 4), (0, 790, 1, 109)], "a_doc long, a_off long, b_doc long, b_off long"), "pairs")
+    shared = common_prefix(pairs, History(keys, alphabet), scratch)
+    assert "BroadcastExchange" not in shared._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a_off, r.n) for r in shared.collect()} == {(0, 42), (790, 10)}
