@@ -292,3 +292,29 @@ def test_rows_made_from_texts_are_not_collected_for_a_join(spark, collection):
     shared = common_prefix(pairs, History(keys, alphabet), scratch)
     assert "BroadcastExchange" not in shared._jdf.queryExecution().executedPlan().toString()
     assert {(r.a_off, r.n) for r in shared.collect()} == {(0, 42), (790, 10)}
+
+
+def test_rounds_leave_no_shuffle_files(spark, collection, small_partitions, monkeypatch):
+    """What a round has sorted is saved, so its shuffle files need not wait for the end of the job."""
+    import time
+    from pathlib import Path
+
+    from suffixloom import session
+
+    monkeypatch.setattr(session, "FREE_ROWS", 1, raising=False)
+    small_partitions(100)
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffles():
+        return {int(f.name.split("_")[1]) for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+    docs = collection(["ACGT" * 200, "CGTA" * 30, "TTACG" * 40])
+    docs.repartition(2, "doc").count()
+    before = max(shuffles())
+    ranked = rank_suffixes(docs)
+    for _ in range(40):
+        left = [i for i in shuffles() if i > before]
+        if len(left) <= 2:  # those of the last round's small steps
+            break
+        time.sleep(0.5)
+    assert len(left) <= 2 and ranked.rows == 800 + 120 + 200 + 3
