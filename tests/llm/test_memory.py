@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from suffixloom.llm import ngram_join as nj, rolling
+from suffixloom.llm import ngram_join as nj, resampling as rs, rolling
 from suffixloom.llm.arrow import slices
 
 
@@ -39,3 +39,18 @@ def test_many_long_texts_in_one_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200 << 20
+
+
+def test_features_of_more_words_than_are_remembered():
+    n, words = 64, 20_000
+    assert n * words > 2 * rs.REMEMBERED
+    batch = pa.RecordBatch.from_pydict({
+        "own": [None] * n, "id": list(range(n)),
+        "text": [" ".join(f"w{i}" for i in range(k * words, (k + 1) * words)) for k in range(n)]})
+    run = rs._features((1, 1), rs.BUCKETS, ["own", "id"])
+    list(run([batch.slice(0, 1)]))  # what is kept for good
+    tracemalloc.start()
+    assert sum(sum(p.column("n_words").to_pylist()) for p in run([batch])) == n * words
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
