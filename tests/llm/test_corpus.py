@@ -112,6 +112,18 @@ def test_suffix_dedup(table, rows, prose, monkeypatch, group, block, bucket):
     assert [(*r[:4], bytes(r[4])) for r in got] == brute_dedup(data, span)
 
 
+def test_suffix_dedup_counts_bytes_not_words(table, rows, prose):
+    """A passage of over 50 words in two documents goes if it has 400 bytes, and stays if it has fewer."""
+    lines = [" ".join(f"{i:05d}" for i in range(k, k + 70)) for k in (0, 1000)]
+    long, short, exact, less = prose(21, 90), " ".join(map(str, range(2000, 2060))), lines[0][:400], lines[1][:399]
+    assert len(long.encode()) > 400 > len(short) and min(len(p.split()) for p in (long, short, exact, less)) > 50
+    passages = [long, long, short, short, exact, exact, less, less, prose(99, 90)]
+    data = [(i, f"{prose(30 + i, 40)}{chr(65 + i)}{p}{chr(75 + i)}{prose(60 + i, 40)}") for i, p in enumerate(passages)]
+    got = rows(sd.suffix_dedup(table(data)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    assert [(*r[:4], bytes(r[4])) for r in got] == brute_dedup(data, 400)
+    assert [r[2] for r in got] == [len(p.encode()) if p in (long, exact) else 0 for p in passages]
+
+
 def test_suffix_dedup_of_nothing(table):
     assert sd.suffix_dedup(table([])).count() == 0
     assert [r.n_removed for r in sd.suffix_dedup(table([(1, "a")])).collect()] == [0]
