@@ -7,8 +7,9 @@ that alignment to byte spans of the original.
 
 No piece has the word mark after another character, so merges never cross the start of
 a run of word marks: texts are cut there into units, which are encoded by themselves and
-remembered in a cache of two generations whose size is a parameter.  The units that some
-rows add to the cache are merged in lockstep, one merge of each at a time.
+remembered in a cache of two generations whose size is a parameter.  The rows of a batch
+stand side by side in arrays: their units are named by a dictionary, and those that the
+cache lacks are merged in lockstep, one merge of each at a time.
 
 Row-wise and without exchange: an executor holds the model, its cache and a few rows.
 
@@ -22,25 +23,28 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from array import array
+import sys
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 from .arrow import add_columns
 
 MARK = "▁"
-#: Units in a generation of a Python worker's cache, about 350 bytes each.
+#: Units in a generation of a Python worker's cache.
 CACHED_UNITS = 300_000
 NEVER = float("-inf")
 #: Units longer than this are merged with a heap and not cached.
 LONG_UNIT = 48
 #: Units of about one length that are merged in lockstep.
-LOCKSTEP = 1024
+LOCKSTEP = 2048
 # Fixed values of the model file's format: piece types and the BPE model type.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -102,6 +106,17 @@ class CharMap:
         return size, self.texts[start:self.texts.index(b"\0", start)]
 
 
+class Aligned(NamedTuple):
+    """Normalised texts one after the other: their bytes, where each text stops, and the step that each byte comes from;
+    of each step the start and end of its source bytes in its text."""
+
+    normal: bytes
+    stops: np.ndarray
+    of: np.ndarray
+    first: np.ndarray
+    after: np.ndarray
+
+
 @dataclass
 class Normalizer:
     charmap: CharMap | None = None
@@ -127,21 +142,36 @@ class Normalizer:
         return normal, starts.tolist(), ends.tolist()
 
     def align_arrays(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """As ``align``.  Without a map each step is one character: they are aligned all at once."""
+        """As ``align``, as arrays."""
+        own = self.align_texts([text])
+        return own.normal, own.first[own.of], own.after[own.of]
+
+    def align_texts(self, texts: list[str]) -> "Aligned":
+        """The texts one after the other.  Without a map each step is one character: they are aligned all at once."""
+        data = [text.encode() for text in texts]
         if self.charmap is None and not self.squeeze:
-            return self._align_characters(text.encode())
-        normal, starts, ends = self._align_steps(text.encode())
-        return normal, np.array(starts, np.int64), np.array(ends, np.int64)
+            return self._align_characters(data)
+        steps = [self._align_steps(d) for d in data]
+        first, after = (np.array(list(chain.from_iterable(s[k] for s in steps)), np.int64) for k in (1, 2))
+        return Aligned(b"".join([s[0] for s in steps]), np.cumsum([len(s[0]) for s in steps], dtype=np.int64),
+                       np.arange(len(first)), first, after)
 
-    def _align_characters(self, data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-        mark, raw = MARK.encode() if self.escape else b" ", np.frombuffer(data, np.uint8)
+    def _align_characters(self, data: list[bytes]) -> "Aligned":
+        mark = MARK.encode() if self.escape else b" "
+        lead = mark if self.dummy_prefix else b""
+        raw, lens = np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data], np.int64)
+        begin = np.cumsum(lens) - lens
         first = np.flatnonzero((raw & 0xC0) != 0x80)
         after = np.append(first[1:], len(raw)) if len(first) else first
         sizes = np.where(raw[first] == 0x20, len(mark), after - first)
-        lead = mark if data and self.dummy_prefix else b""
-        none = np.zeros(len(lead), np.int64)
-        return (lead + data.replace(b" ", mark), np.concatenate([none, np.repeat(first, sizes)]),
-                np.concatenate([none, np.repeat(after, sizes)]))
+        text = np.repeat(begin, np.diff(np.searchsorted(first, np.append(begin, len(raw)))))  # of each character
+        first, after = first - text, after - text
+        if lead:  # a character that has no source bytes
+            at = np.flatnonzero(first == 0)
+            first, after, sizes = np.insert(first, at, 0), np.insert(after, at, 0), np.insert(sizes, at, len(lead))
+        normal = [lead + d.replace(b" ", mark) if d else b"" for d in data]
+        return Aligned(b"".join(normal), np.cumsum([len(n) for n in normal], dtype=np.int64),
+                       np.repeat(np.arange(len(first), dtype=np.int32), sizes), first, after)
 
     def _align_steps(self, data: bytes) -> tuple[bytes, list[int], list[int]]:
         out, starts, ends = bytearray(), [], []
@@ -268,16 +298,16 @@ class PieceModel:
 
     def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """Begin and end of each piece in the bytes of the text."""
-        begins, ends = self.project(ids, *self.normalizer.align_arrays(text)[1:])
+        begins, ends = self.project(ids, self.normalizer.align_texts([text]))
         return begins.tolist(), ends.tolist()
 
-    def project(self, ids: list[int], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of each piece in the source bytes, through the alignment of the normalised ones."""
+    def project(self, ids: list[int], aligned: Aligned) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each piece in the source bytes of its text, through the alignment of the normalised ones."""
         sizes = self.sizes[np.asarray(ids, np.int64)]
         stops = np.cumsum(sizes)
-        if (stops[-1] if len(stops) else 0) != len(starts):
+        if (stops[-1] if len(stops) else 0) != len(aligned.normal):
             raise ValueError("the pieces do not cover the normalised text")
-        return starts[stops - sizes], ends[stops - 1]
+        return aligned.first[aligned.of[stops - sizes]], aligned.after[aligned.of[stops - 1]]
 
     # --- decoding ---
 
@@ -314,6 +344,7 @@ class Merges:
         self.model = model
         self.symbols = dict(model.ids)
         self.spelled: list[list[int]] = []  # byte ids of the characters that are no pieces
+        self.of_code = np.full(sys.maxunicode + 1, -1, np.int32)  # the symbols of the characters seen so far
         for piece in model.ids:
             for c in piece:
                 self.symbol(c)
@@ -329,6 +360,7 @@ class Merges:
         if own is None:
             own = self.symbols[c] = len(self.model.pieces) + len(self.spelled)
             self.spelled.append([self.model.bytes_ids[b] for b in c.encode()])
+        self.of_code[ord(c)] = own
         return own
 
     def _merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -341,87 +373,200 @@ class Merges:
 
     def ids(self, units: list[str]) -> list[list[int]]:
         """The ids of the pieces of each unit."""
-        out: list[list[int]] = [[]] * len(units)
-        order = sorted(range(len(units)), key=lambda i: len(units[i]))
-        for a in range(0, len(order), LOCKSTEP):
-            own = order[a:a + LOCKSTEP]
-            for i, ids in zip(own, self._lockstep([units[i] for i in own])):
-                out[i] = ids
-        return out
+        ids, counts = self.rows(units)
+        return [own.tolist() for own in np.split(ids, np.cumsum(counts)[:-1])] if units else []
 
-    def _lockstep(self, units: list[str]) -> list[list[int]]:
+    def rows(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of all units, one unit after the other, and how many each has."""
         lens = np.fromiter(map(len, units), np.int64, len(units))
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        known, place = np.unique(codes, return_inverse=True)
-        row = np.repeat(np.arange(len(units)), lens)
-        left = np.full((len(units), lens.max() + 1), -1, np.int32)  # symbols of each unit, ended by -1
-        left[row, np.arange(len(codes)) - np.repeat(np.cumsum(lens) - lens, lens)] = np.array(
-            [self.symbol(chr(c)) for c in known], np.int32)[place]
-        out, alive = np.full_like(left, -1), np.arange(len(units))
-        merge = self._merge_of(left[:, :-1], left[:, 1:])
+        symbols = self.of_code[codes]
+        if (symbols < 0).any():
+            for c in np.unique(codes[symbols < 0]).tolist():
+                self.symbol(chr(c))
+            symbols = self.of_code[codes]
+        begin, order = np.cumsum(lens) - lens, np.argsort(lens, kind="stable")
+        found, counts = [np.zeros(0, np.int32)], np.zeros(len(units), np.int64)
+        for a in range(0, len(order), LOCKSTEP):
+            own = order[a:a + LOCKSTEP]
+            merged, counts[own] = self._lockstep(symbols, begin[own], lens[own])
+            found.append(merged)
+        sorted_counts = counts[order]
+        place = np.empty(len(units), np.int64)
+        place[order] = np.cumsum(sorted_counts) - sorted_counts
+        return self._spell(_gather(np.concatenate(found), place, counts), counts)
+
+    def _spell(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Put the byte pieces of characters that are no pieces."""
+        n = len(self.model.pieces)
+        odd = np.flatnonzero(symbols >= n)
+        if not len(odd):
+            return symbols, counts
+        spelled = [self.spelled[s - n] for s in symbols[odd].tolist()]
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[odd] = [len(ids) for ids in spelled]
+        out = np.repeat(symbols, sizes)
+        out[np.repeat(symbols >= n, sizes)] = list(chain.from_iterable(spelled))
+        stops = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+        return out, np.diff(stops)
+
+    def _lockstep(self, symbols: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge units, one merge of each at a time, and return their symbols and how many each has.  A unit is a row of linked
+        symbols between two guards of -1, as are the places behind its end and those that a merge leaves."""
+        n, width = len(lens), int(lens.max()) + 2
+        own = np.full((n, width), -1, np.int32)
+        row = np.repeat(np.arange(n), lens)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+        own[row, step + 1] = symbols[np.repeat(begin, lens) + step]
+        merge = np.full_like(own, -1)
+        merge[:, :-1] = self._merge_of(own[:, :-1], own[:, 1:])
         score = self.scores[merge]
-        while len(alive):
-            best = score.argmax(axis=1)  # of equal ones the leftmost
-            go = score[np.arange(len(alive)), best] > NEVER
-            out[alive[~go], :left.shape[1]] = left[~go]
-            alive, left, merge, score, best = alive[go], left[go], merge[go], score[go], best[go]
-            if not len(alive) or left.shape[1] < 3:  # the last column only ends the units
+        own, merge, flat = own.ravel(), merge.ravel(), score.ravel()
+        after = np.arange(1, len(own) + 1)
+        before = after - 2
+        alive = np.arange(n)
+        while True:
+            here = alive * width + score[alive].argmax(axis=1)  # of equal ones the leftmost
+            go = flat[here] > NEVER
+            alive, here = alive[go], here[go]
+            if not len(alive):
                 break
-            each, at = np.arange(len(alive)), best[:, None]
-            left[each, best] = merge[each, best]
-            column = np.arange(left.shape[1] - 1)
-            left = np.take_along_axis(left, column + (column > at), axis=1)
-            column = column[:-1]
-            merge = np.take_along_axis(merge, column + (column >= at), axis=1)
-            for here in (best - 1, best):
-                some = (here >= 0) & (here < merge.shape[1])
-                e, h = each[some], here[some]
-                merge[e, h] = self._merge_of(left[e, h], left[e, h + 1])
-            score = self.scores[merge]
-        sizes, found = (out >= 0).sum(axis=1).tolist(), out.tolist()
-        n = len(self.model.pieces)
-        spelled = (out >= n).any(axis=1).tolist()
-        return [[i for s in r[:k] for i in (self.spelled[s - n] if s >= n else (s,))] if odd else r[:k]
-                for r, k, odd in zip(found, sizes, spelled)]
+            gone = after[here]
+            own[here], own[gone], flat[gone] = merge[here], -1, NEVER
+            right = after[here] = after[gone]
+            before[right] = here
+            pair = np.concatenate([before[here], here])
+            merge[pair] = made = self._merge_of(own[pair], own[np.concatenate([here, right])])
+            flat[pair] = self.scores[made]
+        kept = own >= 0
+        return own[kept], kept.reshape(n, width).sum(axis=1)
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts`` values from each of the ``starts`` on, one run after the other."""
+    return values[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+
+
+class Rows:
+    """Growing rows of numbers."""
+
+    def __init__(self):
+        self.values, self.stops, self.n = np.zeros(1024, np.int32), np.zeros(1024, np.int64), 0
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> None:
+        at = int(self.stops[self.n])
+        self.values = self._with_room(self.values, at + len(values))
+        self.stops = self._with_room(self.stops, self.n + 1 + len(counts))
+        self.values[at:at + len(values)] = values
+        self.stops[self.n + 1:self.n + 1 + len(counts)] = at + np.cumsum(counts)
+        self.n += len(counts)
+
+    @staticmethod
+    def _with_room(values: np.ndarray, size: int) -> np.ndarray:
+        if size <= len(values):
+            return values
+        out = np.zeros(max(size, len(values) + len(values) // 2), values.dtype)
+        out[:len(values)] = values
+        return out
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = self.stops[rows]
+        counts = self.stops[rows + 1] - starts
+        return _gather(self.values, starts, counts), counts
 
 
 class UnitCache(dict):
-    """unit -> (ids as 32-bit numbers, ids as text, decoded text), in two generations."""
+    """unit -> its row in a table of ids, in two generations."""
 
     def __init__(self, model: PieceModel, size: int):
         super().__init__()
-        self.model, self.size, self.old, self.merges = model, size, {}, Merges(model)
-        self.decimal = [str(i) for i in range(len(model.pieces))]
-
-    def _entry(self, ids: list[int]):
-        return array("i", ids).tobytes(), ",".join([self.decimal[i] for i in ids]), self.model.join(ids)
-
-    def _keep(self, unit: str, entry) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[unit] = entry
+        self.model, self.size, self.merges = model, max(size, 1), Merges(model)
+        self.table, self.old, self.old_table = Rows(), {}, Rows()
+        self.decimal = pa.array([str(i) for i in range(len(model.pieces))])
+        self.surface = pa.array([bytes([s]) if isinstance(s, int) else s.encode() for s in model.surface], pa.binary())
+
+    def _keep(self, units: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        stops, at = np.append(0, np.cumsum(counts)), 0
+        while at < len(units):
+            if len(self) >= self.size:
+                self.old, self.old_table, self.table = dict(self), self.table, Rows()
+                self.clear()
+            stop = min(len(units), at + self.size - len(self))
+            self.update(zip(units[at:stop], range(self.table.n, self.table.n + stop - at)))
+            self.table.add(ids[stops[at]:stops[stop]], counts[at:stop])
+            at = stop
+
+    def rows(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different units, one unit after the other, and how many each has; those that are in neither generation
+        are encoded all at once."""
+        place = np.fromiter(map(self.get, units, repeat(-1)), np.int64, len(units))
+        known, absent = np.flatnonzero(place >= 0), np.flatnonzero(place < 0).tolist()
+        parts = [(known, *self.table.take(place[known]))]
+        place = np.fromiter((self.old.get(units[i], -1) for i in absent), np.int64, len(absent))
+        back = [i for i, p in zip(absent, place.tolist()) if p >= 0]
+        parts.append((np.array(back, np.int64), *self.old_table.take(place[place >= 0])))
+        new = [i for i, p in zip(absent, place.tolist()) if p < 0]
+        short = [i for i in new if len(units[i]) <= LONG_UNIT]
+        parts.append((np.array(short, np.int64), *self.merges.rows([units[i] for i in short])))
+        for own, (_, ids, counts) in ((back, parts[1]), (short, parts[2])):
+            self._keep([units[i] for i in own], ids, counts)
+        for i in new:
+            if len(units[i]) > LONG_UNIT:
+                ids = np.array(self.model.unit_ids(units[i]), np.int32)
+                parts.append((np.array([i]), ids, np.array([len(ids)])))
+        which, ids, counts = (np.concatenate(x) for x in zip(*parts))
+        out = np.empty(len(units), np.int64)
+        out[which] = np.arange(len(which))
+        return _gather(ids, (np.cumsum(counts) - counts)[out], counts[out]), counts[out]
 
     def take(self, units) -> dict:
-        """The entries of units; those that are in neither generation are encoded all at once."""
-        found, new = {}, []
-        for u in set(units):
-            entry = self.get(u)
-            if entry is None:
-                entry = self.old.get(u)
-                if entry is None:
-                    new.append(u)
-                    continue
-                self._keep(u, entry)
-            found[u] = entry
-        short = [u for u in new if len(u) <= LONG_UNIT]
-        for u, ids in zip(short, self.merges.ids(short)):
-            found[u] = self._entry(ids)
-            self._keep(u, found[u])
-        for u in new:
-            if len(u) > LONG_UNIT:
-                found[u] = self._entry(self.model.unit_ids(u))
-        return found
+        """unit -> (ids as 32-bit numbers, ids as text, decoded text)"""
+        units = list(dict.fromkeys(units))
+        ids, counts = self.rows(units)
+        stops = np.append(0, np.cumsum(counts))
+        return {u: (own.tobytes(), text, decoded) for u, own, text, decoded in zip(
+            units, np.split(ids, stops[1:-1]), self.texts(ids, stops).to_pylist(), self.joined(ids, stops).to_pylist())}
+
+    def texts(self, ids: np.ndarray, stops: np.ndarray) -> pa.Array:
+        """The decimal ids of each run, joined by commas."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), self.decimal.take(pa.array(ids))), ",")
+
+    def joined(self, ids: np.ndarray, stops: np.ndarray) -> pa.Array:
+        """The text of the pieces of each run."""
+        raw = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), self.surface.take(pa.array(ids)))
+        try:
+            return pc.binary_join(raw, pa.scalar(b"", pa.binary())).cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            return pa.array([self.model.join(ids[a:b].tolist()) for a, b in zip(stops[:-1], stops[1:])], pa.string())
+
+    def decoded(self, ids: np.ndarray, stops: np.ndarray) -> pa.Array:
+        text = self.joined(ids, stops)
+        if not self.model.normalizer.dummy_prefix:
+            return text
+        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+
+    def encode(self, aligned: Aligned) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of normalised texts, one text after the other, and from where to where each text has them."""
+        starts = unit_starts(aligned.normal, aligned.stops)
+        offsets = np.append(starts, len(aligned.normal))
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(aligned.normal)).dictionary_encode()
+        ids, counts = self.rows(units.dictionary.to_pylist())
+        which = units.indices.to_numpy()
+        ids, counts = _gather(ids, (np.cumsum(counts) - counts)[which], counts[which]), counts[which]
+        return ids, np.append(0, np.cumsum(counts))[np.append(0, np.searchsorted(starts, aligned.stops))]
+
+
+def unit_starts(normal: bytes, stops: np.ndarray) -> np.ndarray:
+    """Where the units of normalised texts begin: at each text and each run of word marks."""
+    data, mark = np.frombuffer(normal, np.uint8), MARK.encode()
+    here = np.ones(max(len(data) - len(mark) + 1, 0), bool)
+    for k, byte in enumerate(mark):
+        here &= data[k:k + len(here)] == byte
+    marks = np.flatnonzero(here)
+    first = np.zeros(len(data) + 1, bool)
+    first[marks[np.diff(marks, prepend=-len(mark) - 1) != len(mark)]] = True
+    first[np.append(0, stops)] = True
+    return np.flatnonzero(first[:-1])
 
 
 @lru_cache(maxsize=1)
@@ -438,6 +583,13 @@ SCHEMA = T.StructType([
 SPANS = {"begins", "ends", "spans_sha256"}
 
 
+def _sha256(*values: np.ndarray) -> str:
+    digest = sha256()
+    for v in values:
+        digest.update(v.astype("<i8", copy=False))
+    return digest.hexdigest()
+
+
 def sentencepiece(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "begins", "ends", "decoded"),
                   cached_units: int = CACHED_UNITS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (of it the columns ``keep``, if given) with ``outputs``, out of: ``n_tokens``; ``ids``; ``ids_text`` (decimal ids joined
@@ -450,30 +602,25 @@ def sentencepiece(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = (
         model = cache.model
 
         def work(texts: list) -> dict:
-            out = {c: [] for c in outputs}
-            aligned = [model.normalizer.align_arrays(text or "") for text in texts]
-            units = [model.units_of(normal) for normal, _, _ in aligned]
-            entries = cache.take(chain.from_iterable(units))
-            for (_, starts, stops), own in zip(aligned, units):
-                found = [entries[u] for u in own]
-                ids = np.frombuffer(b"".join([e[0] for e in found]), np.int32)
-                if SPANS & out.keys():
-                    begins, ends = model.project(ids, starts, stops)
-                for c in outputs:
-                    if c == "n_tokens":
-                        value = len(ids)
-                    elif c == "ids":
-                        value = ids
-                    elif c == "ids_text":
-                        value = ",".join([e[1] for e in found])
-                    elif c == "decoded":
-                        value = "".join([e[2] for e in found])
-                        value = value[1:] if model.normalizer.dummy_prefix and value.startswith(" ") else value
-                    elif c == "spans_sha256":
-                        value = sha256(begins.astype("<i8", copy=False).tobytes() + ends.astype("<i8", copy=False).tobytes()).hexdigest()
-                    else:
-                        value = begins if c == "begins" else ends
-                    out[c].append(value)
+            aligned = model.normalizer.align_texts([text or "" for text in texts])
+            ids, stops = cache.encode(aligned)
+            if SPANS & set(outputs):
+                begins, ends = model.project(ids, aligned)
+            lists = pa.array(stops, pa.int32())
+            out = {}
+            for c in outputs:
+                if c == "n_tokens":
+                    out[c] = np.diff(stops)
+                elif c == "ids":
+                    out[c] = pa.ListArray.from_arrays(lists, pa.array(ids))
+                elif c == "ids_text":
+                    out[c] = cache.texts(ids, stops)
+                elif c == "decoded":
+                    out[c] = cache.decoded(ids, stops)
+                elif c == "spans_sha256":
+                    out[c] = [_sha256(begins[a:b], ends[a:b]) for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
+                else:
+                    out[c] = pa.ListArray.from_arrays(lists, pa.array(begins if c == "begins" else ends))
             return out
         return work
 

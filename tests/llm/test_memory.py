@@ -1,13 +1,18 @@
 """What a task holds depends on bytes, not on rows."""
 
+import sys
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+from sentencepiece import SentencePieceProcessor
 
-from suffixloom.llm import ngram_join as nj, resampling as rs, rolling
+from suffixloom.llm import ngram_join as nj, pieces, resampling as rs, rolling
 from suffixloom.llm.arrow import slices
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def test_slices_cover_the_batch():
     sizes = np.random.default_rng(1).integers(0, 100, 60).tolist()
@@ -54,3 +59,40 @@ def test_features_of_more_words_than_are_remembered():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100 << 20
+
+
+def test_units_are_encoded_without_an_object_for_each(prose, monkeypatch):
+    monkeypatch.setattr(pieces, "add_columns", lambda docs, schema, make, *rest: make())
+    work = pieces.sentencepiece(None, MODEL, ("n_tokens", "ids_text", "spans_sha256"), 100_000)
+    texts = [prose(seed, 400) for seed in range(100)]
+    new = len({u for text in texts for u in pieces.cache_of(MODEL, 100_000).model.units(text)})
+    calls = 0
+
+    def count(frame, event, what):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        out = work(texts)
+    finally:
+        sys.setprofile(None)
+    exact = SentencePieceProcessor(model_file=MODEL)
+    assert [str(t) for t in out["ids_text"]] == [",".join(map(str, exact.encode(text))) for text in texts]
+    assert calls < 6 * new
+
+
+def test_texts_side_by_side_align_as_one_by_one():
+    texts = ["", " a  b ", "é▁日 😀", "", "▁", "  ", "x▁▁", "▁y", ""]
+    model = pieces.PieceModel.load(MODEL)
+    for prefix, squeeze in ((True, False), (False, False), (True, True)):
+        own = pieces.Normalizer(None, prefix, squeeze, True)
+        whole, begin, units = own.align_texts(texts), 0, []
+        for text, stop in zip(texts, whole.stops.tolist()):
+            normal, starts, ends = own.align(text)
+            assert whole.normal[begin:stop] == normal
+            assert whole.first[whole.of[begin:stop]].tolist() == starts and whole.after[whole.of[begin:stop]].tolist() == ends
+            units += model.units_of(normal)
+            begin = stop
+        at = pieces.unit_starts(whole.normal, whole.stops).tolist()
+        assert [whole.normal[a:b].decode() for a, b in zip(at, [*at[1:], len(whole.normal)])] == units
