@@ -4,7 +4,8 @@ Documents are streamed through suffix automata of reference shards.  The referen
 corpus itself, so it is cut by content first: each window belongs to the anchor, the run
 of ``GRAM`` words with the least hash in it, and equal windows have equal anchors.  The
 windows of one anchor that follow each other are a stretch.  Anchors of a single document
-leave; equal stretches are one, with the least and the greatest id of its documents.
+leave; equal stretches are one, with the least and the greatest id of its documents.  One
+that is the only one of its anchor needs no automaton: all its windows are in all these.
 
 A shard holds the stretches of some anchors.  Its automaton is built word by word; every
 state knows the least and the greatest id of the documents in which its strings occur.
@@ -28,6 +29,8 @@ column give way.
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -203,7 +206,12 @@ class Automaton:
             if q is not None:
                 last = q if length[q] == length[last] + 1 else self._split(last, word, q)
             else:
-                new = self._state({}, 0, length[last] + 1)
+                new = len(link)
+                next_.append({})
+                link.append(0)
+                length.append(length[last] + 1)
+                lows.append(LAST_ID)
+                highs.append(-LAST_ID - 1)
                 p = last
                 while p >= 0 and word not in next_[p]:
                     next_[p][word] = new
@@ -364,11 +372,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep: list[str] | Non
     # a stretch is read from its first document
     reader = F.min(F.struct("id", "t1", "t2", "first", "n"))
     once = several.groupBy("h", "c1", "c2").agg(reader.alias("r"), F.max("id").alias("high"))
-    places = scratch.save(once.groupBy("r.id", "r.t1", "r.t2").agg(F.collect_list(F.struct(
-        "h", "c1", "c2", F.col("r.id").alias("low"), "high", "r.first", "r.n")).alias("places")), "places")
+    once = scratch.save(once.select("h", "c1", "c2", F.col("r.id").alias("low"), "high", "r.t1", "r.t2", "r.first", "r.n"), "distinct")
+    groups = scratch.save(once.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1").select("h"), "groups")
+    places = once.join(groups, "h", "left_semi").groupBy(F.col("low").alias("id"), "t1", "t2").agg(F.collect_list(F.struct(
+        "h", "c1", "c2", "low", "high", "first", "n")).alias("places"))
     distinct = scratch.save(rows.join(places, ["t1", "t2", "id"]).select("text", "places").mapInArrow(
         _cut(window), "h long, c1 long, c2 long, low long, high long, words binary"), "words")
-    runs = _judged(distinct, window, scratch)
+    # an automaton of one stretch would give it back whole
+    alone = once.join(groups, "h", "left_anti").select("c1", "c2", F.array(F.struct(
+        F.lit(0).alias("a"), F.col("n").alias("b"), F.col("low"))).cast(RUNS).alias("runs"))
+    runs = _judged(distinct, window, scratch).unionByName(alone)
 
     holders = several.select("t1", "t2", "first", "c1", "c2").distinct()
     spans = scratch.save(holders.join(runs, ["c1", "c2"]).groupBy("t1", "t2").agg(
@@ -381,11 +394,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep: list[str] | Non
                 words = p["text"].encode().split()
                 spans = [(f["first"] + r["a"], f["first"] + r["b"] + window - 1) for f in p["found"] or []
                          for r in f["runs"] if r["low"] < p["id"]]
-                gone = _cover(len(words), spans)
+                gone = _cover(len(words) if spans else 0, spans)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)))
-                out["kept"].append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if spans else words).decode())
+                out["kept"].append(b" ".join(compress(words, (~gone).tolist()) if spans else words).decode())
                 out["repeats"].append(bool(p["found"]))
             return out
         return work

@@ -109,3 +109,19 @@ def test_automaton():
                 want = inside.get(tuple(probe[k:k + window]), [sub.LAST_ID, -sub.LAST_ID - 1])
                 assert [low[k], high[k]] == want
         assert len(automaton.link) <= 2 * sum(len(w) for w, _, _ in rows) + 1
+
+
+def test_only_stretches_with_others_of_their_anchor_are_cut(table, rows, prose, monkeypatch):
+    saved = {}
+
+    class Kept(sub.Scratch):
+        def save(self, df, name):
+            saved[name] = super().save(df, name)
+            return saved[name]
+
+    copied, near = prose(21, 400), prose(22, 400).split()
+    data = [(1, copied), (2, copied), (3, copied), (4, " ".join(near)), (5, " ".join([*near[:200], "other", *near[201:]]))]
+    docs = table(data)
+    assert rows(sub.substring_dedup(docs, scratch=Kept(docs.sparkSession)), *COLUMNS) == brute(data, 50)
+    cut = saved["words"].groupBy("h").count().collect()
+    assert cut and all(r["count"] > 1 for r in cut)
