@@ -17,7 +17,7 @@ from ..session import Scratch, partitions_for
 FRAGMENT_SCHEMA = "part int, seq long, at long, sym int, len long, last boolean, total long"
 
 
-def _merge(batches):
+def merge_runs(batches):
     """Merge equal neighbours of the (rank, sym, weight) rows of one sorted partition,
     batch by batch; only the run that may go on is held."""
     part, seq, at, held_sym, held = TaskContext.get().partitionId(), 0, 0, None, 0
@@ -79,8 +79,13 @@ def runs_of(ordered: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``ordered``: rows sorted inside their partition, with ``sym INT`` and, if they stand
     for several symbols, ``weight BIGINT``; ``bwt_idx`` is where the run starts."""
-    spark = ordered.sparkSession
-    frags = scratch.save(ordered.mapInArrow(_merge, FRAGMENT_SCHEMA), "fragments")
+    return runs_of_fragments(ordered.mapInArrow(merge_runs, FRAGMENT_SCHEMA), scratch)
+
+
+def runs_of_fragments(fragments: DataFrame, scratch: Scratch) -> DataFrame:
+    """As ``runs_of``, of the runs that each partition has merged."""
+    spark = fragments.sparkSession
+    frags = scratch.save(fragments, "fragments")
     firsts = {r.part: r for r in frags.filter("seq = 0").select("part", "sym", "len").collect()}
     ends = [(r.part, firsts[r.part].sym, firsts[r.part].len, r.sym, r.seq + 1, r.total)
             for r in frags.filter("last").select("part", "sym", "seq", "total").collect()]

@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.symbols import Alphabet, prefix_code, symbol_column
+from ..operators.packed import PackedSuffixes, pack_suffixes
 from ..operators.pieces import in_pieces, key_columns, relation
 from ..operators.ranking import rank_sequences
 from ..operators.runs import rl_bwt_columns, runs_of_ranks
 from ..operators.suffixes import PACKED_LONGS, coded_suffix_rows, require_unique_keys, suffix_rows, symbol_counts
 from ..session import Scratch, spread
 
+PACKED_FROM = 1 << 18  # suffixes from which they are sorted as packed arrays; fewer are not worth the chunks
+
 
 @dataclass
 class RankedSuffixes:
@@ -36,9 +39,10 @@ class RankedSuffixes:
         self.scratch.delete()
 
 
-def rank_suffixes(collection: DataFrame, scratch: Scratch | None = None) -> RankedSuffixes:
+def rank_suffixes(collection: DataFrame, scratch: Scratch | None = None) -> RankedSuffixes | PackedSuffixes:
     """Rank every suffix of ``collection (doc BIGINT, text)``, or of one in pieces; ``doc`` is unique
-    and gives the document order."""
+    and gives the document order.  Many suffixes of whole documents are sorted as packed arrays where a task
+    can hold their documents and groups, all others row by row."""
     scratch = scratch or Scratch(collection.sparkSession)
     collection = spread(relation(collection), *key_columns(collection))
     require_unique_keys(collection)
@@ -50,6 +54,9 @@ def rank_suffixes(collection: DataFrame, scratch: Scratch | None = None) -> Rank
         elements, depth = suffix_rows(collection, alphabet), PACKED_LONGS * alphabet.per_long
     else:
         code = prefix_code({c: n for c, n in counted.items() if c >= 0}, counted.get(-1, 0))
+        packed = pack_suffixes(collection, code, rows, scratch) if rows >= PACKED_FROM else None
+        if packed is not None:
+            return packed
         elements, depth = coded_suffix_rows(collection, code), code.depth
     ranked = rank_sequences(elements, ["k1", "k2", "tie"], depth, scratch, rows, ["sym"])
     return RankedSuffixes(ranked, rows, scratch)
