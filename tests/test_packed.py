@@ -112,3 +112,33 @@ def test_covered_symbols(collection):
             bits, n = bits + size[c], n + 1
         whole = at + n > len(text)
         assert (cov[at], tie[at]) == ((0, 5) if whole else (n, 0))
+
+
+def test_tables_and_shuffles_take_few_bytes_a_suffix(spark, collection, monkeypatch):
+    """Row by row, the saved ranks alone took more than 12 bytes; and the shuffle files of finished rounds go."""
+    import time
+    from pathlib import Path
+
+    from suffixloom import session
+
+    monkeypatch.setattr(session, "FREE_ROWS", 1)
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {f: f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(400)]
+    shared = " ".join(rnd.choices(words, k=400))
+    docs = [" ".join(rnd.choices(words, k=900)) + shared for _ in range(80)]
+    table = collection(docs).repartition(4, "doc").localCheckpoint()
+    before = shuffled()
+    ranked = rank_suffixes(table)
+    saved = sum(f.stat().st_size for f in Path(ranked.scratch.path.removeprefix("file:")).rglob("*.parquet"))
+    assert saved < 12 * ranked.rows
+    for _ in range(40):
+        left = sum(n for f, n in shuffled().items() if f not in before)
+        if left < ranked.rows:
+            break
+        time.sleep(0.5)
+    assert left < ranked.rows
