@@ -142,3 +142,20 @@ def test_tables_and_shuffles_take_few_bytes_a_suffix(spark, collection, monkeypa
             break
         time.sleep(0.5)
     assert left < ranked.rows
+
+
+def test_planned_query_sorts_packed(spark, collection, monkeypatch, always):
+    """Against a base too long for a broadcast the plan goes by suffixes, which were sorted row by row."""
+    from suffixloom import queries
+
+    made = []
+    real = suffix_sort.pack_suffixes
+    monkeypatch.setattr(suffix_sort, "pack_suffixes", lambda *args: made.append(real(*args)) or made[-1])
+    docs = ["abcab", "", "cabca", "zabcz"]
+    monkeypatch.setattr(queries, "collection", lambda *_: collection(docs))
+    spark.conf.set("spark.suffixloom.maxIndexSymbols", "9")
+    try:
+        got = queries.planned_by_heads(spark, "").orderBy("bwt_idx").collect()
+    finally:
+        spark.conf.unset("spark.suffixloom.maxIndexSymbols")
+    assert [r.ch for r in got] == brute.bwt(docs) and isinstance(made[0], packed.PackedSuffixes)
